@@ -62,7 +62,7 @@ def ks_table(counts: DataFrame, groups: int, slots: int = SLOTS) -> DataFrame:
     share = lambda num, den: F.col(num) / F.nullif(F.col(den), F.lit(0))
     buckets = (counts.join(heads, KEYS)
                .withColumn("_bucket", bucket_of(F.col("_points"), F.col("v"), slots)).drop("_points")
-               .withColumn("rb", F.sum("cb").over(in_bucket)).withColumn("rt", F.sum("ct").over(in_bucket))
+               .withColumns({"rb": F.sum("cb").over(in_bucket), "rt": F.sum("ct").over(in_bucket)})
                .withColumn("d", share("rb", "baseline_count") - share("rt", "target_count"))
                .groupBy(*KEYS, "_bucket")
                .agg(*[F.first(c).alias(c) for c in totals],
@@ -108,15 +108,12 @@ def feature_drift(view: DataFrame, alerts: DataFrame | AlertBook, features: list
 
     n1, n2 = [F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in ("baseline_count", "target_count")]
     missing = F.lit(False) if len(known) == len(features) else ~F.col("feature_name").isin(*known)
-    rows = (pairs.join(stats, KEYS, "left")
-            .withColumn("baseline_count", n1).withColumn("target_count", n2)
-            .withColumn("status", F.when(missing, "missing_feature")
-                        .otherwise(sample_status(F.col("baseline_count"), F.col("target_count"), min_n))))
+    rows = (pairs.join(stats, KEYS, "left").withColumns({
+        "baseline_count": n1, "target_count": n2,
+        "status": F.when(missing, "missing_feature").otherwise(sample_status(n1, n2, min_n))}))
     ok = F.col("status") == "ok"
     measured = ["baseline_mean", "target_mean", "baseline_std", "target_std", "ks_stat"]
-    for c in measured:
-        rows = rows.withColumn(c, F.when(ok, F.col(c)))
-    rows = with_p_value(rows, p_value)
+    rows = with_p_value(rows.withColumns({c: F.when(ok, F.col(c)) for c in measured}), p_value)
     return rows.select(
         "alert_id", "scope_id", "feature_name", "feature_pos", "status", "baseline_count", "target_count", *measured,
         F.when(ok, F.col("p_value")).alias("p_value"),

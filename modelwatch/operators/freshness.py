@@ -49,8 +49,7 @@ def feature_freshness(logs: DataFrame, view: DataFrame, alerts: DataFrame | Aler
            .withColumn("status", F.when((F.col("log_count") == 0) | F.col("_has_features").isNull(), "empty")
                        .when(F.col("matched_count") < min_n, "insufficient").otherwise("ok")))
     ok = F.col("status") == "ok"
-    for c in ("mean_lag_days", "max_lag_days", "share_over_threshold"):
-        out = out.withColumn(c, F.when(ok, F.col(c)))
+    out = out.withColumns({c: F.when(ok, F.col(c)) for c in ("mean_lag_days", "max_lag_days", "share_over_threshold")})
     return out.select(
         "alert_id", "scope_id", "status", "log_count", "matched_count", "mean_lag_days", "max_lag_days",
         "share_over_threshold",

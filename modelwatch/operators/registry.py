@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -33,37 +33,41 @@ def version_summary(versions: DataFrame) -> DataFrame:
             .withColumn("status", F.when(F.col("previous_version").isNull(), "single_version").otherwise("ok")))
 
 
-def _sides(versions: DataFrame, column: str) -> DataFrame:
-    """Both sides of every key of either version: a full outer join, done as one grouping.
+def _entries(column: str, kind: str) -> Column:
+    """A map's entries as (kind, key, text, number)."""
+    number = (lambda v: v) if kind == "metric" else (lambda v: F.lit(None).cast("double"))
+    return F.transform(F.map_entries(column), lambda e: F.struct(
+        F.lit(kind).alias("kind"), e["key"].alias("key"), e["value"].cast("string").alias("text"),
+        number(e["value"]).alias("number")))
 
-    A model with one version has nothing to compare and yields no rows.
+
+def diff(versions: DataFrame) -> DataFrame:
+    """Changed parameters and all metrics of the two highest versions, in one long table.
+
+    Both sides of every key of either version: a full outer join, done as one grouping. A parameter is
+    listed if its value changed, appeared or disappeared; a metric always, its delta only where both
+    versions have it. A model with one version has nothing to compare and yields no rows.
     """
-    compared = Window.partitionBy(*MODEL)
-    side = lambda rank: F.max(F.when(F.col("version_rank") == rank, F.col("value")))
-    two = (latest_two(versions).withColumn("_n", F.max("version_rank").over(compared)).where(F.col("_n") == 2))
-    long = (two.select(*MODEL, "version_rank", F.explode(F.map_entries(column)).alias("e"))
-            .select(*MODEL, "version_rank", F.col("e.key").alias("key"), F.col("e.value").alias("value")))
-    return long.groupBy(*MODEL, "key").agg(side(2).alias("previous"), side(1).alias("latest"))
+    two = (latest_two(versions)
+           .withColumn("_n", F.max("version_rank").over(Window.partitionBy(*MODEL))).where(F.col("_n") == 2))
+    long = two.select(*MODEL, "version_rank", F.inline(F.concat(_entries("params", "param"), _entries("metrics", "metric"))))
+    side = lambda rank, c: F.max(F.when(F.col("version_rank") == rank, F.col(c)))
+    sides = long.groupBy(*MODEL, "kind", "key").agg(
+        side(2, "text").alias("previous"), side(1, "text").alias("latest"),
+        side(2, "number").alias("previous_number"), side(1, "number").alias("latest_number"))
+    return (sides.where((F.col("kind") == "metric") | ~F.col("previous").eqNullSafe(F.col("latest")))
+            .withColumn("delta", F.col("latest_number") - F.col("previous_number")))
 
 
 def param_diff(versions: DataFrame) -> DataFrame:
     """Parameters whose value changed, appeared or disappeared (missing side: null)."""
-    return _sides(versions, "params").where(~F.col("previous").eqNullSafe(F.col("latest")))
+    return diff(versions).where(F.col("kind") == "param").select(*MODEL, "key", "previous", "latest")
 
 
 def metric_diff(versions: DataFrame) -> DataFrame:
     """All metrics of both versions; the delta only where both have it."""
-    return _sides(versions, "metrics").withColumn("delta", F.col("latest") - F.col("previous"))
-
-
-def diff(versions: DataFrame) -> DataFrame:
-    """Parameter and metric differences in one long table."""
-    params = param_diff(versions).select(
-        *MODEL, F.lit("param").alias("kind"), "key", "previous", "latest", F.lit(None).cast("double").alias("delta"))
-    metrics = metric_diff(versions).select(
-        *MODEL, F.lit("metric").alias("kind"), "key", F.col("previous").cast("string").alias("previous"),
-        F.col("latest").cast("string").alias("latest"), "delta")
-    return params.unionByName(metrics)
+    return diff(versions).where(F.col("kind") == "metric").select(
+        *MODEL, "key", F.col("previous_number").alias("previous"), F.col("latest_number").alias("latest"), "delta")
 
 
 def registry_report(versions: DataFrame) -> DataFrame:

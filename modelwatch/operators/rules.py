@@ -84,7 +84,10 @@ def evidence_all(*parts: DataFrame) -> DataFrame:
 
 
 def root_cause(evidence: DataFrame, alerts: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
-    """The first rule that holds names the cause; alerts without any are control cases."""
+    """The first rule that holds names the cause; alerts without any are control cases.
+
+    Evidence is read once: everything the rules ask is an aggregate per alert, combined map-side.
+    """
     kind, score = F.col("evidence_type"), F.col("score")
     drift = kind == "feature_drift"
     of = lambda feature: drift & (F.col("feature_name") == feature)
@@ -94,6 +97,7 @@ def root_cause(evidence: DataFrame, alerts: DataFrame, config: RuleConfig = Rule
         F.bool_or(of(config.bug_feature)).alias("bug_drift"), F.bool_or(of(config.skew_feature)).alias("skew_drift"),
         F.bool_or(kind == "feature_staleness").alias("stale"), F.bool_or(kind == "label_drift").alias("labels"),
         F.bool_or(kind == "serving_skew").alias("audit"),
+        F.count(F.lit(1)).alias("n_evidence"), F.collect_set(kind).alias("types"),
         F.min(F.when(kind == "model_registry_diff", score)).alias("accuracy_delta"),
         F.max(F.when(kind == "feature_staleness", score)).alias("lag"),
         F.min_by("feature_name", at(drift)).alias("first_drift"),
@@ -114,11 +118,13 @@ def root_cause(evidence: DataFrame, alerts: DataFrame, config: RuleConfig = Rule
     choose = lambda value: F.coalesce(*[F.when(test, value(cause, args)) for cause, test, args in rules])
     all_causes = F.array(*[F.lit(c) for c in fv.CAUSES])
     return (alerts.join(flags, "alert_id", "left")
-            .withColumn("cause", choose(lambda cause, args: F.lit(cause)))
-            .withColumn("confidence", choose(lambda cause, args: F.lit(fv.CONFIDENCE[cause])))
-            .withColumn("reasoning", choose(lambda cause, args: F.format_string(fv.REASONING[cause], *args)))
-            .withColumn("ruled_out", F.array_except(all_causes, F.array("cause")))
-            .select(*alerts.columns, "cause", "confidence", "reasoning", "ruled_out"))
+            .withColumns({"cause": choose(lambda cause, args: F.lit(cause)),
+                          "confidence": choose(lambda cause, args: F.lit(fv.CONFIDENCE[cause])),
+                          "reasoning": choose(lambda cause, args: F.format_string(fv.REASONING[cause], *args))})
+            .select(*alerts.columns, "cause", "confidence", "reasoning",
+                    F.array_except(all_causes, F.array("cause")).alias("ruled_out"),
+                    F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"),
+                    F.coalesce(F.size("types"), F.lit(0)).cast("long").alias("n_types")))
 
 
 def hypothesis_status(causes: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from ..functions.scalars import clamp_int, hash_slot, logistic_score
 from ..operators import asof, audit, commits, drift, freshness, labels, logs, metrics, perturb, registry, rules
 from ..operators.alerts import two_window_slice
 from ..schemas import feature_columns
-from ..session import work_dir
+from ..session import stored, work_dir
 from ..streaming import jobs
 from . import evaluate, investigate, training
 
@@ -40,9 +40,7 @@ def r6(column: str | Column) -> Column:
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    for c in columns:
-        df = df.withColumn(c, r6(c))
-    return df
+    return df.withColumns({c: r6(c) for c in columns})
 
 
 def ntz(text: str) -> Column:
@@ -77,7 +75,7 @@ def by_segment(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     """The same rows, scoped by the user's market segment."""
     segment = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("entity_id"), F.col("c_mktsegment").alias("scope_id"))
-    return rows.drop("scope_id").join(segment, "entity_id")
+    return rows.join(segment, "entity_id")
 
 
 def alert_frame(scopes: DataFrame, alert_id: Column, model: Column, value: Column, alert: Column,
@@ -95,22 +93,23 @@ def scope_alerts(rows: DataFrame) -> DataFrame:
     """One alert per scope: its accuracy since the alert time."""
     hit = (F.col("prediction") == F.col("true_label")).cast("double")
     scopes = rows.groupBy("scope_id").agg(F.avg(F.when(F.col("ts") >= ntz("2024-01-20"), hit)).alias("v"))
-    return alert_frame(scopes, F.concat(F.lit("alert-"), "scope_id"), F.lit("1-URGENT"), F.col("v"),
-                       ntz("2024-01-20"), FIXED_WINDOWS)
+    return stored(alert_frame(scopes, F.concat(F.lit("alert-"), "scope_id"), F.lit("1-URGENT"), F.col("v"),
+                              ntz("2024-01-20"), FIXED_WINDOWS), "alerts")
 
 
 def day_alerts(rows: DataFrame) -> DataFrame:
     """One alert per scope and day, with overlapping windows around the day."""
     days = rows.select("scope_id", F.to_date("ts").cast("timestamp_ntz").alias("day")).distinct()
     move = lambda n: F.col("day") + F.make_dt_interval(days=F.lit(n))
-    return alert_frame(days, F.concat_ws("-", "scope_id", F.date_format("day", "yyyyMMdd")), F.lit("1-URGENT"),
-                       F.lit(0.0), F.col("day"), [move(-10), move(-1), F.col("day"), move(3)])
+    return stored(alert_frame(days, F.concat_ws("-", "scope_id", F.date_format("day", "yyyyMMdd")), F.lit("1-URGENT"),
+                              F.lit(0.0), F.col("day"), [move(-10), move(-1), F.col("day"), move(3)]), "alerts")
 
 
 def segment_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    view = by_segment(spark, sf_dir, purchases(spark, sf_dir)).select(
-        "scope_id", "entity_id", "ts", "ingest_seq", *FEATURES)
-    served = by_segment(spark, sf_dir, others(spark, sf_dir))
+    events = event_logs(spark, sf_dir).withColumnRenamed("scope_id", "event_type")
+    rows = by_segment(spark, sf_dir, events)
+    view = rows.where(F.col("event_type") == "purchase").select("scope_id", "entity_id", "ts", "ingest_seq", *FEATURES)
+    served = rows.where(F.col("event_type") != "purchase")
     return scope_alerts(served), view, served, model_versions(spark, sf_dir), page_commits(spark, sf_dir)
 
 
@@ -371,27 +370,28 @@ SEGMENT_SETTINGS = investigate.Settings(
     rules=rules.RuleConfig(bug_feature="k", skew_feature="value"))
 
 
-def segment_investigation(spark, sf_dir) -> investigate.Investigation:
-    return investigate.run(*segment_inputs(spark, sf_dir), SEGMENT_SETTINGS)
+def segment_investigation(spark, sf_dir, store_evidence: bool = True) -> investigate.Investigation:
+    return investigate.run(*segment_inputs(spark, sf_dir), SEGMENT_SETTINGS, store_evidence)
 
 
 def evidence_all(spark, sf_dir):
-    return (rounded(segment_investigation(spark, sf_dir).evidence, "score")
+    return (rounded(segment_investigation(spark, sf_dir, store_evidence=False).evidence, "score")
             .select("alert_id", "evidence_type", "step", "position", "status", "feature_name", "score"))
 
 
 def evidence_text(spark, sf_dir):
     """One sentence per positive finding (labels, freshness, commits: numbers with two to four decimals)."""
-    return segment_investigation(spark, sf_dir).evidence.select("alert_id", "evidence_type", "position", "description")
+    evidence = segment_investigation(spark, sf_dir, store_evidence=False).evidence
+    return evidence.select("alert_id", "evidence_type", "position", "description")
 
 
 def root_cause(spark, sf_dir):
-    return (segment_investigation(spark, sf_dir).causes
+    return (segment_investigation(spark, sf_dir, store_evidence=False).causes
             .select("alert_id", "scope_id", "cause", "confidence", F.concat_ws(",", "ruled_out").alias("ruled_out")))
 
 
 def hypothesis_status(spark, sf_dir):
-    return segment_investigation(spark, sf_dir).hypotheses
+    return segment_investigation(spark, sf_dir, store_evidence=False).hypotheses
 
 
 def evidence_hypothesis(spark, sf_dir):
@@ -402,14 +402,9 @@ def evidence_hypothesis(spark, sf_dir):
 
 def investigate_segments(spark, sf_dir):
     """The flagship: every alert with its cause, confidence, ruled-out causes and evidence counts."""
-    inv = segment_investigation(spark, sf_dir)
-    counts = inv.evidence.groupBy("alert_id").agg(
-        F.count(F.lit(1)).alias("n_evidence"), F.count_distinct("evidence_type").alias("n_types"))
-    out = (inv.causes.join(counts, "alert_id", "left")
-           .select("alert_id", "scope_id", "alert_metric", "alert_value", "cause", "confidence",
-                   F.concat_ws(",", "ruled_out").alias("ruled_out"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"),
-                   F.coalesce("n_types", F.lit(0)).alias("n_types")))
-    return rounded(out, "alert_value")
+    causes = segment_investigation(spark, sf_dir, store_evidence=False).causes
+    return causes.select("alert_id", "scope_id", "alert_metric", r6("alert_value").alias("alert_value"), "cause",
+                         "confidence", F.concat_ws(",", "ruled_out").alias("ruled_out"), "n_evidence", "n_types")
 
 
 def two_runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -496,7 +491,7 @@ def injected(spark, sf_dir) -> tuple[DataFrame, tuple]:
     view = perturb.shift_band(rows.where(~served), "band", "event_id", cut("feature_drift"))
     view = perturb.zero_fraction(view, "k", "event_id", cut("pipeline_bug"))
     view = perturb.withhold_updates(view, cut("stale_feature"))
-    view = view.select("scope_id", "entity_id", "ts", "ingest_seq", *NATION_FEATURES)
+    view = stored(view.select("scope_id", "entity_id", "ts", "ingest_seq", *NATION_FEATURES), "view")
 
     truth = (F.col("k") > 50).cast("int")
     requests = rows.where(served).select("scope_id", "entity_id", "ts", "event_id", "injected_failure", "injection_date",
@@ -507,20 +502,20 @@ def injected(spark, sf_dir) -> tuple[DataFrame, tuple]:
     requests = (requests.withColumn("version", version)
                 .withColumn("prediction", F.when(right, F.col("true_label")).otherwise(1 - F.col("true_label"))))
     log = asof.pit_join(requests, view, ["scope_id", "entity_id"], features=NATION_FEATURES, tie="ingest_seq")
-    log = perturb.rescale(log, "value", cut("serving_skew"))
+    log = stored(perturb.rescale(log, "value", cut("serving_skew")), "logs")
 
     hit = (F.col("prediction") == F.col("true_label")).cast("double")
     late = F.when(F.to_date("ts") >= F.col("injection_date"), hit)
-    per_scope = requests.groupBy("scope_id", "injection_date").agg(F.avg(late).alias("v"))
+    per_scope = log.groupBy("scope_id", "injection_date").agg(F.avg(late).alias("v"))
     windows = [ntz("2024-01-01"), ntz("2024-01-14"), ntz("2024-01-15"), ntz("2024-01-30")]
     alerts = alert_frame(per_scope, F.col("scope_id"), F.lit("events"), F.col("v"),
                          F.col("injection_date").cast("timestamp_ntz"), windows)
-    versions = (requests.groupBy("scope_id", "version").agg(F.avg(hit).alias("accuracy"))
+    versions = (log.groupBy("scope_id", "version").agg(F.avg(hit).alias("accuracy"))
                 .select("scope_id", F.lit("events").alias("model_name"), "version",
                         F.concat_ws("/", "scope_id", F.col("version").cast("string")).alias("run_id"),
                         F.create_map(F.lit("kind"), F.lit("hash")).alias("params"),
                         F.create_map(F.lit("accuracy"), F.col("accuracy")).alias("metrics")))
-    return scenarios, (alerts, view, log, versions, nation_commits(spark, sf_dir, scenarios))
+    return scenarios, (stored(alerts, "alerts"), view, log, versions, nation_commits(spark, sf_dir, scenarios))
 
 
 def nation_commits(spark, sf_dir, scenarios: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""From alerts to causes: all detectors, all alerts, one lazy plan."""
+"""From alerts to causes: all detectors for all alerts in one job."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from ..operators.audit import serving_skew_audit
 from ..operators.drift import feature_drift
 from ..operators.freshness import feature_freshness
 from ..operators.labels import label_shift
+from ..session import stored
 
 
 @dataclass(frozen=True)
@@ -65,7 +66,7 @@ def audit_alerts(logs: DataFrame, view: DataFrame, book: AlertBook, s: Settings)
 
 @dataclass(frozen=True)
 class Investigation:
-    """Lazy results: evidence rows, causes per alert, hypotheses, and the two log tables."""
+    """Evidence rows, causes per alert, hypotheses, and from them the two log tables."""
 
     evidence: DataFrame
     causes: DataFrame
@@ -94,9 +95,16 @@ def investigation_id(run_ts: Column) -> Column:
 
 
 def run(alerts: DataFrame | AlertBook, view: DataFrame, logs: DataFrame, versions: DataFrame, commits: DataFrame,
-        settings: Settings = Settings()) -> Investigation:
-    """Detect, gather, eliminate, conclude."""
+        settings: Settings = Settings(), store_evidence: bool = True) -> Investigation:
+    """Detect, gather, eliminate, conclude.
+
+    The evidence (positive findings only, so small beside the inputs) is written to the work folder
+    first: causes, hypotheses and records all read it from there, and each detector runs once. With
+    ``store_evidence=False`` everything stays one lazy plan, best when only the causes are wanted.
+    """
     book = alert_book(alerts)
     evidence = gather_evidence(book, view, logs, versions, commits, settings)
+    if store_evidence:
+        evidence = stored(evidence, "evidence")
     causes = rules.root_cause(evidence, book.frame, settings.rules)
     return Investigation(evidence, causes, rules.hypothesis_status(causes), settings)

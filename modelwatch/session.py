@@ -26,6 +26,17 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/modelwatch/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared work folder and read back.
+
+    Used where several consumers would otherwise each recompute a long lineage; the files outlive lost
+    executors.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_within(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast ``df`` only if ``rows * row_bytes`` stays below the limit.
 
