@@ -114,6 +114,6 @@ def latest(view: DataFrame, by: list[str] | str, ts: str = "ts", features: list[
     return view.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).select(*by, ts, *keep)
 
 
-def before_after(df: DataFrame, cutover: Column, ts: str = "ts") -> DataFrame:
+def before_after(df: DataFrame, cutover: Column | str, ts: str = "ts") -> DataFrame:
     """Flag the rows from the cutover day on."""
-    return df.withColumn("after", F.to_date(ts) >= cutover)
+    return df.withColumn("after", F.to_date(ts) >= F.lit(cutover).cast("date"))

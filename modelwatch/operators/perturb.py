@@ -13,9 +13,9 @@ from .. import fixed_values as fv
 from ..functions.scalars import hash_slot
 
 
-def after(cutover: Column, ts: str = "ts") -> Column:
+def after(cutover: Column | str, ts: str = "ts") -> Column:
     """From the cutover day on; a null cutover (scope not affected) is never reached."""
-    return F.coalesce(F.to_date(ts) >= cutover, F.lit(False))
+    return F.coalesce(F.to_date(ts) >= F.lit(cutover).cast("date"), F.lit(False))
 
 
 def weighted_band(key: Column, seed: str, weights: list[int]) -> Column:
@@ -28,33 +28,33 @@ def weighted_band(key: Column, seed: str, weights: list[int]) -> Column:
     return band
 
 
-def shift_band(df: DataFrame, column: str, key: str, cutover: Column, ts: str = "ts", seed: str = "band",
+def shift_band(df: DataFrame, column: str, key: str, cutover: Column | str, ts: str = "ts", seed: str = "band",
                weights: list[int] | None = None) -> DataFrame:
     """Draw a discrete feature anew from shifted weights."""
     drawn = weighted_band(F.col(key), seed, weights or fv.BAND_WEIGHTS_SHIFTED)
     return df.withColumn(column, F.when(after(cutover, ts), drawn).otherwise(F.col(column)))
 
 
-def zero_fraction(df: DataFrame, column: str, key: str, cutover: Column, ts: str = "ts", seed: str = "zero",
+def zero_fraction(df: DataFrame, column: str, key: str, cutover: Column | str, ts: str = "ts", seed: str = "zero",
                   per_thousand: int = fv.ZEROED_PER_THOUSAND) -> DataFrame:
     """Set a share of a feature's values to 0."""
     hit = after(cutover, ts) & (hash_slot(F.col(key), seed) < per_thousand)
     return df.withColumn(column, F.when(hit, F.lit(0).cast(df.schema[column].dataType)).otherwise(F.col(column)))
 
 
-def rescale(df: DataFrame, column: str, cutover: Column, ts: str = "ts", factor: float = fv.UNIT_FACTOR) -> DataFrame:
+def rescale(df: DataFrame, column: str, cutover: Column | str, ts: str = "ts", factor: float = fv.UNIT_FACTOR) -> DataFrame:
     """Multiply a served value (a unit mix-up)."""
     return df.withColumn(column, F.when(after(cutover, ts), F.col(column) * factor).otherwise(F.col(column)))
 
 
-def thin_positives(df: DataFrame, label: str, key: str, cutover: Column, ts: str = "ts", seed: str = "thin",
+def thin_positives(df: DataFrame, label: str, key: str, cutover: Column | str, ts: str = "ts", seed: str = "thin",
                    keep_per_thousand: int = int(fv.LABEL_SHIFT_FACTOR * 1000)) -> DataFrame:
     """Turn positives into negatives, keeping a share."""
     hit = after(cutover, ts) & (F.col(label) == 1) & (hash_slot(F.col(key), seed) >= keep_per_thousand)
     return df.withColumn(label, F.when(hit, F.lit(0).cast(df.schema[label].dataType)).otherwise(F.col(label)))
 
 
-def withhold_updates(view: DataFrame, cutover: Column, ts: str = "ts") -> DataFrame:
+def withhold_updates(view: DataFrame, cutover: Column | str, ts: str = "ts") -> DataFrame:
     """Drop the updates from the cutover day on (a stopped feed)."""
     return view.where(~after(cutover, ts))
 

@@ -22,7 +22,6 @@ from ..streaming import jobs
 from . import evaluate, investigate, training
 
 FEATURES = ["value", "k"]
-CUTOVER = F.lit("2024-01-16").cast("date")
 LANGUAGE_SCOPES = {"en": "AUTOMOBILE", "fr": "BUILDING", "de": "FURNITURE", "es": "MACHINERY"}
 
 
@@ -34,6 +33,10 @@ def stamp(column: str | Column) -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
+def cutover() -> Column:
+    return F.lit("2024-01-16").cast("date")
+
+
 def r6(column: str | Column) -> Column:
     """Rounded for comparison; adding zero turns a negative zero into zero."""
     return F.round(column, 6) + F.lit(0.0)
@@ -86,15 +89,13 @@ def alert_frame(scopes: DataFrame, alert_id: Column, model: Column, value: Colum
         value.alias("alert_value"), alert.alias("alert_ts"), *[w.alias(n) for w, n in zip(windows, names)])
 
 
-FIXED_WINDOWS = [ntz("2024-01-01"), ntz("2024-01-15"), ntz("2024-01-16"), ntz("2024-01-30")]
-
-
 def scope_alerts(rows: DataFrame) -> DataFrame:
     """One alert per scope: its accuracy since the alert time."""
     hit = (F.col("prediction") == F.col("true_label")).cast("double")
     scopes = rows.groupBy("scope_id").agg(F.avg(F.when(F.col("ts") >= ntz("2024-01-20"), hit)).alias("v"))
+    windows = [ntz("2024-01-01"), ntz("2024-01-15"), ntz("2024-01-16"), ntz("2024-01-30")]
     return stored(alert_frame(scopes, F.concat(F.lit("alert-"), "scope_id"), F.lit("1-URGENT"), F.col("v"),
-                              ntz("2024-01-20"), FIXED_WINDOWS), "alerts")
+                              ntz("2024-01-20"), windows), "alerts")
 
 
 def day_alerts(rows: DataFrame) -> DataFrame:
@@ -185,7 +186,7 @@ def two_window_profile(spark, sf_dir):
 
 
 def before_after_profile(spark, sf_dir):
-    rows = asof.before_after(event_logs(spark, sf_dir), CUTOVER)
+    rows = asof.before_after(event_logs(spark, sf_dir), cutover())
     out = rows.groupBy("scope_id", F.col("after").cast("int").alias("after")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"), F.avg("k").alias("mean_k"))
     return rounded(out, "mean_value", "mean_k")
@@ -302,7 +303,7 @@ def clamp_truncate(spark, sf_dir):
 def logistic(spark, sf_dir):
     rows = event_logs(spark, sf_dir)
     p = logistic_score(clamp_int(F.col("value") * 5), F.col("k") / 20, F.col("value") / 600, F.col("k") / 10,
-                       shifted=perturb.after(CUTOVER))
+                       shifted=perturb.after(cutover()))
     return rows.select("event_id", r6(p).alias("probability"))
 
 
@@ -574,23 +575,23 @@ def evidence_coverage(spark, sf_dir):
 
 def perturb_shift(spark, sf_dir):
     rows = event_logs(spark, sf_dir).withColumn("band", perturb.weighted_band(F.col("event_id"), "band", fv.BAND_WEIGHTS))
-    return perturb.shift_band(rows, "band", "event_id", CUTOVER).select("event_id", "band")
+    return perturb.shift_band(rows, "band", "event_id", cutover()).select("event_id", "band")
 
 
 def perturb_zero(spark, sf_dir):
-    return perturb.zero_fraction(event_logs(spark, sf_dir), "k", "event_id", CUTOVER).select("event_id", "k")
+    return perturb.zero_fraction(event_logs(spark, sf_dir), "k", "event_id", cutover()).select("event_id", "k")
 
 
 def perturb_scale(spark, sf_dir):
-    return rounded(perturb.rescale(event_logs(spark, sf_dir), "value", CUTOVER).select("event_id", "value"), "value")
+    return rounded(perturb.rescale(event_logs(spark, sf_dir), "value", cutover()).select("event_id", "value"), "value")
 
 
 def perturb_labels(spark, sf_dir):
-    return perturb.thin_positives(event_logs(spark, sf_dir), "true_label", "event_id", CUTOVER).select("event_id", "true_label")
+    return perturb.thin_positives(event_logs(spark, sf_dir), "true_label", "event_id", cutover()).select("event_id", "true_label")
 
 
 def perturb_stale(spark, sf_dir):
-    return perturb.withhold_updates(purchases(spark, sf_dir), CUTOVER).select("event_id", "entity_id", stamp("ts").alias("ts"))
+    return perturb.withhold_updates(purchases(spark, sf_dir), cutover()).select("event_id", "entity_id", stamp("ts").alias("ts"))
 
 
 def perturb_shuffle(spark, sf_dir):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import parse_times
@@ -38,10 +40,21 @@ def replace_scopes(df: DataFrame, path: str, ts: str = "ts") -> None:
        .partitionBy("scope_id", "event_date").parquet(path))
 
 
-def reset_scopes(spark: SparkSession, table: str, scopes: list[str]) -> None:
-    """Drop all days of the given scopes from a catalog table, before they are produced anew."""
-    for scope in scopes:
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (scope_id = '{scope}')")
+def rerun_scope(df: DataFrame, table: str, scope: str) -> None:
+    """Replace everything a catalog table holds for one scope, all days included, by ``df``.
+
+    One statement: the fixed scope clears its partitions, the days are found from the rows. An empty
+    frame just clears the scope.
+    """
+    spark = df.sparkSession
+    columns = [c for c in spark.table(table).columns if c not in ("scope_id", "event_date")]
+    view = f"rerun_{uuid.uuid4().hex}"
+    df.select(*columns, "event_date").createOrReplaceTempView(view)
+    name = scope.replace("\\", "\\\\").replace("'", "\\'")
+    try:
+        spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (scope_id = '{name}', event_date) SELECT * FROM {view}")
+    finally:
+        spark.catalog.dropTempView(view)
 
 
 def save_investigations(investigations: DataFrame, evidence: DataFrame, path: str) -> None:
