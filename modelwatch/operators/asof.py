@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..schemas import present
 from ..session import broadcast_within
-from .splits import SLOTS, bucket_of, points_of, slot_picks
+from .splits import SLOTS, place, points_of, slot_picks
 
 HOT_ROWS = 5_000_000
+LOST_SLOTS = 4096
 
 
 def _hot_points(rows: DataFrame, keys: list[str], hot_rows: int, slots: int) -> tuple[DataFrame, int]:
@@ -19,7 +20,7 @@ def _hot_points(rows: DataFrame, keys: list[str], hot_rows: int, slots: int) ->
     if n == 0:
         return hot, 0
     hot = broadcast_within(hot, n, 64)
-    picks = slot_picks(rows.where(F.col("_t").isNotNull()).join(hot, keys, "left_semi"), keys, "_t", slots=slots)
+    picks = slot_picks(rows.join(hot, keys, "left_semi"), keys, "_t", slots=slots)
     return picks.groupBy(*keys).agg(points_of().alias("_points")), n
 
 
@@ -60,19 +61,21 @@ def pit_join(left: DataFrame, right: DataFrame, by: list[str] | str, left_ts: st
                      F.lit(0).alias("_side"), order.alias("_q"), payload.alias("_r"))
     l = left.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(left_ts).alias("_t"),
                     F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_q"), F.struct("*").alias("_l"))
-    rows = l.unionByName(r, allowMissingColumns=True)
-
-    parts = keys
+    # Left rows without entity or time match nothing, wherever they are: spread them over many tasks.
+    lost = F.col("_t").isNull()
+    for k in keys:
+        lost = lost | F.col(k).isNull()
+    l = l.withColumn("_salt", F.when(lost, 1 + F.pmod(F.xxhash64("_l"), F.lit(LOST_SLOTS))).otherwise(0))
+    rows = l.unionByName(r.withColumn("_salt", F.lit(0).cast("long")), allowMissingColumns=True)
+
+    parts = [*keys, "_salt"]
     if hot_rows is not None:
-        points, n_hot = _hot_points(rows.select(*keys, "_t"), keys, hot_rows, slots)
+        points, n_hot = _hot_points(rows.where(F.col("_salt") == 0).select(*keys, "_t"), keys, hot_rows, slots)
         if n_hot:
             points = broadcast_within(points, n_hot, 8 * slots + 64)
-            rows = (rows.join(points, keys, "left")
-                        .withColumn("_bucket", F.when(F.col("_points").isNotNull(),
-                                                      bucket_of(F.col("_points"), F.col("_t"), slots)))
-                        .drop("_points"))
+            rows = place(rows.join(points, keys, "left").withColumn("_hot", F.col("_points").isNotNull()), "_t", slots)
             rows = rows.unionByName(_carried(rows, keys), allowMissingColumns=True)
-            parts = [*keys, "_bucket"]
+            parts.append("_bucket")
 
     w = (Window.partitionBy(*parts).orderBy("_t", "_side", "_q")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -86,12 +89,12 @@ def pit_join(left: DataFrame, right: DataFrame, by: list[str] | str, left_ts: st
 def _carried(rows: DataFrame, keys: list[str]) -> DataFrame:
     """For every bucket of a hot entity: the last right row of the buckets before it, sorted first."""
     stamp = F.when(F.col("_side") == 0, F.struct("_t", "_q"))
-    closing = (rows.where(F.col("_bucket").isNotNull())
+    closing = (rows.where("_hot")
                .groupBy(*keys, "_bucket").agg(F.max_by("_r", stamp).alias("_r")))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     return (closing.withColumn("_r", F.last("_r", ignorenulls=True).over(before))
             .where(F.col("_r").isNotNull())
-            .withColumn("_side", F.lit(0)))
+            .withColumns({"_side": F.lit(0), "_salt": F.lit(0).cast("long")}))
 
 
 def latest(view: DataFrame, by: list[str] | str, ts: str = "ts", features: list[str] | None = None,

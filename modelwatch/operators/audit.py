@@ -24,13 +24,13 @@ def served_pairs(logs: DataFrame, view: DataFrame, features: list[str], by: list
 def serving_skew_audit(logs: DataFrame, view: DataFrame, features: list[str], by: list[str],
                        keys: list[str], ts: str = "ts", tie: str | None = None, tolerance: float = 1e-9,
                        max_mismatch: float = 0.05, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Mismatch rate and median served/stored ratio per (keys, feature)."""
+    """Mismatch rate and median served/stored ratio per (keys, feature), from one as-of join."""
     pairs = served_pairs(logs, view, features, by, ts, tie, hot_rows)
     group = [*keys, "feature_name"]
     off = F.abs(F.col("served") - F.col("stored")) > tolerance * F.greatest(F.abs("served"), F.abs("stored"), F.lit(1.0))
-    rates = pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("matched_count"),
-                                      F.avg(off.cast("double")).alias("mismatch_rate"))
-    ratios = pairs.withColumn("ratio", F.col("served") / F.nullif(F.col("stored"), F.lit(0.0)))
-    medians = exact_median(ratios, group, "ratio").withColumnRenamed("median", "median_ratio")
-    return (rates.join(medians, group, "left")
-            .withColumn("is_skewed", F.col("mismatch_rate") > max_mismatch))
+    ratios = pairs.select(*group, (F.col("served") / F.nullif(F.col("stored"), F.lit(0.0))).alias("ratio"),
+                          off.cast("long").alias("off"), F.lit(1).alias("row"))
+    stats = exact_median(ratios, group, "ratio", totals={"matched_count": "row", "mismatches": "off"})
+    rate = F.col("mismatches") / F.col("matched_count")
+    return stats.select(*group, "matched_count", rate.alias("mismatch_rate"), F.col("median").alias("median_ratio"),
+                        (rate > max_mismatch).alias("is_skewed"))

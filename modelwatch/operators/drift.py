@@ -11,13 +11,17 @@ from ..functions.scalars import usable
 from ..schemas import feature_columns, present
 from ..session import broadcast_within
 from .alerts import AlertBook, alert_book, two_window_slice
-from .splits import SLOTS, bucket_of, points_of, slot_picks
+from .splits import SLOTS, place, points_of, slot_picks
 
 KEYS = ["alert_id", "feature_name"]
 
 
 def long_features(sliced: DataFrame, features: list[str]) -> DataFrame:
-    """One row per (alert, feature, value) with window flags; null and NaN values dropped."""
+    """One row per (alert, feature, value) with window flags; null and NaN values dropped.
+
+    Inlined from an array rather than unpivoted: an unpivot hides from the optimizer that keys are not
+    null, and the two uses of the counts then differ by a filter and cannot share their shuffle.
+    """
     cells = F.array(*[F.struct(F.lit(f).alias("feature_name"), F.col(f).cast("double").alias("v")) for f in features])
     return sliced.select("alert_id", "in_base", "in_target", F.inline(cells)).where(usable(F.col("v")))
 
@@ -60,8 +64,7 @@ def ks_table(counts: DataFrame, groups: int, slots: int = SLOTS) -> DataFrame:
     in_bucket = Window.partitionBy(*KEYS, "_bucket").orderBy("v")
     totals = ["baseline_count", "target_count", "baseline_mean", "target_mean"]
     share = lambda num, den: F.col(num) / F.nullif(F.col(den), F.lit(0))
-    buckets = (counts.join(heads, KEYS)
-               .withColumn("_bucket", bucket_of(F.col("_points"), F.col("v"), slots)).drop("_points")
+    buckets = (place(counts.join(heads, KEYS), "v", slots)
                .withColumns({"rb": F.sum("cb").over(in_bucket), "rt": F.sum("ct").over(in_bucket)})
                .withColumn("d", share("rb", "baseline_count") - share("rt", "target_count"))
                .groupBy(*KEYS, "_bucket")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.scalars import hash_slot
+from ..session import broadcast_within, stored
 
 
 def after(cutover: Column | str, ts: str = "ts") -> Column:
@@ -66,8 +67,8 @@ def shuffle_labels(df: DataFrame, label: str, key: str, group: str = "scope_id",
     Groups are cut by hash into slots of about ``rows_per_slot`` rows; within a slot every row takes
     the label of the next one in hash order, the last that of the first.
     """
-    sizes = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows_per_slot).alias("_slots"))
-    spread = (df.join(sizes, group)
+    sizes = stored(df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows_per_slot).alias("_slots")), "sizes")
+    spread = (df.join(broadcast_within(sizes, sizes.count(), 64), group)
               .withColumn("_slot", F.pmod(F.xxhash64(F.col(key), F.lit(seed + "slot")), F.col("_slots")))
               .withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))))
     w = Window.partitionBy(group, "_slot").orderBy("_h", key)

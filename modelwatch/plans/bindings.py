@@ -114,12 +114,27 @@ def segment_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return scope_alerts(served), view, served, model_versions(spark, sf_dir), page_commits(spark, sf_dir)
 
 
+def fleet_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A model, and an alert, for every user."""
+    rows = (event_logs(spark, sf_dir).withColumnRenamed("scope_id", "event_type")
+            .withColumn("scope_id", F.col("entity_id").cast("string")))
+    view = rows.where(F.col("event_type") == "purchase").select("scope_id", "entity_id", "ts", "ingest_seq", *FEATURES)
+    served = rows.where(F.col("event_type") != "purchase")
+    orders = table(spark, sf_dir, "orders").withColumn("scope_id", F.col("o_custkey").cast("string"))
+    found = page_commits(spark, sf_dir).withColumn("scope_id", F.col("commit_hash"))
+    return scope_alerts(served), view, served, order_versions(orders), found
+
+
 def model_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model per market segment and order priority; a version per order year."""
     segment = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"),
                                                       F.col("c_mktsegment").alias("scope_id"))
+    return order_versions(table(spark, sf_dir, "orders").join(segment, "o_custkey"))
+
+
+def order_versions(orders: DataFrame) -> DataFrame:
     share = lambda s: F.avg((F.col("o_orderstatus") == s).cast("double"))
-    stats = (table(spark, sf_dir, "orders").join(segment, "o_custkey")
+    stats = (orders
              .groupBy("scope_id", F.col("o_orderpriority").alias("model_name"),
                       (F.year("o_orderdate") - 1994).alias("version"))
              .agg(share("F").alias("accuracy"), share("O").alias("open_share"), F.avg("o_totalprice").alias("price"),
@@ -408,6 +423,12 @@ def investigate_segments(spark, sf_dir):
                          "confidence", F.concat_ws(",", "ruled_out").alias("ruled_out"), "n_evidence", "n_types")
 
 
+def investigate_fleet(spark, sf_dir):
+    """One alert per user, all in one run."""
+    causes = investigate.run(*fleet_inputs(spark, sf_dir), SEGMENT_SETTINGS, store_evidence=False).causes
+    return causes.select("alert_id", r6("alert_value").alias("alert_value"), "cause", "confidence", "n_evidence", "n_types")
+
+
 def two_runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Investigation and evidence logs after two runs, at the alert time and one day later."""
     inv = segment_investigation(spark, sf_dir)
@@ -675,6 +696,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hypothesis_status": hypothesis_status,
     "evidence_hypothesis": evidence_hypothesis,
     "investigate": investigate_segments,
+    "investigate_fleet": investigate_fleet,
     "latest_investigation": latest_investigation,
     "investigations_nested": investigations_nested,
     "scenario_table": scenario_table,

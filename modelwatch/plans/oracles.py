@@ -199,6 +199,15 @@ evidence as (select alert_id, scope_id, 'feature_drift' as evidence_type, 1 as s
     mean_lag_days, max_lag_days, '2.5') from fresh where is_stale)"""
 
 
+def fleet_causes() -> str:
+    """The same with a scope per user."""
+    text = segment_evidence() + ",\n" + causes("k", "value")
+    lang = COMMITS[COMMITS.index("case regexp"):COMMITS.index(" end as scope_id") + 4]
+    return (text.replace("c.c_mktsegment as scope_id", "cast(e.entity_id as varchar) as scope_id")
+            .replace("c_mktsegment as scope_id", "cast(o_custkey as varchar) as scope_id")
+            .replace(lang, "cast(page_id as varchar)"))
+
+
 def segment_causes() -> str:
     return segment_evidence() + ",\n" + causes("k", "value")
 
@@ -387,6 +396,9 @@ def oracle_sql() -> dict[str, str]:
         "investigate": f"""{segment_causes()}, n as (select alert_id, count(*) as ne, count(distinct evidence_type) as nt
             from evidence group by alert_id) select alert_id, scope_id, alert_metric, {r6('alert_value')} as alert_value, cause, confidence,
             ruled_out, coalesce(ne, 0) as n_evidence, coalesce(nt, 0) as n_types from causes left join n using (alert_id)""",
+        "investigate_fleet": f"""{fleet_causes()}, n as (select alert_id, count(*) as ne, count(distinct evidence_type) as nt
+            from evidence group by alert_id) select alert_id, {r6('alert_value')} as alert_value, cause, confidence,
+            coalesce(ne, 0) as n_evidence, coalesce(nt, 0) as n_types from causes left join n using (alert_id)""",
         "latest_investigation": f"""{segment_causes()}, {TWO_RUNS} select scope_id, investigation_id, {stamp('ts')} as ts, cause from runs
             qualify row_number() over (partition by scope_id order by ts desc) = 1""",
         "investigations_nested": f"""{segment_causes()}, {TWO_RUNS}, ev2 as (select alert_id, count(*) as n,
