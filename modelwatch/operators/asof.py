@@ -11,6 +11,7 @@ from .splits import SLOTS, place, points_of, slot_picks
 
 HOT_ROWS = 5_000_000
 LOST_SLOTS = 4096
+MAX_IN_LIST = 500
 
 
 def _hot_points(rows: DataFrame, keys: list[str], hot_rows: int, slots: int) -> tuple[DataFrame, int]:
@@ -101,14 +102,17 @@ def latest(view: DataFrame, by: list[str] | str, ts: str = "ts", features: list[
            ids: list | DataFrame | None = None, tie: str | None = None) -> DataFrame:
     """The newest row of each entity; equal times go to the highest ``tie``.
 
-    ``ids`` restricts the entities: a list (pushed to the scan) or a frame of ids (semi join). An empty
-    list gives an empty result. The rank filter keeps one row per entity already map-side.
+    ``ids`` restricts the entities: a short list (pushed to the scan), a long list or a frame (semi
+    join). An empty list gives an empty result. The rank filter keeps one row per entity already map-side.
     """
     by = [by] if isinstance(by, str) else list(by)
     keep = present(view, features if features is not None else
                    [c for c in view.columns if c not in by and c not in (ts, tie)])
     if isinstance(ids, DataFrame):
         view = view.join(ids, by, "left_semi")
+    elif ids is not None and len(ids) > MAX_IN_LIST:
+        wanted = view.sparkSession.createDataFrame([(i,) for i in ids], view.select(by[0]).schema)
+        view = view.join(broadcast_within(wanted, len(ids), 64), by[0], "left_semi")
     elif ids is not None:
         view = view.where(F.col(by[0]).isin(list(ids))) if ids else view.where(F.lit(False))
     order = [F.col(ts).desc_nulls_last()]

@@ -70,6 +70,13 @@ def metric_diff(versions: DataFrame) -> DataFrame:
         *MODEL, "key", F.col("previous_number").alias("previous"), F.col("latest_number").alias("latest"), "delta")
 
 
+def alert_report(versions: DataFrame, alerts: DataFrame) -> DataFrame:
+    """The report of each alert's model; a model without any version is a row with a status."""
+    return (alerts.select("alert_id", *MODEL).join(registry_report(versions), MODEL, "left")
+            .withColumns({"status": F.coalesce("status", F.lit("no_versions")),
+                          "version_count": F.coalesce("version_count", F.lit(0))}))
+
+
 def registry_report(versions: DataFrame) -> DataFrame:
     """One row per model: counts, versions, accuracy delta, changed keys and the summary sentence."""
     changes = (diff(versions).groupBy(*MODEL)

@@ -43,11 +43,9 @@ def drift_evidence(drift: DataFrame) -> DataFrame:
                       "baseline_std", "target_std", "ks_stat", "p_value", "is_drifted"])
 
 
-def registry_evidence(report: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Models with more than one version, for the alerts raised on them."""
-    rows = (report.where(F.col("version_count") > 1)
-            .join(alerts.select("alert_id", "scope_id", "model_name"), ["scope_id", "model_name"]))
-    return _evidence(rows, "model_registry_diff", 2, "multiple_versions_detected", F.lit(0), F.col("summary"),
+def registry_evidence(report: DataFrame) -> DataFrame:
+    """Alerts on models with more than one version."""
+    return _evidence(report.where(F.col("version_count") > 1), "model_registry_diff", 2, "multiple_versions_detected", F.lit(0), F.col("summary"),
                      score=F.col("accuracy_delta"),
                      data=["model_name", "version_count", "latest_version", "previous_version", "accuracy_delta"])
 

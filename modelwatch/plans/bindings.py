@@ -38,8 +38,11 @@ def cutover() -> Column:
 
 
 def r6(column: str | Column) -> Column:
-    """Rounded for comparison; adding zero turns a negative zero into zero."""
-    return F.round(column, 6) + F.lit(0.0)
+    """Rounded for comparison. The nudge takes exact halves (means of prices over 32 rows end in one) the
+    same way in both engines, whose last bits differ; adding zero turns a negative zero into zero.
+    """
+    x = F.col(column) if isinstance(column, str) else column
+    return F.round(x + F.lit(1e-10), 6) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -360,6 +363,12 @@ def latest_two_versions(spark, sf_dir):
         F.col("version_rank").cast("long").alias("version_rank"), "run_id")
 
 
+def version_history(spark, sf_dir):
+    return registry.version_history(model_versions(spark, sf_dir)).select(
+        "scope_id", "model_name", F.col("version").cast("double").alias("version"),
+        F.col("previous_version").cast("double").alias("previous_version"))
+
+
 def registry_param_diff(spark, sf_dir):
     return registry.param_diff(model_versions(spark, sf_dir))
 
@@ -686,6 +695,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "derived_alerts": derived_alerts,
     "registry_versions": registry_versions,
     "latest_two_versions": latest_two_versions,
+    "version_history": version_history,
     "registry_param_diff": registry_param_diff,
     "registry_metric_diff": registry_metric_diff,
     "commits_in_window": commits_in_window,

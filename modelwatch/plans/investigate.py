@@ -43,7 +43,7 @@ def gather_evidence(alerts: DataFrame | AlertBook, view: DataFrame, logs: DataFr
     book, s = alert_book(alerts), settings
     parts = [
         rules.drift_evidence(feature_drift(view, book, s.features, s.alpha, s.min_n, s.p_value)),
-        rules.registry_evidence(registry.registry_report(versions), book.frame),
+        rules.registry_evidence(registry.alert_report(versions, book.frame)),
         rules.commit_evidence(commit_ops.in_window(commits, book, s.watched_path, s.commit_days)),
         rules.label_evidence(label_shift(logs, book, s.label_drop, s.min_n)),
         rules.freshness_evidence(feature_freshness(logs, view, book, s.stale_days, s.min_n, hot_rows=s.hot_rows)),

@@ -18,7 +18,7 @@ def stamp(x: str) -> str:
 
 
 def r6(x: str) -> str:
-    return f"(round(({x})::double, 6) + 0.0)"
+    return f"(round(({x})::double + 1e-10::double, 6) + 0.0)"
 
 
 def q(text: str) -> str:
@@ -371,6 +371,8 @@ def oracle_sql() -> dict[str, str]:
             previous_version::varchar as previous_version, latest_run_id, version_count,
             case when previous_version is null then 'single_version' else 'ok' end as status from heads join counts using (scope_id, model_name)""",
         "latest_two_versions": f"with {VERSIONS} select scope_id, model_name, version, version_rank, run_id from two",
+        "version_history": f"""with {VERSIONS} select scope_id, model_name, version::double as version,
+            (lag(version) over (partition by scope_id, model_name order by version))::double as previous_version from ver""",
         "registry_param_diff": f"with {VERSIONS} select scope_id, model_name, key, previous, latest from params",
         "registry_metric_diff": f"""with {VERSIONS} select scope_id, model_name, key, {r6('previous')} as previous, {r6('latest')} as latest,
             {r6('latest - previous')} as delta from mets""",

@@ -85,6 +85,7 @@ def test_latest_and_ids(spark):
     assert pick() == {"usr_101": (5, 700), "b": (1, 1)}
     assert pick(ids=["b"]) == {"b": (1, 1)}
     assert pick(ids=[]) == {}
+    assert pick(ids=["b", *[f"x{i}" for i in range(600)]]) == {"b": (1, 1)}
     assert pick(ids=spark.createDataFrame([("usr_101",), ("x",)], "user_id string")) == {"usr_101": (5, 700)}
 
 

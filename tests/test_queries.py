@@ -54,5 +54,7 @@ def test_exact_p_differs_only_in_p(spark):
     assert all(a[k].ks_stat == b[k].ks_stat and math.isclose(a[k].p_value, b[k].p_value, abs_tol=.05) for k in a)
 
 
-def test_entry(spark):
-    assert entry.entry(spark).count() == 5
+def test_entry(spark, duck):
+    alerts = duck.execute("select count(distinct c_mktsegment) from events join customer on user_id = c_custkey "
+                          "where event_type <> 'purchase'").fetchone()[0]
+    assert entry.entry(spark).count() == alerts > 1

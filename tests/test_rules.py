@@ -98,6 +98,9 @@ def test_registry(spark):
     assert report[("t", "A")].summary == ("Compared version 2 vs version 1. Param changes: [max_depth, seed]. "
                                           "Metric deltas: {accuracy: -0.2700, f1_score: -0.2500}.")
     assert report[("s", "B")].accuracy_delta is None
+    alerts = alert(spark, "t", model="A").union(alert(spark, "t", model="gone", alert_id="x"))
+    assert {r.alert_id: (r.status, r.version_count) for r in registry.alert_report(v, alerts).collect()} == {
+        "a-t": ("ok", 2), "x": ("no_versions", 0)}
     history = {r.version: r.previous_version for r in registry.version_history(v).where("scope_id = 's' and model_name = 'A'").collect()}
     assert history == {1: None, 2: 1, 10: 2}
 
