@@ -38,6 +38,25 @@ def days_between(later: Column, earlier: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", earlier, later) / F.lit(86400000000.0)
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01").cast("timestamp_ntz")
+
+
+def micros(ts: Column) -> Column:
+    """Microseconds of a zone-free timestamp since 1970, whatever the session's time zone."""
+    return F.timestamp_diff("MICROSECOND", _epoch(), ts)
+
+
+def as_instant(ts: Column) -> Column:
+    """A zone-free timestamp read as UTC: streams need instants for watermarks."""
+    return F.timestamp_micros(micros(ts))
+
+
+def as_ntz(instant: Column) -> Column:
+    """The way back from ``as_instant``."""
+    return _epoch() + F.make_dt_interval(secs=(F.unix_micros(instant) / F.lit(1000000)).cast("decimal(18,6)"))
+
+
 def usable(x: Column) -> Column:
     """Neither null nor NaN (averages keep NaN, so it has to be filtered by name)."""
     return x.isNotNull() & ~F.isnan(x)

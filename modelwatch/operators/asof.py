@@ -71,7 +71,7 @@ def pit_join(left: DataFrame, right: DataFrame, by: list[str] | str, left_ts: st
 
     parts = [*keys, "_salt"]
     if hot_rows is not None:
-        points, n_hot = _hot_points(rows.where(F.col("_salt") == 0).select(*keys, "_t"), keys, hot_rows, slots)
+        points, n_hot = _hot_points(rows.where(~lost).select(*keys, "_t"), keys, hot_rows, slots)
         if n_hot:
             points = broadcast_within(points, n_hot, 8 * slots + 64)
             rows = place(rows.join(points, keys, "left").withColumn("_hot", F.col("_points").isNotNull()), "_t", slots)

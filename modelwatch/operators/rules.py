@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from ..functions.scalars import micros
 from ..schemas import present
 
 EVIDENCE = ["alert_id", "scope_id", "evidence_type", "step", "position", "status", "description", "feature_name",
@@ -51,7 +52,7 @@ def registry_evidence(report: DataFrame) -> DataFrame:
 
 
 def commit_evidence(commits: DataFrame) -> DataFrame:
-    newest_first = -F.unix_micros(F.col("committed_at").cast("timestamp"))
+    newest_first = -micros(F.col("committed_at"))
     return _evidence(commits, "git_commit", 3, "commit_found", newest_first, F.col("summary"),
                      data=present(commits, ["commit_hash", "author", "date", "message", "changed_files", "diffs"]))
 

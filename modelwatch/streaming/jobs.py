@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.scalars import as_instant, as_ntz
+
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, ts: str = "ts",
                 files_per_batch: int | None = None) -> DataFrame:
@@ -20,7 +22,7 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, ts: str =
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path).withColumn(ts, F.col(ts).cast("timestamp"))
+    return reader.parquet(path).withColumn(ts, as_instant(F.col(ts)))
 
 
 def _drain(writer) -> StreamingQuery:
@@ -33,7 +35,7 @@ def push_once(stream: DataFrame, path: str, checkpoint: str, key: str = "event_i
               delay: str = "1 day") -> StreamingQuery:
     """Append to a feature view, dropping events seen before within the watermark delay."""
     fresh = (stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
-             .withColumn(ts, F.col(ts).cast("timestamp_ntz")).withColumn("event_date", F.to_date(ts)))
+             .withColumn(ts, as_ntz(F.col(ts))).withColumn("event_date", F.to_date(ts)))
     return _drain(fresh.writeStream.format("parquet").partitionBy("event_date").outputMode("append")
                   .option("path", path).option("checkpointLocation", checkpoint))
 
@@ -48,7 +50,7 @@ def daily_metrics(stream: DataFrame, path: str, checkpoint: str, delay: str = "4
     daily = (stream.withWatermark(ts, delay).groupBy(F.window(ts, "1 day"), "scope_id")
              .agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy"),
                   F.avg(F.col("true_label").cast("double")).alias("label_rate"), F.avg(feature).alias("feature_mean"))
-             .select("scope_id", F.to_date("window.start").alias("day"), "n", "accuracy", "label_rate", "feature_mean"))
+             .select("scope_id", F.to_date(as_ntz(F.col("window.start"))).alias("day"), "n", "accuracy", "label_rate", "feature_mean"))
     return _drain(daily.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
                   .foreachBatch(_write_version(path)))
 
@@ -65,7 +67,7 @@ def online_features(stream: DataFrame, path: str, checkpoint: str, by: list[str]
     def write(batch: DataFrame, batch_id: int) -> None:
         row = F.struct(ts, tie, *features)
         newest = batch.groupBy(*by).agg(F.max_by(row, F.struct(ts, tie)).alias("r")).select(*by, "r.*")
-        _write_version(path)(newest, batch_id)
+        _write_version(path)(newest.withColumn(ts, as_ntz(F.col(ts))), batch_id)
     return _drain(stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write))
 
 

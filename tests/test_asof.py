@@ -101,3 +101,15 @@ def test_one_shuffle_when_no_entity_is_hot(spark, tmp_path):
                          features=["income_band"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "credit_score" not in plan.split("FileScan")[1]               # unread columns are pruned
+
+
+def test_search_for_hot_entities_reads_keys_only(spark, tmp_path, monkeypatch):
+    rows = spark.range(100).select(F.lit("u").alias("e"), F.lit(ts("2026-07-01")).cast("timestamp_ntz").alias("ts"),
+                                   F.col("id").alias("wide"))
+    rows.write.parquet(str(tmp_path / "l"))
+    seen = []
+    monkeypatch.setattr(asof, "_hot_points", lambda r, *a: (seen.append(r), (r, 0))[1])
+    left = spark.read.parquet(str(tmp_path / "l"))
+    asof.pit_join(left, left.select("e", "ts", F.col("wide").alias("x")), "e", features=["x"])
+    plan = seen[0].groupBy("_k0").count()._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<e:string,ts:timestamp_ntz>" in plan and "wide" not in plan

@@ -261,6 +261,19 @@ def test_daily_metrics_equal_batch(spark, arrivals, tmp_path):
     assert got == want and len(os.listdir(tmp_path / "t")) >= 3               # several micro-batches, merged on read
 
 
+def test_streams_do_not_depend_on_the_session_zone(spark, arrivals, tmp_path):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    want = {(str(r.day), r.n) for r in metrics.daily_accuracy(spark.read.parquet(arrivals)).collect()}
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        stream = jobs.read_stream(spark, arrivals, spark.read.parquet(arrivals).schema)
+        jobs.daily_metrics(stream, str(tmp_path / "t"), str(tmp_path / "s"), delay="60 days")
+        got = {(str(r.day), r.n) for r in jobs.current(spark, str(tmp_path / "t"), ["scope_id", "day"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == want
+
+
 def test_online_features_equal_batch(spark, arrivals, rows, tmp_path):
     from modelwatch.operators.asof import latest
     stream = jobs.read_stream(spark, arrivals, spark.read.parquet(arrivals).schema, files_per_batch=1)
