@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import broadcast_within
+from .. import session
 
 ROW_BYTES = 400
 
@@ -26,8 +27,19 @@ class AlertBook:
     start: object
     end: object
 
-    def small(self, *columns: str | Column) -> DataFrame:
-        return broadcast_within(self.frame.select(*columns), self.count, ROW_BYTES)
+    def meet(self, rows: DataFrame, ts: str, columns: list[str | Column], spans: list[tuple[str, str]]) -> DataFrame:
+        """Rows beside the alerts of their scope; ``spans`` names the (start, end) columns that matter.
+
+        Few alerts are broadcast. Too many for that are spread over the days of their spans and joined on
+        scope and day: a row then meets only alerts of its day, and a dominant scope is split by day.
+        The caller still tests the times themselves.
+        """
+        alerts = self.frame.select("scope_id", *columns)
+        if self.count * ROW_BYTES <= session.BROADCAST_BYTES:
+            return rows.join(F.broadcast(alerts), "scope_id")
+        days = [F.coalesce(F.sequence(F.to_date(a), F.to_date(b)), F.array().cast("array<date>")) for a, b in spans]
+        alerts = alerts.withColumn("_day", F.explode(reduce(F.array_union, days)))
+        return rows.withColumn("_day", F.to_date(ts)).join(alerts, ["scope_id", "_day"]).drop("_day")
 
 
 def alert_book(alerts: DataFrame | AlertBook) -> AlertBook:
@@ -57,15 +69,14 @@ def two_window_slice(rows: DataFrame, alerts: DataFrame | AlertBook, ts: str = "
     book = alert_book(alerts)
     b0, b1 = base or (F.col("baseline_start"), F.col("baseline_end"))
     t0, t1 = target or (F.col("active_start"), F.col("active_end"))
-    windows = book.small("alert_id", "scope_id", b0.alias("_b0"), b1.alias("_b1"), t0.alias("_t0"), t1.alias("_t1"))
+    windows = ["alert_id", b0.alias("_b0"), b1.alias("_b1"), t0.alias("_t0"), t1.alias("_t1")]
 
     def inside(a: str, b: str) -> Column:
         upper = F.col(ts) <= F.col(b) if closed else F.col(ts) < F.col(b)
         return (F.col(ts) >= F.col(a)) & upper
 
-    return (rows.where(within(rows, ts, book.start, book.end))
-                .join(windows, "scope_id")
-                .withColumn("in_base", inside("_b0", "_b1"))
-                .withColumn("in_target", inside("_t0", "_t1"))
+    near = rows.where(within(rows, ts, book.start, book.end))
+    return (book.meet(near, ts, windows, [("_b0", "_b1"), ("_t0", "_t1")])
+                .withColumns({"in_base": inside("_b0", "_b1"), "in_target": inside("_t0", "_t1")})
                 .where(F.col("in_base") | F.col("in_target"))
                 .drop("_b0", "_b1", "_t0", "_t1"))

@@ -21,9 +21,8 @@ def in_window(commits: DataFrame, alerts: DataFrame | AlertBook, path: str | Non
     reach = F.expr(f"INTERVAL {int(days)} DAY")
     kind = commits.schema["committed_at"].dataType
     near = F.col("committed_at").between(F.lit(book.start).cast(kind) - reach, F.lit(book.end).cast(kind) + reach)
-    windows = book.small("alert_id", "scope_id", (F.col("alert_ts") - reach).alias("_from"),
-                         (F.col("alert_ts") + reach).alias("_to"))
-    return (commits.where(near).join(windows, "scope_id")
+    windows = ["alert_id", (F.col("alert_ts") - reach).alias("_from"), (F.col("alert_ts") + reach).alias("_to")]
+    return (book.meet(commits.where(near), "committed_at", windows, [("_from", "_to")])
             .where(F.col("committed_at").between(F.col("_from"), F.col("_to")))
             .drop("_from", "_to")
             .withColumn("message", F.trim("message"))

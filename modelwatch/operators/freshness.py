@@ -35,8 +35,7 @@ def feature_freshness(logs: DataFrame, view: DataFrame, alerts: DataFrame | Aler
     """
     book = alert_book(alerts)
     lags = feature_lags(logs, view, book, ts, entity, hot_rows)
-    windows = book.small("alert_id", "scope_id", "active_start", "active_end")
-    stats = (lags.join(windows, "scope_id")
+    stats = (book.meet(lags, "event_ts", ["alert_id", "active_start", "active_end"], [("active_start", "active_end")])
              .where(F.col("event_ts").between(F.col("active_start"), F.col("active_end")))
              .groupBy("alert_id")
              .agg(F.count(F.lit(1)).alias("log_count"), F.count("lag_days").alias("matched_count"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..operators import commits as commit_ops
 from ..operators import registry, rules
-from ..operators.alerts import AlertBook, alert_book
+from ..operators.alerts import AlertBook, alert_book, within
 from ..operators.asof import HOT_ROWS
 from ..operators.audit import serving_skew_audit
 from ..operators.drift import feature_drift
@@ -55,8 +55,8 @@ def gather_evidence(alerts: DataFrame | AlertBook, view: DataFrame, logs: DataFr
 
 def audit_alerts(logs: DataFrame, view: DataFrame, book: AlertBook, s: Settings) -> DataFrame:
     """Served-versus-stored audit of each alert's active window."""
-    windows = book.small("alert_id", "scope_id", "active_start", "active_end")
-    active = (logs.select("scope_id", "entity_id", "ts", *s.audit_features).join(windows, "scope_id")
+    served = logs.where(within(logs, "ts", book.start, book.end)).select("scope_id", "entity_id", "ts", *s.audit_features)
+    active = (book.meet(served, "ts", ["alert_id", "active_start", "active_end"], [("active_start", "active_end")])
               .where(F.col("ts").between(F.col("active_start"), F.col("active_end")))
               .drop("active_start", "active_end"))
     tie = "ingest_seq" if "ingest_seq" in view.columns else None

@@ -37,10 +37,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_within(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+def broadcast_within(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Broadcast ``df`` only if ``rows * row_bytes`` stays below the limit.
 
     Beyond it the frame is returned without a hint: the join is then planned as a shuffle join, whose
     hot keys AQE splits.
     """
-    return F.broadcast(df) if rows * row_bytes <= limit else df
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -1,4 +1,5 @@
 import math
+from datetime import timedelta
 from itertools import combinations
 
 import numpy as np
@@ -6,6 +7,7 @@ import pytest
 from conftest import ALERT_DDL, alert, ts
 from pyspark.sql import functions as F
 
+from modelwatch import session
 from modelwatch.functions import kstest
 from modelwatch.operators import drift, labels, quantiles
 from modelwatch.operators.alerts import alert_book, two_window_slice
@@ -80,6 +82,26 @@ def test_many_alerts_in_one_job_equal_single_runs(spark):
     assert both == {r.alert_id: r.ks_stat for x in (a, b) for r in drift.feature_drift(rows, x, ["x"]).collect()}
 
 
+def test_too_many_alerts_to_broadcast_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    at = lambda: ts("2026-07-01") + timedelta(minutes=int(rng.integers(0, 60 * 24 * 41)))
+    rows = spark.createDataFrame([(rng.choice(["p", "q"]), at(), float(rng.normal()), int(rng.integers(2))) for _ in range(600)],
+                                 "scope_id string, ts timestamp_ntz, x double, true_label int")
+    alerts = alert(spark, "p").union(alert(spark, "q", alert_ts="2026-08-01")).union(
+        alert(spark, "q", windows=("2026-07-20T05:00:00", "2026-08-04", "2026-08-01", "2026-08-09T07:00:00"), alert_id="overlap"))
+
+    def run():
+        return [sorted(df.collect()) for df in (
+            two_window_slice(rows, alerts).select("alert_id", "ts", "x", "in_base", "in_target"),
+            drift.feature_drift(rows, alerts, ["x"], p_value="asymptotic").select("alert_id", "ks_stat", "p_value"),
+            labels.label_shift(rows, alerts).select("alert_id", "baseline_count", "target_count", "status"))]
+    few = run()
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    plan = two_window_slice(rows, alerts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" not in plan and "_day" in plan
+    assert run() == few and few[0]
+
+
 def enumerated_p(d_num, n1, n2):
     hits = total = 0
     for pick in combinations(range(n1 + n2), n1):
