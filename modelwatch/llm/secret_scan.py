@@ -89,7 +89,7 @@ def with_p(tokens: DataFrame) -> DataFrame:
     chi = F.lit(0.0)
     for b in range(8):
         expected = n * (F.ceil(k * (b + 1) / 8) - F.ceil(k * b / 8)) / k
-        seen = F.size(F.filter(v, lambda x, b=b: F.floor(x * 8 / k) == b))
+        seen = total(v, lambda x: F.floor(x * 8 / k) == b)  # noqa: B023
         chi = chi + (seen - expected) * (seen - expected) / expected
     df = 7.0
     uniform = tail((F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
