@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.drop_near_duplicates(docs)
 
 
-def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts replaced by a mark; n_chars follows."""
     return secret_scan.redact(docs)
 
@@ -53,7 +53,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_rules", quality), ("simhash_near_dedup", near_duplicates), ("secret_scan", secret_scan),
+    ("quality_rules", quality), ("simhash_near_dedup", near_duplicates), ("secret_scan", hide_secrets),
     ("mix_sources", mix), ("byte_bpe", encode)]
 
 #: The first stage iterates and the last one encodes, which SQL does not express; tested against brute force.
