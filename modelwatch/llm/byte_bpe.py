@@ -179,8 +179,12 @@ def codec(path: str, pattern: str) -> ByteBpe:
 def with_ids(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:
     """``docs`` plus ``ids`` (array of int) of each whole text."""
     def batch(column: pa.Array) -> list[pa.Array]:
-        rows = codec(path, pattern).encode(strings(column))
-        return [pa.array([[i for word in r for i in word] for r in rows], pa.list_(pa.int32()))]
+        ids, lengths = [np.zeros(0, np.int32)], [0]
+        for part in slices(strings(column)):
+            for row in codec(path, pattern).encode(part):
+                ids.append(np.fromiter((i for word in row for i in word), np.int32))
+                lengths.append(len(ids[-1]))
+        return [pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))]
 
     return with_columns_by_batch(docs, [text], batch, [T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
@@ -189,7 +193,7 @@ def with_decoded(encoded: DataFrame, path: str, pattern: str = public_tokenizers
     """``encoded`` plus ``decoded`` (binary), the joined bytes of ``ids``; null ids give none."""
     def batch(column: pa.Array) -> list[pa.Array]:
         decode = codec(path, pattern).decode
-        return [pa.array([decode(r or []) for r in column.to_pylist()], pa.binary())]
+        return [pa.array((decode(r.values.to_numpy().tolist() if r.is_valid else []) for r in column), pa.binary())]
 
     return with_columns_by_batch(encoded, [ids], batch, [T.StructField("decoded", T.BinaryType())])
 
