@@ -115,7 +115,6 @@ DRIFT_ALPHA = 0.05
 LABEL_DROP = 0.15
 STALE_DAYS = 0.5
 ACCURACY_DROP = -0.05
-EXACT_P_LIMIT = 10000
 
 # Feature columns.
 EXCLUDED_COLUMNS = ["user_id", "timestamp", "id", "created_at"]

@@ -78,7 +78,7 @@ def exact_p(d: float, n1: int, n2: int) -> float:
 
 def _fill_exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        todo = pdf["ks_stat"].notna() & (pdf[["baseline_count", "target_count"]].max(axis=1) <= fv.EXACT_P_LIMIT)
+        todo = pdf["ks_stat"].notna() & (pdf[["baseline_count", "target_count"]].min(axis=1) > 0)
         rows = pdf.loc[todo, ["ks_stat", "baseline_count", "target_count"]]
         pdf.loc[todo, "p_value"] = [exact_p(d, int(a), int(b)) for d, a, b in rows.itertuples(index=False)]
         yield pdf
@@ -88,12 +88,15 @@ def with_p_value(df: DataFrame, method: str) -> DataFrame:
     """Add ``p_value`` from ks_stat, baseline_count, target_count.
 
     asymptotic: the limit distribution, a plain column expression.
-    auto: exact while both samples have at most 10 000 values, the corrected limit beyond.
+    corrected: the same with a finite-size correction of its argument, for every size of sample.
+    exact: by enumeration for every row, whatever its size; the work grows with the product of both counts.
     """
     args = F.col("ks_stat"), F.col("baseline_count"), F.col("target_count")
     if method == "asymptotic":
         return df.withColumn("p_value", asymptotic_p(*args))
-    if method == "auto":
+    if method == "corrected":
+        return df.withColumn("p_value", finite_n_p(*args))
+    if method == "exact":
         df = df.withColumn("p_value", finite_n_p(*args))
         # One tiny row per (alert, feature) but real work per row: spread over all cores by count,
         # which adaptive coalescing (by bytes) would fold into one task.

@@ -53,7 +53,7 @@ def ks_table(counts: DataFrame, groups: int, slots: int = SLOTS) -> DataFrame:
     """
     heads = (slot_picks(counts, KEYS, "v",
                         F.sum("cb").alias("cb"), F.sum("ct").alias("ct"),
-                        F.sum(F.col("v") * F.col("cb")).alias("sb"), F.sum(F.col("v") * F.col("ct")).alias("st"),
+                        F.sum(F.when(F.col("cb") > 0, F.col("v") * F.col("cb"))).alias("sb"), F.sum(F.when(F.col("ct") > 0, F.col("v") * F.col("ct"))).alias("st"),
                         slots=slots)
              .groupBy(*KEYS)
              .agg(points_of().alias("_points"), F.sum("cb").alias("baseline_count"), F.sum("ct").alias("target_count"),
@@ -70,8 +70,8 @@ def ks_table(counts: DataFrame, groups: int, slots: int = SLOTS) -> DataFrame:
                .groupBy(*KEYS, "_bucket")
                .agg(*[F.first(c).alias(c) for c in totals],
                     F.sum("cb").alias("nb"), F.sum("ct").alias("nt"), F.max("d").alias("dmax"), F.min("d").alias("dmin"),
-                    F.sum(F.col("cb") * F.pow(F.col("v") - F.col("baseline_mean"), F.lit(2))).alias("qb"),
-                    F.sum(F.col("ct") * F.pow(F.col("v") - F.col("target_mean"), F.lit(2))).alias("qt")))
+                    F.sum(F.when(F.col("cb") > 0, F.col("cb")) * F.pow(F.col("v") - F.col("baseline_mean"), F.lit(2))).alias("qb"),
+                    F.sum(F.when(F.col("ct") > 0, F.col("ct")) * F.pow(F.col("v") - F.col("target_mean"), F.lit(2))).alias("qt")))
 
     before = Window.partitionBy(*KEYS).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offset = (F.coalesce(F.sum("nb").over(before), F.lit(0)) / F.nullif(F.col("baseline_count"), F.lit(0))
@@ -90,7 +90,7 @@ def sample_status(n1: Column, n2: Column, min_n: int = fv.MIN_SAMPLES) -> Column
 
 
 def feature_drift(view: DataFrame, alerts: DataFrame | AlertBook, features: list[str] | None = None,
-                  alpha: float = fv.DRIFT_ALPHA, min_n: int = fv.MIN_SAMPLES, p_value: str = "auto",
+                  alpha: float = fv.DRIFT_ALPHA, min_n: int = fv.MIN_SAMPLES, p_value: str = "corrected",
                   ts: str = "ts", slots: int = SLOTS, closed: bool = True) -> DataFrame:
     """Two-sample KS drift verdict for every (alert, feature).
 

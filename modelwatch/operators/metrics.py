@@ -22,10 +22,10 @@ def classification_metrics(df: DataFrame, keys: list[str], prediction: str = "pr
 
 def daily_accuracy(logs: DataFrame, ts: str = "ts", prediction: str = "prediction",
                    label: str = "true_label") -> DataFrame:
-    """Share of right predictions per scope and serving day."""
+    """Share of right predictions per scope and serving day; ``n`` counts the rows it is taken over."""
     hit = (F.col(prediction) == F.col(label)).cast("double")
     return (logs.where(F.col(label).isNotNull()).groupBy("scope_id", F.to_date(ts).alias("day"))
-            .agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy")))
+            .agg(F.count(hit).alias("n"), F.avg(hit).alias("accuracy")))
 
 
 def derived_alerts(daily: DataFrame, trailing_days: int = 7, z: float = 1.96) -> DataFrame:

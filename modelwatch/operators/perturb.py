@@ -61,18 +61,22 @@ def withhold_updates(view: DataFrame, cutover: Column | str, ts: str = "ts") ->
 
 
 def shuffle_labels(df: DataFrame, label: str, key: str, group: str = "scope_id", seed: str = "shuffle",
-                   rows_per_slot: int = 100_000) -> DataFrame:
-    """A permutation of the label column within each group.
+                   digits: int = 3) -> DataFrame:
+    """A permutation of the label column within each group: every row takes the label of the next one in md5 order, the
+    last that of the first.
 
-    Groups are cut by hash into slots of about ``rows_per_slot`` rows; within a slot every row takes
-    the label of the next one in hash order, the last that of the first.
+    The order is cut by its first ``digits`` hexadecimal digits, so that no task sorts a whole group; the last row
+    of a cut takes the label that opens the next one. The result is the same for any number of digits and rows.
     """
-    sizes = stored(df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows_per_slot).alias("_slots")), "sizes")
-    spread = (df.join(broadcast_within(sizes, sizes.count(), 64), group)
-              .withColumn("_slot", F.pmod(F.xxhash64(F.col(key), F.lit(seed + "slot")), F.col("_slots")))
-              .withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))))
-    w = Window.partitionBy(group, "_slot").orderBy("_h", key)
+    order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    spread = df.withColumn("_h", order).withColumn("_slot", F.substring("_h", 1, digits))
     box = F.struct(F.col(label).alias("x"))
-    last_to_first = F.first(box).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return (spread.withColumn(label, F.coalesce(F.lead(box).over(w), last_to_first)["x"])
-            .drop("_slots", "_slot", "_h"))
+    place = F.struct("_h", key)
+    by_slot = Window.partitionBy("_g").orderBy("_s")
+    heads = (spread.groupBy(F.col(group).alias("_g"), F.col("_slot").alias("_s")).agg(F.min_by(box, place).alias("_head"))
+             .withColumn("_next", F.coalesce(F.lead("_head").over(by_slot),
+                                             F.first("_head").over(by_slot.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))))
+    inner = Window.partitionBy(group, "_slot").orderBy("_h", key)
+    moved = spread.withColumn("_lead", F.lead(box).over(inner))
+    return (moved.join(heads, moved[group].eqNullSafe(heads["_g"]) & (moved["_slot"] == heads["_s"]))
+            .withColumn(label, F.coalesce("_lead", "_next")["x"]).drop("_g", "_s", "_h", "_slot", "_head", "_next", "_lead"))

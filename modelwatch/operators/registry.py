@@ -11,9 +11,14 @@ MODEL = ["scope_id", "model_name"]
 
 
 def latest_two(versions: DataFrame) -> DataFrame:
-    """The two highest versions of each model, by number; rank 1 is the latest."""
-    w = Window.partitionBy(*MODEL).orderBy(F.col("version").cast("int").desc(), F.col("run_id").desc())
-    return versions.withColumn("version_rank", F.row_number().over(w)).where(F.col("version_rank") <= 2)
+    """The two highest versions of each model, by number; rank 1 is the latest. Of a version registered again
+    the newest run stands for it.
+    """
+    number = F.col("version").cast("int")
+    again = Window.partitionBy(*MODEL, number).orderBy(F.col("run_id").desc())
+    w = Window.partitionBy(*MODEL).orderBy(number.desc())
+    return (versions.withColumn("_run", F.row_number().over(again)).where(F.col("_run") == 1).drop("_run")
+            .withColumn("version_rank", F.row_number().over(w)).where(F.col("version_rank") <= 2))
 
 
 def version_history(versions: DataFrame) -> DataFrame:

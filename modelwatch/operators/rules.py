@@ -143,7 +143,7 @@ def evidence_hypothesis(evidence: DataFrame, hypotheses: DataFrame, config: Rule
     kind = F.col("evidence_type")
     word = reduce(lambda acc, kv: F.when(kind == kv[0], kv[1]).otherwise(acc), fv.EVIDENCE_KEYWORDS.items(),
                   F.lit(None).cast("string"))
-    on_skew_feature = (kind == "feature_drift") & F.col("description").contains(config.skew_feature)
+    on_skew_feature = (kind == "feature_drift") & (F.col("feature_name") == config.skew_feature)
     matches = F.filter("_h", lambda h: F.lower(h["text"]).contains(word)
                        | (on_skew_feature & F.lower(h["text"]).contains("skew")))
     return (evidence.join(listed, "alert_id", "left")

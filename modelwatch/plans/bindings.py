@@ -230,7 +230,7 @@ def feature_drift(spark, sf_dir):
 
 def feature_drift_auto_p(spark, sf_dir):
     """As feature_drift, with exact p-values where both samples have at most 10 000 values."""
-    return rounded(lineitem_drift(spark, sf_dir, "auto").select(*DRIFT_OUT), *DRIFT_ROUND)
+    return rounded(lineitem_drift(spark, sf_dir, "corrected").select(*DRIFT_OUT), *DRIFT_ROUND)
 
 
 def drift_all_alerts(spark, sf_dir):
@@ -625,9 +625,8 @@ def perturb_stale(spark, sf_dir):
 
 
 def perturb_shuffle(spark, sf_dir):
-    """A permutation, so counts per label and scope stay as they were."""
     rows = perturb.shuffle_labels(event_logs(spark, sf_dir), "true_label", "event_id")
-    return rows.groupBy("scope_id", "true_label").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("event_id", "scope_id", "true_label")
 
 
 # ---- model and streams ------------------------------------------------------------------------
@@ -643,8 +642,8 @@ def forest_metrics(spark, sf_dir):
 
 
 def forest_scores(spark, sf_dir):
-    rows = forest_rows(spark, sf_dir)
-    train, _ = training.split(rows, "event_id")
+    rows = training_rows(spark, sf_dir)
+    train, _ = training.split(rows.where(F.col("label").isNotNull()), "event_id")
     model = training.fit(train, ["f_value", "f_k"])
     return training.score(model, rows).select("event_id", "prediction", r6("probability").alias("probability"))
 

@@ -26,7 +26,7 @@ class Settings:
     features: list[str] | None = None
     alpha: float = fv.DRIFT_ALPHA
     min_n: int = fv.MIN_SAMPLES
-    p_value: str = "auto"
+    p_value: str = "corrected"
     label_drop: float = fv.LABEL_DROP
     stale_days: float = fv.STALE_DAYS
     watched_path: str | None = fv.WATCHED_PATH

@@ -392,7 +392,7 @@ def oracle_sql() -> dict[str, str]:
             h.position as hp, h.text, case when stands_for = cause then 'proven' else 'eliminated' end as st
             from evidence e left join hyp h on e.alert_id = h.alert_id and (contains(lower(h.text), case e.evidence_type
               {' '.join(f'when {q(k)} then {q(v)}' for k, v in fv.EVIDENCE_KEYWORDS.items())} end)
-              or (e.evidence_type = 'feature_drift' and contains(e.description, 'value') and contains(lower(h.text), 'skew'))))
+              or (e.evidence_type = 'feature_drift' and contains(e.description, 'Feature ''value''') and contains(lower(h.text), 'skew'))))
             select alert_id, evidence_type, position, coalesce(arg_max(text, hp), 'General Evidence') as hypothesis,
             coalesce(arg_max(st, hp), 'unresolved') as hypothesis_status from m group by alert_id, evidence_type, position""",
         "investigate": f"""{segment_causes()}, n as (select alert_id, count(*) as ne, count(distinct evidence_type) as nt
@@ -430,7 +430,9 @@ def oracle_sql() -> dict[str, str]:
         "perturb_labels": f"""{ev} select event_id, case when {late} and true_label = 1 and {h('event_id', 'thin')} >= 400 then 0
             else true_label end as true_label from ev""",
         "perturb_stale": f"{ev} select event_id, entity_id, {stamp('ts')} as ts from {pur} where not ({late})",
-        "perturb_shuffle": f"{ev} select scope_id, true_label, count(*) as n from ev group by all",
+        "perturb_shuffle": f"""{ev}, sh as (select event_id, scope_id, true_label, count(*) over (partition by scope_id) as n,
+            row_number() over (partition by scope_id order by md5('shuffle' || event_id::varchar), event_id) as rn from ev)
+            select a.event_id, a.scope_id, b.true_label from sh a join sh b on a.scope_id = b.scope_id and b.rn = a.rn % a.n + 1""",
         "stream_daily_metrics": f"""{ev} select scope_id, ts::date::varchar as day, count(*) as n,
             {r6('avg((prediction = true_label)::int::double)')} as accuracy, {r6('avg(true_label)')} as label_rate,
             {r6('avg(value)')} as feature_mean from ev group by all""",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -37,16 +40,17 @@ def split(df: DataFrame, key: str, seed: str = "42", train_per_thousand: int = 8
 def fit(train: DataFrame, features: list[str], label: str = "label") -> PipelineModel:
     forest = RandomForestClassifier(labelCol=label, featuresCol="_x", numTrees=fv.FOREST_TREES,
                                     maxDepth=fv.FOREST_DEPTH, seed=fv.FOREST_SEED)
-    vectors = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip")
-    return Pipeline(stages=[vectors, forest]).fit(train.select(*features, label))
+    vectors = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
+    return Pipeline(stages=[vectors, forest]).fit(train.select(*features, label).dropna())
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Prediction and probability of the positive class."""
+    """Prediction and probability of the positive class; both null for a row that lacks a feature."""
     keep = [c for c in df.columns if c not in ("prediction", "probability", "rawPrediction")]
+    known = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in model.stages[0].getInputCols()])
     return (model.transform(df.select(*keep))
-            .select(*keep, F.col("prediction").cast("int").alias("prediction"),
-                    F.get(vector_to_array("probability"), F.lit(1)).alias("probability")))
+            .select(*keep, F.when(known, F.col("prediction").cast("int")).alias("prediction"),
+                    F.when(known, F.get(vector_to_array("probability"), F.lit(1))).alias("probability")))
 
 
 def fit_and_evaluate(df: DataFrame, features: list[str], key: str, label: str = "label", scope: str = "all",
@@ -54,7 +58,7 @@ def fit_and_evaluate(df: DataFrame, features: list[str], key: str, label: str =
     """Train on 80 %, measure on the rest; the second result is a row for the model_versions table."""
     train, test = split(df.where(F.col(label).isNotNull()), key)
     model = fit(train, features, label)
-    m = classification_metrics(score(model, test), [], label=label)
+    m = classification_metrics(score(model, test).where("prediction is not null"), [], label=label)
     row = m.select(
         F.lit(scope).alias("scope_id"), F.lit(model_name).alias("model_name"), F.lit(version).alias("version"),
         F.lit(f"{model_name}-{version}").alias("run_id"),

@@ -8,6 +8,7 @@ newest version.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,22 +33,38 @@ def _drain(writer) -> StreamingQuery:
 
 
 def push_once(stream: DataFrame, path: str, checkpoint: str, key: str = "event_id", ts: str = "ts",
-              delay: str = "1 day") -> StreamingQuery:
-    """Append to a feature view, dropping events seen before within the watermark delay."""
-    fresh = (stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
-             .withColumn(ts, as_ntz(F.col(ts))).withColumn("event_date", F.to_date(ts)))
-    return _drain(fresh.writeStream.format("parquet").partitionBy("event_date").outputMode("append")
-                  .option("path", path).option("checkpointLocation", checkpoint))
+              ) -> StreamingQuery:
+    """Append to a feature view every event that it does not hold yet, however late it comes.
+
+    A micro-batch is compared with the days of the view that it touches, so a batch that is repeated after a
+    failure adds only what is missing.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = (batch.withColumn(ts, as_ntz(F.col(ts))).withColumn("event_date", F.to_date(ts)).dropDuplicates([key, "event_date"]))
+        try:
+            seen = batch.sparkSession.read.parquet(path)
+        except AnalysisException as missing:
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        else:
+            first, last = rows.agg(F.min("event_date"), F.max("event_date")).first()
+            seen = seen.where(F.col("event_date").between(F.lit(first), F.lit(last))).select(key, "event_date")
+            rows = rows.join(seen, [key, "event_date"], "left_anti")
+        rows.write.mode("append").partitionBy("event_date").parquet(path)
+
+    return _drain(stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write))
 
 
-def daily_metrics(stream: DataFrame, path: str, checkpoint: str, delay: str = "40 days", ts: str = "ts",
+def daily_metrics(stream: DataFrame, path: str, checkpoint: str, delay: str | None = None, ts: str = "ts",
                   feature: str = "value") -> StreamingQuery:
     """Daily row count, accuracy, label rate and feature mean per scope, kept current as rows arrive.
 
-    ``delay`` bounds the state: rows older than it are dropped, so it has to exceed the disorder.
+    The state is one row per scope and day. Without ``delay`` it is kept and no row is ever too late; with it,
+    days older than that leave the state and rows for them are dropped.
     """
+    stream = stream.withWatermark(ts, delay) if delay else stream
     hit = (F.col("prediction") == F.col("true_label")).cast("double")
-    daily = (stream.withWatermark(ts, delay).groupBy(F.window(ts, "1 day"), "scope_id")
+    daily = (stream.groupBy(F.window(ts, "1 day"), "scope_id")
              .agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy"),
                   F.avg(F.col("true_label").cast("double")).alias("label_rate"), F.avg(feature).alias("feature_mean"))
              .select("scope_id", F.to_date(as_ntz(F.col("window.start"))).alias("day"), "n", "accuracy", "label_rate", "feature_mean"))

@@ -138,10 +138,12 @@ def test_exact_p_equals_closed_form_for_equal_sizes(n, k):
     assert kstest.exact_p(k / n, n, n) == pytest.approx(closed, rel=1e-8)
 
 
-def test_auto_uses_exact_p(spark):
+def test_one_p_method_for_every_size(spark):
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=60), rng.normal(.4, 1, 50)
     r = one(spark, a, b)
+    assert r.p_value == pytest.approx(kstest.exact_p(numpy_ks(a, b), 60, 50), abs=.03)
+    r = one(spark, a, b, p_value="exact")
     assert r.p_value == pytest.approx(kstest.exact_p(numpy_ks(a, b), 60, 50), abs=1e-12)
 
 

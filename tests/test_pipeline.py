@@ -88,11 +88,14 @@ def test_audit_sees_served_scale(spark, rows):
 
 
 def test_shuffled_labels_are_a_permutation(spark, rows):
-    for size in (100_000, 500):
-        out = perturb.shuffle_labels(rows, "true_label", "ingest_seq", rows_per_slot=size)
+    results = []
+    for digits in (1, 3):
+        out = perturb.shuffle_labels(rows, "true_label", "ingest_seq", digits=digits)
+        results.append({r.ingest_seq: r.true_label for r in out.collect()})
         both = rows.select("ingest_seq", F.col("true_label").alias("old")).join(out, "ingest_seq")
         r = both.agg(F.count("*"), F.sum("old"), F.sum("true_label"), F.corr("old", "true_label")).first()
         assert r[0] == 12_000 and r[1] == r[2] and abs(r[3]) < .05
+    assert results[0] == results[1]
 
 
 def test_investigation_end_to_end(spark, rows):
@@ -242,18 +245,18 @@ def arrivals(spark, rows, tmp_path_factory):
 def test_push_once_drops_repeats(spark, arrivals, tmp_path):
     stream = jobs.read_stream(spark, arrivals, spark.read.parquet(arrivals).schema, files_per_batch=1)
     out, state = str(tmp_path / "view"), str(tmp_path / "state")
-    jobs.push_once(stream, out, state, delay="60 days")
+    jobs.push_once(stream, out, state)
     got = spark.read.parquet(out)
     assert spark.read.parquet(arrivals).count() > 12_000
     assert got.count() == got.select("event_id").distinct().count() == 12_000
-    jobs.push_once(stream, out, state, delay="60 days")                       # nothing new: nothing written
+    jobs.push_once(stream, out, state)                       # nothing new: nothing written
     assert spark.read.parquet(out).count() == 12_000
 
 
 def test_daily_metrics_equal_batch(spark, arrivals, tmp_path):
     source = spark.read.parquet(arrivals)
     stream = jobs.read_stream(spark, arrivals, source.schema, files_per_batch=1)
-    jobs.daily_metrics(stream, str(tmp_path / "t"), str(tmp_path / "s"), delay="60 days")
+    jobs.daily_metrics(stream, str(tmp_path / "t"), str(tmp_path / "s"))
     got = {str(r.day): (r.n, round(r.accuracy, 9), round(r.label_rate, 9))
            for r in jobs.current(spark, str(tmp_path / "t"), ["scope_id", "day"]).collect()}
     want = {str(r.day): (r.n, round(r.accuracy, 9), round(r.y, 9)) for r in
@@ -267,7 +270,7 @@ def test_streams_do_not_depend_on_the_session_zone(spark, arrivals, tmp_path):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
         stream = jobs.read_stream(spark, arrivals, spark.read.parquet(arrivals).schema)
-        jobs.daily_metrics(stream, str(tmp_path / "t"), str(tmp_path / "s"), delay="60 days")
+        jobs.daily_metrics(stream, str(tmp_path / "t"), str(tmp_path / "s"))
         got = {(str(r.day), r.n) for r in jobs.current(spark, str(tmp_path / "t"), ["scope_id", "day"]).collect()}
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
