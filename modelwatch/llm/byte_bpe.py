@@ -27,7 +27,7 @@ from .common import slices, strings, table, with_columns_by_batch
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 BUCKETS = (4, 8, 16, 32, 64, 128)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 #: Cells of one padded matrix at most.
 MATRIX_CELLS = 1 << 20
 NO_RANK = np.int32(2**31 - 1)
@@ -198,7 +198,7 @@ def with_decoded(encoded: DataFrame, path: str, pattern: str = public_tokenizers
     return with_columns_by_batch(encoded, [ids], batch, [T.StructField("decoded", T.BinaryType())])
 
 
-def with_digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:
+def with_digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` plus n_tokens, ids_sha256 and decoded_sha256: encode, then decode what was encoded, in one pass."""
     def batch(column: pa.Array) -> list[pa.Array]:
         tool = codec(path, pattern)
@@ -213,9 +213,9 @@ def with_digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PA
         return [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return with_columns_by_batch(docs, [text], batch, fields)
+    return with_columns_by_batch(docs, [text], batch, fields, without)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_digests(docs, public_tokenizers.path(RANKS)).drop("text")
+    return with_digests(docs, public_tokenizers.path(RANKS), without=("text",))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_BYTES, slices, strings, table, with_columns_by_batch
+from .common import SLICE_BYTES, slices, small_batches, strings, table, with_columns_by_batch
 
 WINDOW = 64
 POINTS = 16
@@ -180,6 +180,8 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     Counts are summed on the cluster; at most 1001 rows reach the driver. Ties go to the higher entropy.
     """
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(CLASSES, np.int64)
         for batch in batches:

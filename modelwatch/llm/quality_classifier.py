@@ -115,7 +115,7 @@ def held_out() -> Column:
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    stats = stored(with_counts(docs).select("doc_id", *[c.alias(n) for n, c in statistics().items()]), "op2-stats")
+    stats = stored(with_counts(docs, without=("text",)).select("doc_id", *[c.alias(n) for n, c in statistics().items()]), "op2-stats")
     rows = stored(training_rows(stats.where(~held_out()), labels, "quality"), "op2-train")
     model = fit(rows)
     scored = stats.select("doc_id", held_out().alias("held_out"), model.score().alias("score"))

@@ -123,12 +123,12 @@ def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> Da
     is shuffled. Columns of ``docs`` that have the name of a count are set aside while judging.
     """
     own = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(f"`{text}`").alias("body"))
-    model = fit(with_counts(packed.select("body"), "body"))
-    return judged(with_counts(packed, "body"), model, threshold).where("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in own])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
+    model = fit(with_counts(docs.select(F.col(f"`{text}`").alias("body")), "body", without=("body",)))
+    return judged(with_counts(packed, text, row="row"), model, threshold).where("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in own])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = stored(with_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "op6")
+    counted = stored(with_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), without=("text",)), "op6")
     return judged(counted, fit(counted)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")

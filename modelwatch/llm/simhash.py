@@ -69,12 +69,12 @@ def simhash(h: np.ndarray) -> int:
     return int(np.packbits(2 * votes > len(h), bitorder="little").view("<i8")[0])
 
 
-def with_simhash(docs: DataFrame, shingle: int = 5, text: str = "text", name: str = "fp") -> DataFrame:
+def with_simhash(docs: DataFrame, shingle: int = 5, text: str = "text", name: str = "fp", without: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` plus the fingerprint (long) of each whole text."""
     def batch(column: pa.Array) -> list[pa.Array]:
         return [pa.array([simhash(hashes(t, shingle)) for t in strings(column)], pa.int64())]
 
-    return with_columns_by_batch(docs, [text], batch, [T.StructField(name, T.LongType())])
+    return with_columns_by_batch(docs, [text], batch, [T.StructField(name, T.LongType())], without)
 
 
 # ---- links ----------------------------------------------------------------------------------------
@@ -195,6 +195,7 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def with_sketches(docs: DataFrame, shingle: int, text: str) -> DataFrame:
+    """The columns of ``docs`` but the text, with fp, views and low."""
     def batch(column: pa.Array) -> list[pa.Array]:
         fps, views, lows = [], [], []
         for t in strings(column):
@@ -206,7 +207,7 @@ def with_sketches(docs: DataFrame, shingle: int, text: str) -> DataFrame:
         return [pa.array(fps, pa.int64()), pa.array(views, pa.list_(pa.int64())), pa.array(lows, pa.binary())]
 
     return with_columns_by_batch(docs, [text], batch, [
-        T.StructField("fp", T.LongType()), T.StructField("views", T.ArrayType(T.LongType())), T.StructField("low", T.BinaryType())])
+        T.StructField("fp", T.LongType()), T.StructField("views", T.ArrayType(T.LongType())), T.StructField("low", T.BinaryType())], (text,))
 
 
 def text_id(text: str):
@@ -259,7 +260,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     own = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(f"`{key}`").alias("key"),
                          text_id(text).alias("tid"), F.col(f"`{text}`").alias("body"))
-    made = stored(with_sketches(packed.select("key", "tid", "body"), shingle, "body").drop("body"), "sketches")
+    made = stored(with_sketches(packed.select("key", "tid", "body"), shingle, "body"), "sketches")
     who = F.struct(F.col("key").isNull().alias("none"), "key", "n")
     rows = made.groupBy("tid", "key").agg(F.count("*").alias("n"))
     first = rows.groupBy("tid").agg(F.min(who).alias("who"))
@@ -279,5 +280,5 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    fps = stored(with_simhash(docs, shingle=3).drop("text"), "op3")
+    fps = stored(with_simhash(docs, shingle=3, without=("text",)), "op3")
     return with_components(fps).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

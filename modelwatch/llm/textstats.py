@@ -58,13 +58,16 @@ def counts(text: str) -> tuple[int, ...]:
             len(raw.translate(None, _NOT_LETTERS)) - (size - len(text)))  # further bytes of a letter are none of their own
 
 
-def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus the COUNTS of each whole text (long); null counts as the empty text, all zero."""
+def with_counts(docs: DataFrame, text: str = "text", row: str | None = None, without: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` plus the COUNTS of each whole text (long); null counts as the empty text, all zero.
+
+    With ``row`` the text is that field of the struct column ``row``.
+    """
     def batch(column: pa.Array) -> list[pa.Array]:
-        rows = [counts(t) for t in strings(column)]
+        rows = [counts(t) for t in strings(column.field(text) if row else column)]
         return [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(COUNTS))]
 
-    return with_columns_by_batch(docs, [text], batch, [T.StructField(c, T.LongType()) for c in COUNTS])
+    return with_columns_by_batch(docs, [row or text], batch, [T.StructField(c, T.LongType()) for c in COUNTS], without)
 
 
 def share(part: str, whole: str) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import slices, strings, table, with_columns_by_batch
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: A pre-token of more symbols than this is counted alone, so that its rounds do not hold up the others.
 LONG = 4096
 NO_RANK = np.int32(2**31 - 1)
@@ -155,16 +155,16 @@ def merger(path: str) -> RankMerger:
     return RankMerger(path)
 
 
-def with_token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+def with_token_counts(docs: DataFrame, path: str, text: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` plus n_bytes and n_tokens of each whole text."""
     def batch(column: pa.Array) -> list[pa.Array]:
         texts = strings(column)
         return [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(merger(path).count(texts), pa.int64())]
 
-    return with_columns_by_batch(docs, [text], batch, [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    return with_columns_by_batch(docs, [text], batch, [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())], without)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = with_token_counts(docs, public_tokenizers.path(VOCABULARY))
+    counted = with_token_counts(docs, public_tokenizers.path(VOCABULARY), without=("text",))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
