@@ -47,9 +47,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to its bytes."""
     path = public_tokenizers.path(byte_bpe.RANKS)
-    made = byte_bpe.with_decoded(byte_bpe.with_ids(docs.select("doc_id", "lang", "source", "text"), path), path)
-    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return made.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    made = byte_bpe.with_round_trip(docs.select("doc_id", "lang", "source", "text"), path, without=("text",))
+    return made.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

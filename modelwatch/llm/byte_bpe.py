@@ -198,6 +198,24 @@ def with_decoded(encoded: DataFrame, path: str, pattern: str = public_tokenizers
     return with_columns_by_batch(encoded, [ids], batch, [T.StructField("decoded", T.BinaryType())])
 
 
+def with_round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text",
+                    without: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` plus ids and round_trip (whether they decode to the text's bytes), in one pass of one worker a task."""
+    def batch(column: pa.Array) -> list[pa.Array]:
+        tool = codec(path, pattern)
+        ids, lengths, same = [np.zeros(0, np.int32)], [0], []
+        for part in slices(strings(column)):
+            for t, row in zip(part, tool.encode(part)):
+                ids.append(np.fromiter((i for word in row for i in word), np.int32))
+                lengths.append(len(ids[-1]))
+                same.append(tool.decode(ids[-1].tolist()) == t.encode())
+        return [pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(np.concatenate(ids), pa.int32())),
+                pa.array(same, pa.bool_())]
+
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
+    return with_columns_by_batch(docs, [text], batch, fields, without)
+
+
 def with_digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` plus n_tokens, ids_sha256 and decoded_sha256: encode, then decode what was encoded, in one pass."""
     def batch(column: pa.Array) -> list[pa.Array]:
