@@ -52,11 +52,25 @@ def alert_book(alerts: DataFrame | AlertBook) -> AlertBook:
     return AlertBook(alerts, row[0], row[1], row[2])
 
 
+def day_pruning(df: DataFrame, start, end, reach: int = 0) -> Column:
+    """Condition on ``event_date``, the day of the row's time by which the sinks partition, so that other days' files
+    are not listed for reading; true for frames without that column.
+
+    A day is added on both sides, as the day may have been taken in another time zone. A bound of None is open.
+    """
+    kind = dict(df.dtypes).get("event_date")
+    if kind != "date":
+        return F.lit(True)
+    after = F.lit(True) if start is None else F.col("event_date") >= F.date_sub(F.lit(start).cast("date"), reach + 1)
+    before = F.lit(True) if end is None else F.col("event_date") <= F.date_add(F.lit(end).cast("date"), reach + 1)
+    return after & before
+
+
 def within(df: DataFrame, ts: str, start, end) -> Column:
     """``ts`` in [start, end], the bounds as literals of the column's own type (so they push down)."""
     kind = df.schema[ts].dataType
     kind = kind if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else T.TimestampNTZType()
-    return F.col(ts).between(F.lit(start).cast(kind), F.lit(end).cast(kind))
+    return F.col(ts).between(F.lit(start).cast(kind), F.lit(end).cast(kind)) & day_pruning(df, start, end)
 
 
 def two_window_slice(rows: DataFrame, alerts: DataFrame | AlertBook, ts: str = "ts",

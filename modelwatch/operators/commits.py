@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from .alerts import AlertBook, alert_book
+from .alerts import AlertBook, alert_book, day_pruning
 
 
 def in_window(commits: DataFrame, alerts: DataFrame | AlertBook, path: str | None = fv.WATCHED_PATH,
@@ -20,7 +20,8 @@ def in_window(commits: DataFrame, alerts: DataFrame | AlertBook, path: str | Non
         commits = commits.where(F.exists("changed_files", lambda f: f.contains(path)))
     reach = F.expr(f"INTERVAL {int(days)} DAY")
     kind = commits.schema["committed_at"].dataType
-    near = F.col("committed_at").between(F.lit(book.start).cast(kind) - reach, F.lit(book.end).cast(kind) + reach)
+    near = (F.col("committed_at").between(F.lit(book.start).cast(kind) - reach, F.lit(book.end).cast(kind) + reach)
+            & day_pruning(commits, book.start, book.end, int(days)))
     windows = ["alert_id", (F.col("alert_ts") - reach).alias("_from"), (F.col("alert_ts") + reach).alias("_to")]
     return (book.meet(commits.where(near), "committed_at", windows, [("_from", "_to")])
             .where(F.col("committed_at").between(F.col("_from"), F.col("_to")))

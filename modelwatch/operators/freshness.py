@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.scalars import days_between
-from .alerts import AlertBook, alert_book, within
+from .alerts import AlertBook, alert_book, day_pruning, within
 from .asof import HOT_ROWS, pit_join
 
 
@@ -20,7 +20,7 @@ def feature_lags(logs: DataFrame, view: DataFrame, alerts: DataFrame | AlertBook
     book = alert_book(alerts)
     left = logs.where(within(logs, ts, book.start, book.end)).select("scope_id", entity, F.col(ts).alias("event_ts"))
     kind = view.schema[ts].dataType
-    right = (view.where(F.col(ts) <= F.lit(book.end).cast(kind))
+    right = (view.where((F.col(ts) <= F.lit(book.end).cast(kind)) & day_pruning(view, None, book.end))
              .select("scope_id", entity, F.col(ts).alias("feature_ts")))
     return (pit_join(left, right, ["scope_id", entity], "event_ts", "feature_ts", features=[],
                      matched_ts="feature_ts", hot_rows=hot_rows)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from .alerts import AlertBook, alert_book, two_window_slice
+from .alerts import AlertBook, alert_book, two_window_slice, within
 from .drift import sample_status
 
 
@@ -19,7 +19,8 @@ def label_shift(logs: DataFrame, alerts: DataFrame | AlertBook, threshold: float
     """
     book = alert_book(alerts)
     day_before = F.col("alert_ts") - F.expr("INTERVAL 1 DAY")
-    rows = two_window_slice(logs.where(F.col(label).isNotNull()).select("scope_id", ts, label), book, ts,
+    labelled = logs.where(F.col(label).isNotNull() & within(logs, ts, book.start, book.end))
+    rows = two_window_slice(labelled.select("scope_id", ts, label), book, ts,
                             base=(F.col("active_start"), day_before),
                             target=(F.col("alert_ts"), F.col("active_end")), closed=closed)
     y = F.col(label).cast("double")

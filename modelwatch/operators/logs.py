@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from .alerts import day_pruning
 
 
 def assemble(requests: DataFrame, online: DataFrame, by: list[str] | str) -> DataFrame:
@@ -16,7 +17,7 @@ def assemble(requests: DataFrame, online: DataFrame, by: list[str] | str) -> Dat
 def in_time(logs: DataFrame, start: str, end: str, ts: str = "ts") -> DataFrame:
     """Rows with ``ts`` in the closed interval; the bounds are literals and push down to the scan."""
     kind = logs.schema[ts].dataType
-    return logs.where(F.col(ts).between(F.lit(start).cast(kind), F.lit(end).cast(kind)))
+    return logs.where(F.col(ts).between(F.lit(start).cast(kind), F.lit(end).cast(kind)) & day_pruning(logs, start, end))
 
 
 def latest_investigation(investigations: DataFrame) -> DataFrame:

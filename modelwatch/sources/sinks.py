@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,17 +52,34 @@ def rerun_scope(df: DataFrame, table: str, scope: str) -> None:
     view = f"rerun_{uuid.uuid4().hex}"
     df.select(*columns, "event_date").createOrReplaceTempView(view)
     name = scope.replace("\\", "\\\\").replace("'", "\\'")
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    mode = spark.conf.get(setting)
+    spark.conf.set(setting, "static")  # in dynamic mode the days that df does not bring would stay
     try:
         spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (scope_id = '{name}', event_date) SELECT * FROM {view}")
     finally:
+        spark.conf.set(setting, mode)
         spark.catalog.dropTempView(view)
 
 
 def save_investigations(investigations: DataFrame, evidence: DataFrame, path: str) -> None:
-    """Append log rows and evidence rows; the payload is stored as VARIANT."""
-    investigations.write.mode("append").parquet(f"{path}/investigations")
-    (evidence.withColumn("evidence_data", F.parse_json("evidence_data"))
-     .write.mode("append").parquet(f"{path}/evidence"))
+    """Append the log rows and evidence rows of investigations that the log does not hold yet; the payload is stored as VARIANT.
+
+    A rerun repeats its ids, so saving it again adds nothing. Evidence goes first and the log row last: a save
+    that broke off in between is completed by the next one.
+    """
+    def unseen(df: DataFrame, folder: str) -> DataFrame:
+        try:
+            held = df.sparkSession.read.schema("investigation_id string").parquet(folder).distinct()
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return df
+        return df.join(held, "investigation_id", "left_anti").select(*df.columns)
+
+    records = evidence.withColumn("evidence_data", F.parse_json("evidence_data"))
+    unseen(records, f"{path}/evidence").write.mode("append").parquet(f"{path}/evidence")
+    unseen(investigations, f"{path}/investigations").write.mode("append").parquet(f"{path}/investigations")
 
 
 def save_results(results: DataFrame, path: str) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from modelwatch import fixed_values as fv
 from modelwatch import schemas
 from modelwatch.functions.scalars import clamp_int, logistic_score
-from modelwatch.operators import audit, drift, freshness, labels, logs, metrics, perturb
+from modelwatch.operators import audit, commits, drift, freshness, labels, logs, metrics, perturb
 from modelwatch.plans import investigate, training
 from modelwatch.sources import sinks, tables
 from modelwatch.streaming import jobs
@@ -220,6 +220,52 @@ def test_investigations_and_results_are_saved(spark, tmp_path):
     assert tables.read_results(spark, str(tmp_path / "results")).collect() == res.collect()
 
 
+def test_window_operators_prune_days_by_themselves(spark, tmp_path):
+    days = [(f"u{d % 3}", ts("2026-07-20") + timedelta(days=d, hours=23, minutes=59), d, d % 2) for d in range(30)]
+    sinks.push_features(spark.createDataFrame(days, "entity_id string, ts timestamp_ntz, x int, true_label int"), str(tmp_path / "view"), scope="s")
+    made = [("s", f"c{d}", "ann", ts("2026-07-20") + timedelta(days=d), "m", [fv.WATCHED_PATH], []) for d in range(30)]
+    sinks.push_features(spark.createDataFrame(made, schemas.COMMITS), str(tmp_path / "commits"), ts="committed_at")
+    view, log = tables.read_feature_view(spark, str(tmp_path / "view")), spark.read.parquet(str(tmp_path / "commits"))
+    a = alert(spark, alert_ts="2026-08-06", windows=("2026-07-25", "2026-08-01", "2026-08-03", "2026-08-08"))
+    for rows_of, run in [(view, lambda v: logs.in_time(v, "2026-08-02 00:00:00", "2026-08-05 00:00:00").select("entity_id", "ts", "x")),
+                         (view, lambda v: drift.feature_drift(v, a, ["x"], min_n=1)),
+                         (view, lambda v: labels.label_shift(v, a, min_n=1)),
+                         (view, lambda v: freshness.feature_freshness(v, v, a, min_n=1, hot_rows=None)),
+                         (log, lambda v: commits.in_window(v, a).select("commit_hash", "summary"))]:
+        got = run(rows_of)
+        assert "PartitionFilters: [isnotnull(event_date" in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, got.collect())) == sorted(map(str, run(rows_of.drop("event_date")).collect())) != []
+
+
+def test_saving_an_investigation_again_adds_nothing(spark, tmp_path):
+    inv = spark.createDataFrame([("i", "s", ts("2026-08-05"), "accuracy", .7, "completed", "control", 1.0, ["label_shift"])], schemas.INVESTIGATIONS)
+    ev = spark.createDataFrame([("i", "s", "h", "proven", "feature_drift", "text", '{"ks_stat": 0.5}')] * 2, schemas.EVIDENCE_RECORDS)
+    other = inv.withColumn("investigation_id", F.lit("j"))
+    for a, b in ((inv, ev), (inv, ev), (other, ev.where("false")), (inv.union(other), ev)):
+        sinks.save_investigations(a, b, str(tmp_path))
+    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "investigations")).select("investigation_id").collect()) == ["i", "j"]
+    assert spark.read.parquet(str(tmp_path / "evidence")).count() == 2
+
+
+def test_a_scope_is_replaced_whole_in_dynamic_mode_too(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS mw_dynamic")
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic")
+    try:
+        tables.create_tables(spark, "mw_dynamic")
+        row = [(s, 1, "u", ts("2026-08-01"), 3, 720, .35, 5, 1, .88, 1) for s in "ab"]
+        df = spark.createDataFrame(row, schemas.SERVING_LOGS).withColumn("event_date", F.to_date("ts"))
+        df.select(*spark.table("mw_dynamic.serving_logs").columns).write.insertInto("mw_dynamic.serving_logs")
+        sinks.rerun_scope(df.where("scope_id = 'b'").withColumn("event_date", F.date_add("event_date", 1)), "mw_dynamic.serving_logs", "b")
+        assert sorted((r.scope_id, str(r.event_date)) for r in spark.table("mw_dynamic.serving_logs").collect()) == [
+            ("a", "2026-08-01"), ("b", "2026-08-02")]
+        assert spark.conf.get(setting) == "dynamic"
+    finally:
+        spark.conf.set(setting, before)
+        spark.sql("DROP DATABASE mw_dynamic CASCADE")
+
+
 def test_scenarios_are_read_from_a_json_array(spark, tmp_path):
     (tmp_path / "metadata.json").write_text(
         '[{"scenario_id": "sc_001", "injected_failure": "control", "injected_feature": null, "injection_date": "2026-08-03",'
