@@ -103,13 +103,14 @@ def cut(scored: DataFrame) -> float:
     """Where both classes of rule-covered URLs (score, allow, block) are misjudged equally often."""
     def moments(side: str) -> list[Column]:
         n, x = F.sum(side), F.col("score")
-        return [n.alias(f"n_{side}"), (F.sum(F.col(side) * x) / n).alias(f"m_{side}"), (F.sum(F.col(side) * x * x) / n).alias(f"s_{side}")]
+        return [n.alias(f"n_{side}"), F.sum(F.col(side) * x).alias(f"m_{side}"), F.sum(F.col(side) * x * x).alias(f"s_{side}")]
 
     r = scored.agg(*moments("allow"), *moments("block")).first()
     if not r["n_allow"] or not r["n_block"]:
         return 0.0
-    dev = {s: max(r[f"s_{s}"] - r[f"m_{s}"] ** 2, 0.0) ** 0.5 + 1e-6 for s in ("allow", "block")}
-    return round((r["m_allow"] * dev["block"] + r["m_block"] * dev["allow"]) / (dev["allow"] + dev["block"]), 9)
+    mean = {s: r[f"m_{s}"] / r[f"n_{s}"] for s in ("allow", "block")}
+    dev = {s: max(r[f"s_{s}"] / r[f"n_{s}"] - mean[s] ** 2, 0.0) ** 0.5 + 1e-6 for s in ("allow", "block")}
+    return round((mean["allow"] * dev["block"] + mean["block"] * dev["allow"]) / (dev["allow"] + dev["block"]), 9)
 
 
 def judged(urls: DataFrame, url: str = "url", rules: list[Rule] = RULES) -> DataFrame:
