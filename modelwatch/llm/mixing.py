@@ -120,6 +120,37 @@ def weights_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(WEIGHTS, "node string, weight long")
 
 
+def oracle_sql() -> str:
+    """The selection of ``op7_mix_sources`` as SQL: the fill level by level, then one running sum over each leaf."""
+    paths = [" || '/' || ".join(LEVELS[:d]) for d in range(1, len(LEVELS) + 1)]
+    weights = ", ".join(f"('{node}', {w})" for node, w in WEIGHTS)
+    steps = []
+    for depth, path in enumerate(paths, 1):
+        up = "''" if depth == 1 else paths[depth - 2]
+        steps.append(f"""n{depth} as (select {up} as up, {path} as node, sum(available)::hugeint * {EPOCHS} as capacity from leaves group by all),
+  w{depth} as (select n.*, coalesce(w.weight, 1)::hugeint as weight, g.budget from n{depth} n join g{depth - 1} g using (up) left join weights w on w.node = n.node),
+  r{depth} as (select *, coalesce(sum(capacity) over (partition by up order by capacity::double / weight, node rows between unbounded preceding and 1 preceding), 0) as used,
+    sum(weight) over (partition by up order by capacity::double / weight, node rows between current row and unbounded following) as open from w{depth}),
+  f{depth} as (select *, capacity * open <= weight * (budget - used) as filled from r{depth}),
+  s{depth} as (select *, budget - coalesce(sum(capacity) filter (where filled) over (partition by up), 0) as rest,
+    sum(weight) filter (where not filled) over (partition by up) as free from f{depth}),
+  g{depth} as (select node as up, case when filled then capacity else least(weight * rest // free, capacity) end as budget from s{depth})""")
+    return f"""with docs as (select doc_id, case when source = 'src0' then 'web' else 'curated' end as domain, coalesce(lang, '~') as lang,
+    coalesce(source, '~') as source, md5(coalesce(text, '')) as text_key,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as n_tokens from documents),
+  leaves as (select {", ".join(LEVELS)}, sum(n_tokens) as available from docs group by all),
+  weights as (select * from (values {weights}) t(node, weight)),
+  g0 as (select '' as up, (sum(available) * {SHARE[0]} // {SHARE[1]})::hugeint as budget from leaves),
+  {", ".join(steps)},
+  plan as (select {paths[-1]} as leaf, case when available > 0 then budget // available else 0 end as whole, available, budget
+    from leaves join g{len(LEVELS)} on up = {paths[-1]}),
+  placed as (select d.*, leaf, whole, budget - whole * available as rest,
+    md5('{SEED}:' || whole::varchar || ':' || coalesce(doc_id::varchar, '~')) as place from docs d join plan on leaf = {paths[-1]}),
+  summed as (select *, sum(n_tokens) over (partition by leaf order by place, doc_id nulls first, text_key rows unbounded preceding) as running from placed)
+select doc_id, leaf, n_tokens, (whole + (rest > 0 and running <= rest)::int)::bigint as copies from summed
+where whole + (rest > 0 and running <= rest)::int > 0"""
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(domain().alias("domain"), "lang", "source", F.col("doc_id").alias("key"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), tokens().alias("n_tokens"))

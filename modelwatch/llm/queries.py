@@ -13,4 +13,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     paragraphs.op4_paragraph_dedup, url_filter.op5_url_filter, quality_rules.op6_quality_rules, mixing.op7_mix_sources, token_counts.op8_token_counts,
     byte_bpe.op9_byte_bpe, secret_scan.op10_secret_scan)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_mix_sources": mixing.oracle_sql()}
