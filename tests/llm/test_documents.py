@@ -309,6 +309,36 @@ def test_paragraphs_by_brute_force(docs):
         assert not len(start) or len(set(content.tolist()) & set(again[2].tolist())) >= len(set(content.tolist())) - 3
 
 
+def test_every_passage_of_50_words_has_a_piece_of_its_own():
+    """Verbatim passages between foreign texts, with sentences of 1-60 words or none, share a paragraph or window wholly inside."""
+    rnd = random.Random(4)
+
+    def prose(n, least, most):
+        out, left = [], 0
+        for _ in range(n):
+            w = f"w{rnd.getrandbits(30):x}"
+            if most and left == 0:
+                w, left = w.capitalize(), rnd.randint(least, most)
+            left -= 1
+            out.append(w + ("." if left == 0 else ""))
+        return out
+
+    def pieces(text):
+        a, b, c, _ = paragraphs.paragraphs(text, every=True)
+        x, y, z = paragraphs.windows(text)
+        return {z: (x, y) for x, y, z in zip([*a.tolist(), *x.tolist()], [*b.tolist(), *y.tolist()], [*c.tolist(), *z.tolist()])}
+
+    for least, most in ((1, 60), (10, 20), (15, 26), (26, 40), (60, 60), (0, 0)):
+        for _ in range(60):
+            n, inside = rnd.choice((50, 51, 60)), []
+            passage = prose(n, least, most)
+            for _ in range(2):
+                before = prose(rnd.randint(0, 80), least, most)
+                found = pieces(" ".join([*before, *passage, *prose(rnd.randint(0, 80), least, most)]))
+                inside.append({c for c, (a, b) in found.items() if a >= len(before) and b <= len(before) + n})
+            assert inside[0] & inside[1]
+
+
 def test_near_paragraphs_are_linked(work):
     rnd = random.Random(1)
     base = [f"{'W' if i % 12 == 0 else 'w'}{rnd.getrandbits(40):x}" for i in range(36)]
