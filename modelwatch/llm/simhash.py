@@ -12,7 +12,8 @@ nibbles equal), after which at most 2^12 different fingerprints can meet at all.
 
 Near-duplicate documents (``near_duplicates``) take five-word shingles and a Jaccard similarity of 0.8. A word changed in a
 short text turns more than 3 of the 64 bits, so besides the whole text's fingerprint those of VIEWS small
-samples of its shingles are compared for equality (the zero-budget ring); every meeting is checked on all shingles.
+samples of its shingles are compared for equality (the zero-budget ring). The lowest hashes of both texts decide what they can
+prove; all other pairs that meet are decided on all shingles, read again from the texts.
 
 Results for odd input: null text counts as empty; texts without words have fingerprint zero and are linked
 like any other; equal texts are linked; documents without an id form no part of ``component_id`` minima but get the component of
@@ -30,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stored
-from .common import strings, table, with_columns_by_batch
+from ..session import broadcast_within, stored
+from .common import small_batches, strings, table, with_columns_by_batch
 from .components import components
 
 BITS, MOST = 64, 3
@@ -159,7 +160,7 @@ def with_components(docs: DataFrame, key: str = "doc_id", fp: str = "fp") -> Dat
 
 # ---- near-duplicate documents ------------------------------------------------------------------------
 
-#: Lowest hashes kept of a text to measure its likeness; exact for texts of up to so many different shingles.
+#: Lowest hashes kept of a text; all of them for texts of up to so many different shingles.
 SKETCH = 256
 #: Bits in which two texts of similarity 0.8 differ at most, but for one pair in many thousands (mean 9.7, deviation 2.9).
 FAR = 24
@@ -180,34 +181,52 @@ def sketch(h: np.ndarray, views: int = VIEWS, size: int = VIEW_SIZE) -> tuple[li
         mixed ^= mixed >> np.uint64(32)
         chosen = np.sort(h[np.argpartition(mixed, size - 1)[:size]] if len(h) > size else h)
         made.append(simhash(chosen ^ seed) if len(h) else 0)
-    low = np.unique((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype("<u4"))[:SKETCH]
-    return made, low.tobytes()
+    low = np.sort(h * np.uint64(0x9E3779B97F4A7C15))[:SKETCH]  # an odd factor keeps different hashes apart
+    return made, low.astype("<u8").tobytes()
 
 
 def jaccard(a: bytes, b: bytes) -> float:
-    """Share of common shingles among the lowest SKETCH of both together; two empty sets are alike."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = np.union1d(x, y)[:SKETCH]
-    if not len(both):
-        return 1.0
-    common = np.intersect1d(x, y, assume_unique=True)
-    return float(np.searchsorted(common, both[-1], side="right")) / len(both)
+    """Share of common hashes among all of both sets; two empty sets are alike."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common) if len(x) or len(y) else 1.0
+
+
+def verdict(a: bytes, b: bytes, na: int, nb: int, similarity: float) -> tuple[int, float]:
+    """(1 similar, 0 not, -1 not decided; estimate) from the SKETCH lowest hashes of sets of ``na`` and ``nb``.
+
+    Nothing is decided by chance: sets that are whole are compared; otherwise a pair is refused if the hashes up to the
+    smaller end of both, all known, differ in more than two sets of this likeness can: D <= (1 - s) / (1 + s) * (na + nb).
+    """
+    if na <= SKETCH and nb <= SKETCH:
+        like = jaccard(a, b)
+        return int(like >= similarity), like
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    if min(na, nb) < similarity * max(na, nb):
+        return 0, 0.0
+    end = min(v[-1] for v, n in ((x, na), (y, nb)) if n > SKETCH)
+    x, y = x[:np.searchsorted(x, end, side="right")], y[:np.searchsorted(y, end, side="right")]
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    apart = len(x) + len(y) - 2 * common
+    return (0 if apart * (1 + similarity) > (1 - similarity) * (na + nb) + 1e-6 else -1), common / (common + apart)
 
 
 def with_sketches(docs: DataFrame, shingle: int, text: str) -> DataFrame:
-    """The columns of ``docs`` but the text, with fp, views and low."""
+    """The columns of ``docs`` but the text, with fp, views, low and size (different shingles)."""
     def batch(column: pa.Array) -> list[pa.Array]:
-        fps, views, lows = [], [], []
+        fps, views, lows, sizes = [], [], [], []
         for t in strings(column):
             h = hashes(t, shingle)
             made, low = sketch(h)
             fps.append(simhash(h))
             views.append(made)
             lows.append(low)
-        return [pa.array(fps, pa.int64()), pa.array(views, pa.list_(pa.int64())), pa.array(lows, pa.binary())]
+            sizes.append(len(np.unique(h)))
+        return [pa.array(fps, pa.int64()), pa.array(views, pa.list_(pa.int64())), pa.array(lows, pa.binary()), pa.array(sizes, pa.int32())]
 
     return with_columns_by_batch(docs, [text], batch, [
-        T.StructField("fp", T.LongType()), T.StructField("views", T.ArrayType(T.LongType())), T.StructField("low", T.BinaryType())], (text,))
+        T.StructField("fp", T.LongType()), T.StructField("views", T.ArrayType(T.LongType())), T.StructField("low", T.BinaryType()),
+        T.StructField("size", T.IntegerType())], (text,))
 
 
 def text_id(text: str):
@@ -235,19 +254,68 @@ def candidate_pairs(texts: DataFrame) -> DataFrame:
     return found.select(F.least("tid", "other").alias("a"), F.greatest("tid", "other").alias("b")).distinct()
 
 
-def similar_pairs(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs that pass the full Hamming check and the check of their shingles."""
-    a = texts.select(F.col("tid").alias("a"), F.col("fp").alias("fa"), F.col("low").alias("la"))
-    b = texts.select(F.col("tid").alias("b"), F.col("fp").alias("fb"), F.col("low").alias("lb"))
+def whole_sets(bodies: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(tid, s): all different shingle hashes of the texts (tid, body) that ``wanted`` (tid) names, once each."""
+    small_batches(bodies.sparkSession)
+    names = wanted.select(F.col("tid").alias("w"))
+    met = bodies.join(broadcast_within(names, names.count(), 64), F.col("tid") == F.col("w"), "left_semi").select("tid", "body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(hashes(t, shingle)).astype("<u8").tobytes() for t in strings(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["tid", "s"])
+
+    return met.mapInArrow(run, "tid string, s binary").groupBy("tid").agg(F.max("s").alias("s"))
+
+
+def exact_pairs(bodies: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose whole texts have at least ``similarity`` of all different shingles in common."""
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct(), "wanted")
+    sets = stored(whole_sets(bodies, wanted, shingle), "sets")
+    x, y = [sets.select(F.col("tid").alias(n), F.col("s").alias(f"s{n}")) for n in "ab"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            like = [jaccard(p, q) >= similarity for p, q in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
+
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a string, b string")
+
+
+def similar_pairs(texts: DataFrame, pairs: DataFrame, bodies: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links with the components of all the pairs that are similar on all their shingles.
+
+    What the lowest hashes prove is settled. Of the others each text's likeliest partner is looked at first, on the whole texts; a
+    pair that is then linked over others needs no look of its own.
+    """
+    small_batches(texts.sparkSession)
+    a = texts.select(F.col("tid").alias("a"), F.col("fp").alias("fa"), F.col("low").alias("la"), F.col("size").alias("na"))
+    b = texts.select(F.col("tid").alias("b"), F.col("fp").alias("fb"), F.col("low").alias("lb"), F.col("size").alias("nb"))
     rows = pairs.join(a, "a").join(b, "b").where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            like = [jaccard(x, y) for x, y in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist())]
-            near = pa.array([x >= similarity for x in like], pa.bool_())
-            yield batch.select(["a", "b"]).filter(near)
+            found = [verdict(*x, similarity) for x in zip(*[batch.column(c).to_pylist() for c in ("la", "lb", "na", "nb")])]
+            made = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([v for v, _ in found], pa.int32()),
+                                               pa.array([e for _, e in found], pa.float64())], names=["a", "b", "verdict", "estimate"])
+            yield made.filter(pa.array([v != 0 for v, _ in found], pa.bool_()))
+
+    judged = stored(rows.select("a", "b", "la", "lb", "na", "nb").mapInArrow(run, "a string, b string, verdict int, estimate double"), "judged")
+    sure, open_ = judged.where("verdict = 1").select("a", "b"), judged.where("verdict = -1")
+    if open_.isEmpty():
+        return sure
+    sides = open_.select(F.explode(F.array("a", "b")).alias("t"), F.struct("estimate", "a", "b").alias("p"))
+    likeliest = stored(sides.groupBy("t").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct(), "likeliest")
+    links = stored(sure.unionByName(exact_pairs(bodies, likeliest, similarity, shingle)), "links")
+    rest = stored(unlinked(open_.join(likeliest, ["a", "b"], "left_anti").select("a", "b"), components(links)), "rest")
+    return links if rest.isEmpty() else links.unionByName(exact_pairs(bodies, rest, similarity, shingle))
+
 
-    return rows.select("a", "b", "la", "lb").mapInArrow(run, "a string, b string")
+def unlinked(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components of ``roots``."""
+    roots = stored(roots, "roots")
+    x, y = [roots.select(F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in "ab"]
+    return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -264,9 +332,9 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     who = F.struct(F.col("key").isNull().alias("none"), "key", "n")
     rows = made.groupBy("tid", "key").agg(F.count("*").alias("n"))
     first = rows.groupBy("tid").agg(F.min(who).alias("who"))
-    texts = stored(made.select("tid", "fp", "views", "low").dropDuplicates(["tid"]), "texts")
+    texts = stored(made.select("tid", "fp", "views", "low", "size").dropDuplicates(["tid"]), "texts")
     pairs = stored(candidate_pairs(texts), "pairs")
-    roots = stored(components(similar_pairs(texts, pairs, similarity)), "roots")
+    roots = stored(components(similar_pairs(texts, pairs, packed.select("tid", "body"), similarity, shingle)), "roots")
     grouped = first.join(roots, first["tid"] == roots["node"], "left").groupBy(F.coalesce("root", "tid").alias("root")).agg(
         F.min(F.struct("who.none", "who.key", "tid", "who.n")).alias("w"))
     winners = stored(grouped.select(F.col("w.tid").alias("t"), F.col("w.key").alias("k"), F.col("w.n").alias("n")), "winners")

@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -264,6 +265,24 @@ def test_sketch_is_exact_for_short_texts():
     assert simhash.jaccard(simhash.sketch(a)[1], simhash.sketch(b)[1]) == pytest.approx(want)
 
 
+def test_long_texts_are_decided_on_all_shingles(work):
+    """Pairs of 2000 shingles a hair above and below 0.8: the verdict is that of the whole sets."""
+    rnd = random.Random(12)
+    rows, want = [], set()
+    for g in range(40):
+        base = [f"w{rnd.getrandbits(40):x}" for _ in range(2004)]
+        shared = 1780 if g % 2 else 1776  # of 2000 shingles: 1780 / 2220 = 0.802, 1776 / 2224 = 0.799
+        other = base[:shared + 4] + [f"x{rnd.getrandbits(40):x}" for _ in range(2000 - shared)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+        want |= {2 * g} if g % 2 else {2 * g, 2 * g + 1}
+    bodies = work.createDataFrame(rows, "doc_id long, text string").select(simhash.text_id("text").alias("tid"), F.col("text").alias("body"), "doc_id")
+    texts = simhash.with_sketches(bodies.select("tid", "body"), 5, "body")
+    ids = {r.doc_id: r.tid for r in bodies.select("doc_id", "tid").collect()}
+    pairs = work.createDataFrame([tuple(sorted((ids[2 * g], ids[2 * g + 1]))) for g in range(40)], "a string, b string")
+    found = {(r.a, r.b) for r in simhash.similar_pairs(texts, pairs, bodies, 0.8, 5).collect()}
+    assert found == {tuple(sorted((ids[2 * g], ids[2 * g + 1]))) for g in range(40) if 2 * g + 1 not in want}
+
+
 # ---- 4 -----------------------------------------------------------------------------------------
 
 
