@@ -283,6 +283,17 @@ def test_long_texts_are_decided_on_all_shingles(work):
     assert found == {tuple(sorted((ids[2 * g], ids[2 * g + 1]))) for g in range(40) if 2 * g + 1 not in want}
 
 
+def test_repeated_lines_do_not_hide_a_copy(work):
+    """A ten-word line that the copy has 29 times turns many bits of the fingerprint, but adds few different shingles."""
+    rnd = random.Random(13)
+    rows = []
+    for g in range(20):
+        base = [f"w{rnd.getrandbits(40):x}" for _ in range(300)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:150] + base[140:150] * 29 + base[150:]))]
+    frame = work.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(frame).collect()) == [2 * g for g in range(20)]
+
+
 # ---- 4 -----------------------------------------------------------------------------------------
 
 
