@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from ..session import broadcast_within, stored
 from .common import small_batches, strings, table, with_columns_by_batch
 from .components import components
+from .meetings import links as links_of_meetings
 
 BITS, MOST = 64, 3
 SEGMENTS, SEGMENT_BITS = 8, 8
@@ -231,25 +232,15 @@ def text_id(text: str):
     return F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
-def candidate_pairs(texts: DataFrame) -> DataFrame:
-    """Pairs (a < b) of different texts that meet within 3 bits as a whole, or with equal samples in a view.
-
-    Everyone who meets is paired with the two members at the ends of a random order of the meeting, another order in each
-    view, not with all others: pairs grow with the texts, and a group held together by many
-    links stays connected. Meetings are counted and their ends found by partial sums, so a hot one stays cheap.
-    """
+def meetings(texts: DataFrame) -> DataFrame:
+    """(id, view, value): who meets whom, within 3 bits as a whole or with equal samples in a view."""
     rows = texts.select("tid", F.posexplode("views").alias("view", "value"))
     of_fp = texts.select("tid", F.lit(-1).alias("view"), F.col("fp").alias("value"))
     near = links(texts.select("fp").distinct())
     joined_fp = near.select(F.col("a").alias("fp"), F.col("b").alias("value")).unionByName(
         near.select(F.col("b").alias("fp"), F.col("b").alias("value"))).distinct()
     of_ring = texts.select("tid", "fp").join(stored(joined_fp, "ring"), "fp").select("tid", F.lit(-2).alias("view"), "value")
-    met = stored(rows.unionByName(of_fp).unionByName(of_ring), "meetings")
-    place = F.struct(F.xxhash64("tid", "view").alias("h"), "tid")
-    ends = stored(met.groupBy("view", "value").agg(F.count("*").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi"))
-                  .where("n > 1").select("view", "value", F.col("lo.tid").alias("lo"), F.col("hi.tid").alias("hi")), "ends")
-    found = met.join(ends, ["view", "value"]).select("tid", F.explode(F.array("lo", "hi")).alias("other")).where("tid <> other")
-    return found.select(F.least("tid", "other").alias("a"), F.greatest("tid", "other").alias("b")).distinct()
+    return rows.unionByName(of_fp).unionByName(of_ring).withColumnRenamed("tid", "id")
 
 
 def whole_sets(bodies: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -266,6 +257,16 @@ def whole_sets(bodies: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return met.mapInArrow(run, "tid string, s binary").groupBy("tid").agg(F.max("s").alias("s"))
 
 
+def listed_sets(sets: DataFrame) -> DataFrame:
+    """(id, s) of ``whole_sets``, s as an array."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.frombuffer(s, "<i8") for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "s"])
+
+    return sets.select("tid", "s").mapInArrow(run, "id string, s array<long>")
+
+
 def exact_pairs(bodies: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The pairs (a, b) whose whole texts have at least ``similarity`` of all different shingles in common."""
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct(), "wanted")
@@ -330,8 +331,11 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     rows = made.groupBy("tid", "key").agg(F.count("*").alias("n"))
     first = rows.groupBy("tid").agg(F.min(who).alias("who"))
     texts = stored(made.select("tid", "fp", "views", "low", "size").dropDuplicates(["tid"]), "texts")
-    pairs = stored(candidate_pairs(texts), "pairs")
-    roots = stored(components(similar_pairs(texts, pairs, packed.select("tid", "body"), similarity, shingle)), "roots")
+    bodies = packed.select("tid", "body")
+    alike = links_of_meetings(stored(meetings(texts), "meetings"), ["view", "value"],
+                              lambda pairs: similar_pairs(texts, pairs, bodies, similarity, shingle),
+                              lambda ids: listed_sets(whole_sets(bodies, ids.select(F.col("id").alias("tid")), shingle)), similarity)
+    roots = stored(components(alike), "roots")
     grouped = first.join(roots, first["tid"] == roots["node"], "left").groupBy(F.coalesce("root", "tid").alias("root")).agg(
         F.min(F.struct("who.none", "who.key", "tid", "who.n")).alias("w"))
     winners = stored(grouped.select(F.col("w.tid").alias("t"), F.col("w.key").alias("k"), F.col("w.n").alias("n")), "winners")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from modelwatch.llm import byte_bpe, components, fingerprints, mixing, paragraphs, quality_classifier, quality_rules, secret_scan, simhash, textstats, token_counts
+from modelwatch.llm import byte_bpe, components, fingerprints, meetings, mixing, paragraphs, quality_classifier, quality_rules, secret_scan, simhash, textstats, token_counts
 from modelwatch.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -294,6 +294,36 @@ def test_repeated_lines_do_not_hide_a_copy(work):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(frame).collect()) == [2 * g for g in range(20)]
 
 
+@pytest.mark.parametrize("small", [32, 4])
+def test_meetings_by_brute_force(work, monkeypatch, small):
+    """Buckets of strangers that share half of their shingles, pairs of copies among them, and a group of copies."""
+    monkeypatch.setattr(meetings, "SMALL", small)
+    rnd = random.Random(small)
+    sets, met = {}, []
+    for bucket, (strangers, copies) in enumerate([(12, 4), (60, 10), (3, 1), (0, 1)]):
+        shared = [rnd.getrandbits(40) for _ in range(60)]
+        for k in range(strangers + 2 * copies + 20):
+            if k < strangers or k >= strangers + 2 * copies or (k - strangers) % 2 == 0:
+                own = set(shared + [rnd.getrandbits(40) for _ in range(50 if k < strangers + 2 * copies else 3)])
+            else:
+                own = set(sorted(sets[max(sets)])[4:]) | {rnd.getrandbits(40)}
+            sets[len(sets)] = own
+            met.append((len(sets) - 1, bucket))
+    like = lambda a, b: len(sets[a] & sets[b]) >= .8 * len(sets[a] | sets[b])
+
+    def check(pairs):
+        found = [(r.a, r.b) for r in pairs.collect() if like(r.a, r.b)]
+        return work.createDataFrame(found, "a long, b long")
+
+    def wanted(ids):
+        return work.createDataFrame([(r.id, sorted(sets[r.id])) for r in ids.collect()], "id long, s array<long>")
+
+    made = meetings.links(work.createDataFrame(met, "id long, bucket int"), ["bucket"], check, wanted, .8)
+    roots = {r.node: r.root for r in components.components(made).collect()}
+    want = brute_components(sorted(sets), like)
+    assert all(roots.get(i, i) == want[i] for i in sets)
+
+
 # ---- 4 -----------------------------------------------------------------------------------------
 
 
