@@ -410,6 +410,18 @@ def test_near_paragraphs_are_linked(work):
     assert {r.doc_id for r in found.collect()} <= {1, 2} and paragraphs.repeats(rows.where("false")).count() == 0
 
 
+def test_edited_copies_in_one_bucket_are_linked(work):
+    """Paragraphs that share the start of a licence line gather in few buckets; each edited pair is still linked."""
+    rnd = random.Random(5)
+    line, rows = [f"l{i}" for i in range(57)], []
+    for g in range(40):
+        base = ["Zzz", *line, *[f"w{rnd.getrandbits(40):x}" for _ in range(9)]]
+        other = [*base[:-1], "changed"]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    roots = {r.doc_id: r.component for r in paragraphs.repeats(work.createDataFrame(rows, "doc_id long, text string"), similarity=.9).collect() if r.stop == 67}
+    assert all(roots.get(2 * g) and roots.get(2 * g) == roots.get(2 * g + 1) for g in range(40)) and len(set(roots.values())) == 40
+
+
 # ---- 7 -----------------------------------------------------------------------------------------
 
 
