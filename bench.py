@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -28,6 +29,7 @@ def main() -> None:
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("modelwatch-bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
              .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="modelwatch-bench-"))
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}

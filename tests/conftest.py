@@ -1,6 +1,5 @@
 import os
 import sys
-from datetime import datetime
 
 import pytest
 from pyspark.sql import SparkSession
@@ -9,25 +8,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[8]").appName("modelwatch-tests")
                .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-               .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+               .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
+               .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def ts(text):
-    return datetime.fromisoformat(text)
-
-
-ALERT_DDL = ("alert_id string, scope_id string, model_name string, alert_metric string, alert_value double, "
-             "alert_ts timestamp_ntz, baseline_start timestamp_ntz, baseline_end timestamp_ntz, "
-             "active_start timestamp_ntz, active_end timestamp_ntz")
-
-
-def alert(spark, scope="s", alert_ts="2026-08-05", model="m",
-          windows=("2026-07-01", "2026-07-30", "2026-08-01", "2026-08-10"), alert_id=None):
-    return spark.createDataFrame(
-        [(alert_id or f"a-{scope}", scope, model, "accuracy", 0.7, ts(alert_ts), *[ts(w) for w in windows])], ALERT_DDL)

@@ -3,7 +3,7 @@ from datetime import timedelta
 
 import pandas as pd
 import pytest
-from conftest import ts
+from support import ts
 from pyspark.sql import functions as F
 
 from modelwatch.operators import asof

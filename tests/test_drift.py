@@ -4,7 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from conftest import ALERT_DDL, alert, ts
+from support import ALERT_DDL, alert, ts
 from pyspark.sql import functions as F
 
 from modelwatch import session

@@ -2,7 +2,7 @@ import os
 from datetime import timedelta
 
 import pytest
-from conftest import alert, ts
+from support import alert, ts
 from pyspark.sql import functions as F
 
 from modelwatch import fixed_values as fv
