@@ -66,3 +66,9 @@ def slices(texts: list[str], limit: int = SLICE_BYTES) -> Iterator[list[str]]:
 def strings(column: pa.Array) -> list[str]:
     """Python strings, null as empty."""
     return [t or "" for t in column.to_pylist()]
+
+
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = 32 << 20) -> None:
+    """Arrow batches of at most ``rows`` rows and about ``size`` bytes, whichever comes first, for plans of this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
