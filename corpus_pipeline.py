@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of similarity 0.8 over five-word shingles."""
+    """One document, the one with the smallest id, of each group whose SimHash fingerprints over three-word shingles differ in at most 3 bits."""
     return simhash.drop_near_duplicates(docs)
 
 

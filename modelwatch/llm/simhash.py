@@ -10,10 +10,7 @@ No pair is lost and no key is cut short: equal fingerprints are one row to begin
 BUCKET fingerprints is refined by the same argument on its other 32 bits (at most 3 differences leave 5 of 8
 nibbles equal), after which at most 2^12 different fingerprints can meet at all.
 
-Near-duplicate documents (``near_duplicates``) take five-word shingles and a Jaccard similarity of 0.8. A word changed in a
-short text turns more than 3 of the 64 bits, so besides the whole text's fingerprint those of VIEWS small
-samples of its shingles are compared for equality (the zero-budget ring). The lowest hashes of both texts decide what they can
-prove; all other pairs that meet are decided on all shingles, read again from the texts.
+``drop_near_duplicates`` keeps one document of each component, by the same shingles and the same distance.
 
 Results for odd input: null text counts as empty; texts without words have fingerprint zero and are linked
 like any other; equal texts are linked; documents without an id form no part of ``component_id`` minima but get the component of
@@ -32,14 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import broadcast_within, stored
-from .common import small_batches, strings, table, with_columns_by_batch
+from .common import strings, table, with_columns_by_batch
 from .components import components
-from .meetings import links as links_of_meetings
 
 BITS, MOST = 64, 3
 SEGMENTS, SEGMENT_BITS = 8, 8
 BUCKET = 1024
-VIEWS, VIEW_SIZE = 12, 4
 
 
 def shingles(text: str, size: int) -> list[bytes]:
@@ -161,190 +156,29 @@ def with_components(docs: DataFrame, key: str = "doc_id", fp: str = "fp") -> Dat
 
 # ---- near-duplicate documents ------------------------------------------------------------------------
 
-#: Lowest hashes kept of a text; all of them for texts of up to so many different shingles.
-SKETCH = 256
 
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """``docs`` with one row of each component of fingerprints: the one with the smallest key.
 
-def view_seeds(views: int) -> np.ndarray:
-    """Odd multipliers that order the shingles anew for each view."""
-    x = np.arange(1, views + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)
-
-
-def sketch(h: np.ndarray, views: int = VIEWS, size: int = VIEW_SIZE) -> tuple[list[int], bytes]:
-    """Fingerprints of ``views`` samples of ``size`` shingles (lowest in each view's order), and the SKETCH lowest hashes."""
-    h = np.unique(h)
-    made = []
-    for seed in view_seeds(views):
-        mixed = h * seed
-        mixed ^= mixed >> np.uint64(32)
-        chosen = np.sort(h[np.argpartition(mixed, size - 1)[:size]] if len(h) > size else h)
-        made.append(simhash(chosen ^ seed) if len(h) else 0)
-    low = np.sort(h * np.uint64(0x9E3779B97F4A7C15))[:SKETCH]  # an odd factor keeps different hashes apart
-    return made, low.astype("<u8").tobytes()
-
-
-def jaccard(a: bytes, b: bytes) -> float:
-    """Share of common hashes among all of both sets; two empty sets are alike."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    return common / (len(x) + len(y) - common) if len(x) or len(y) else 1.0
-
-
-def verdict(a: bytes, b: bytes, na: int, nb: int, similarity: float) -> tuple[int, float]:
-    """(1 similar, 0 not, -1 not decided; estimate) from the SKETCH lowest hashes of sets of ``na`` and ``nb``.
-
-    Nothing is decided by chance: sets that are whole are compared; otherwise a pair is refused if the hashes up to the
-    smaller end of both, all known, differ in more than two sets of this likeness can: D <= (1 - s) / (1 + s) * (na + nb).
-    """
-    if na <= SKETCH and nb <= SKETCH:
-        like = jaccard(a, b)
-        return int(like >= similarity), like
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    if min(na, nb) < similarity * max(na, nb):
-        return 0, 0.0
-    end = min(v[-1] for v, n in ((x, na), (y, nb)) if n > SKETCH)
-    x, y = x[:np.searchsorted(x, end, side="right")], y[:np.searchsorted(y, end, side="right")]
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    apart = len(x) + len(y) - 2 * common
-    return (0 if apart * (1 + similarity) > (1 - similarity) * (na + nb) + 1e-6 else -1), common / (common + apart)
-
-
-def with_sketches(docs: DataFrame, shingle: int, text: str) -> DataFrame:
-    """The columns of ``docs`` but the text, with fp, views, low and size (different shingles)."""
-    def batch(column: pa.Array) -> list[pa.Array]:
-        fps, views, lows, sizes = [], [], [], []
-        for t in strings(column):
-            h = hashes(t, shingle)
-            made, low = sketch(h)
-            fps.append(simhash(h))
-            views.append(made)
-            lows.append(low)
-            sizes.append(len(np.unique(h)))
-        return [pa.array(fps, pa.int64()), pa.array(views, pa.list_(pa.int64())), pa.array(lows, pa.binary()), pa.array(sizes, pa.int32())]
-
-    return with_columns_by_batch(docs, [text], batch, [
-        T.StructField("fp", T.LongType()), T.StructField("views", T.ArrayType(T.LongType())), T.StructField("low", T.BinaryType()),
-        T.StructField("size", T.IntegerType())], (text,))
-
-
-def text_id(text: str):
-    return F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-
-
-def meetings(texts: DataFrame) -> DataFrame:
-    """(id, view, value): who meets whom, within 3 bits as a whole or with equal samples in a view."""
-    rows = texts.select("tid", F.posexplode("views").alias("view", "value"))
-    of_fp = texts.select("tid", F.lit(-1).alias("view"), F.col("fp").alias("value"))
-    near = links(texts.select("fp").distinct())
-    joined_fp = near.select(F.col("a").alias("fp"), F.col("b").alias("value")).unionByName(
-        near.select(F.col("b").alias("fp"), F.col("b").alias("value"))).distinct()
-    of_ring = texts.select("tid", "fp").join(stored(joined_fp, "ring"), "fp").select("tid", F.lit(-2).alias("view"), "value")
-    return rows.unionByName(of_fp).unionByName(of_ring).withColumnRenamed("tid", "id")
-
-
-def whole_sets(bodies: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(tid, s): all different shingle hashes of the texts (tid, body) that ``wanted`` (tid) names, once each."""
-    small_batches(bodies.sparkSession)
-    names = wanted.select(F.col("tid").alias("w"))
-    met = bodies.join(broadcast_within(names, names.count(), 64), F.col("tid") == F.col("w"), "left_semi").select("tid", "body")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [np.unique(hashes(t, shingle)).astype("<u8").tobytes() for t in strings(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["tid", "s"])
-
-    return met.mapInArrow(run, "tid string, s binary").groupBy("tid").agg(F.max("s").alias("s"))
-
-
-def listed_sets(sets: DataFrame) -> DataFrame:
-    """(id, s) of ``whole_sets``, s as an array."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [np.frombuffer(s, "<i8") for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "s"])
-
-    return sets.select("tid", "s").mapInArrow(run, "id string, s array<long>")
-
-
-def exact_pairs(bodies: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts have at least ``similarity`` of all different shingles in common."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct(), "wanted")
-    sets = stored(whole_sets(bodies, wanted, shingle), "sets")
-    x, y = [sets.select(F.col("tid").alias(n), F.col("s").alias(f"s{n}")) for n in "ab"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            like = [jaccard(p, q) >= similarity for p, q in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
-
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a string, b string")
-
-
-def similar_pairs(texts: DataFrame, pairs: DataFrame, bodies: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Links with the components of all the pairs that are similar on all their shingles.
-
-    What the lowest hashes prove is settled. Of the others each text's likeliest partner is looked at first, on the whole texts; a
-    pair that is then linked over others needs no look of its own.
-    """
-    small_batches(texts.sparkSession)
-    a, b = [texts.select(F.col("tid").alias(n), F.col("low").alias(f"l{n}"), F.col("size").alias(f"n{n}")) for n in "ab"]
-    rows = pairs.join(a, "a").join(b, "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [verdict(*x, similarity) for x in zip(*[batch.column(c).to_pylist() for c in ("la", "lb", "na", "nb")])]
-            made = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([v for v, _ in found], pa.int32()),
-                                               pa.array([e for _, e in found], pa.float64())], names=["a", "b", "verdict", "estimate"])
-            yield made.filter(pa.array([v != 0 for v, _ in found], pa.bool_()))
-
-    judged = stored(rows.select("a", "b", "la", "lb", "na", "nb").mapInArrow(run, "a string, b string, verdict int, estimate double"), "judged")
-    sure, open_ = judged.where("verdict = 1").select("a", "b"), judged.where("verdict = -1")
-    if open_.isEmpty():
-        return sure
-    sides = open_.select(F.explode(F.array("a", "b")).alias("t"), F.struct("estimate", "a", "b").alias("p"))
-    likeliest = stored(sides.groupBy("t").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct(), "likeliest")
-    links = stored(sure.unionByName(exact_pairs(bodies, likeliest, similarity, shingle)), "links")
-    rest = stored(unlinked(open_.join(likeliest, ["a", "b"], "left_anti").select("a", "b"), components(links)), "rest")
-    return links if rest.isEmpty() else links.unionByName(exact_pairs(bodies, rest, similarity, shingle))
-
-
-def unlinked(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components of ``roots``."""
-    roots = stored(roots, "roots")
-    x, y = [roots.select(F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in "ab"]
-    return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: the one with the smallest key.
-
-    Equal texts are one group; so are texts linked, directly or over others, by ``similarity`` of their shingles. Texts of
-    fewer words than a shingle are alike only if their words are equal. Among repeated rows one stays; a
-    missing key ranks last.
+    Among repeated rows one stays; of different texts with one key the one with the lower md5; a missing key ranks last. Columns of any name
+    pass through. The texts are read twice and are not shuffled while the list of rows that go is small enough for a broadcast.
     """
     own = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(f"`{key}`").alias("key"),
-                         text_id(text).alias("tid"), F.col(f"`{text}`").alias("body"))
-    made = stored(with_sketches(packed.select("key", "tid", "body"), shingle, "body"), "sketches")
-    who = F.struct(F.col("key").isNull().alias("none"), "key", "n")
-    rows = made.groupBy("tid", "key").agg(F.count("*").alias("n"))
-    first = rows.groupBy("tid").agg(F.min(who).alias("who"))
-    texts = stored(made.select("tid", "fp", "views", "low", "size").dropDuplicates(["tid"]), "texts")
-    bodies = packed.select("tid", "body")
-    alike = links_of_meetings(stored(meetings(texts), "meetings"), ["view", "value"],
-                              lambda pairs: similar_pairs(texts, pairs, bodies, similarity, shingle),
-                              lambda ids: listed_sets(whole_sets(bodies, ids.select(F.col("id").alias("tid")), shingle)), similarity)
-    roots = stored(components(alike), "roots")
-    grouped = first.join(roots, first["tid"] == roots["node"], "left").groupBy(F.coalesce("root", "tid").alias("root")).agg(
-        F.min(F.struct("who.none", "who.key", "tid", "who.n")).alias("w"))
-    winners = stored(grouped.select(F.col("w.tid").alias("t"), F.col("w.key").alias("k"), F.col("w.n").alias("n")), "winners")
-    kept = lambda some: packed.join(some, (packed["tid"] == some["t"]) & packed["key"].eqNullSafe(some["k"]), "left_semi")
-    one = kept(winners.where("n = 1")).select("row")
-    repeated = winners.where("n > 1")
+                         F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("tid"), F.col(f"`{text}`").alias("body"))
+    made = stored(with_simhash(packed.select("key", "tid", "body"), shingle, "body", without=("body",)), "prints")
+    rows = stored(made.groupBy("fp", "key", "tid").agg(F.count("*").alias("n")), "rows")
+    roots = stored(components(links(rows.select("fp").distinct())), "roots")
+    named = stored(rows.join(roots, rows["fp"] == roots["node"], "left").select("key", "tid", "n", F.coalesce("root", "fp").alias("root")), "named")
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tid")).alias("w"))
+    judged = stored(named.join(first, "root").select("key", "tid", "n", (F.col("key").eqNullSafe(F.col("w.key")) & (F.col("tid") == F.col("w.tid"))).alias("stays")), "judged")
+    gone = judged.where("NOT stays OR n > 1").select(F.col("key").alias("k"), F.col("tid").alias("t"))
+    kept = packed.join(broadcast_within(gone, gone.count(), 96), (packed["tid"] == gone["t"]) & packed["key"].eqNullSafe(gone["k"]), "left_anti").select("row")
+    repeated = judged.where("stays AND n > 1").select(F.col("key").alias("k"), F.col("tid").alias("t"))
     if not repeated.isEmpty():
-        one = one.unionByName(kept(repeated).dropDuplicates(["tid", "key"]).select("row"))
-    return one.select(*[F.col(f"row.`{c}`").alias(c) for c in own])
+        once = packed.join(repeated, (packed["tid"] == repeated["t"]) & packed["key"].eqNullSafe(repeated["k"]), "left_semi")
+        kept = kept.unionByName(once.dropDuplicates(["tid", "key"]).select("row"))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in own])
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
