@@ -41,8 +41,11 @@ from .common import bounded_batches, slices, strings, table
 A_FILE, B_FILE = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 #: Keys of a segment and of a bucket aimed at, keys of a slice at most, partial vectors that one task of the tree sums.
 SEGMENT_KEYS, BUCKET_KEYS, SLICE_KEYS, FAN_IN = 4096, 3, 4 << 20, 64
-#: Rows handled together when ids are aligned, by tokens.
-TOKENS_A_SLICE = 1 << 20
+#: Tokens aligned together, and bytes of an Arrow batch: two workers of an executor hold several copies of either.
+TOKENS_A_SLICE, BATCH_BYTES = 1 << 18, 8 << 20
+#: Decimal digits of each 16-bit id, left-aligned, and how many they are.
+WIDTHS = np.array([len(str(i)) for i in range(1 << 16)])
+DIGITS = np.array([list(str(i).ljust(5).encode()) for i in range(1 << 16)], np.uint8)
 
 
 # ---- tokenizers -------------------------------------------------------------------------------------------
@@ -91,7 +94,7 @@ def encode(texts: list[str], paths: tuple[str, str]) -> list[tuple[np.ndarray, n
 
 def with_tokens(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """(id, a, b) of (id, body): little-endian 16-bit ids."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, size=BATCH_BYTES)
     if max(len(x) for x in token_lengths(paths)) > 1 << 16:
         raise ValueError("ids are kept in 16 bits")
 
@@ -110,13 +113,16 @@ class Aligned:
     """The links of a run of documents: keys (A id << 16 | B id) in text order, the document of each, and the cuts that close a group."""
 
     def __init__(self, a: list[bytes], b: list[bytes], lengths: tuple[np.ndarray, np.ndarray]):
-        ids = [np.frombuffer(b"".join(side), "<u2").astype(np.int64) for side in (a, b)]
-        self.a, self.b = ids
-        ends_a, ends_b = [np.cumsum(size[own]) for size, own in zip(lengths, ids)]
-        cuts = np.union1d(ends_a, ends_b)
-        self.at_a, self.at_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
-        self.keys = ids[0][self.at_a] << 16 | ids[1][self.at_b]
-        self.closed = (ends_a[self.at_a] == cuts) & (ends_b[self.at_b] == cuts)
+        self.a, self.b = [np.frombuffer(b"".join(side), "<u2") for side in (a, b)]
+        ends_a, ends_b = [np.cumsum(size[own]) for size, own in zip(lengths, (self.a, self.b))]
+        total = int(ends_a[-1]) if len(ends_a) else 0
+        cut_a, cut_b = np.zeros((2, total + 1), bool)
+        cut_a[ends_a], cut_b[ends_b] = True, True
+        cuts = np.flatnonzero(cut_a | cut_b)
+        in_a, in_b = cut_a[cuts], cut_b[cuts]
+        self.at_a, self.at_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b  # tokens that end before the cut
+        self.keys = self.a[self.at_a].astype(np.int64) << 16 | self.b[self.at_b]
+        self.closed = in_a & in_b
         self.n_a, self.n_b = [np.array([len(x) // 2 for x in side], np.int64) for side in (a, b)]
         self.doc = np.repeat(np.arange(len(a)), self.n_a)[self.at_a]
 
@@ -129,14 +135,24 @@ class Aligned:
         return order & 0xFFFFFFFF
 
     def group_digests(self) -> list[str]:
-        """SHA-256 of each document's groups: ``a1,a2|b1;a3|b2,b3``."""
-        last_a, last_b = self.at_a[self.closed] + 1, self.at_b[self.closed] + 1  # ends of groups, in tokens
-        per_doc = np.cumsum(np.bincount(self.doc[self.closed], minlength=len(self.n_a))) if len(self.doc) else np.zeros(len(self.n_a), int)
-        words_a, words_b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
-        ends_a, ends_b = last_a.tolist(), last_b.tolist()
-        groups = [f"{words_a[p] if q - p == 1 else ','.join(words_a[p:q])}|{words_b[r] if s - r == 1 else ','.join(words_b[r:s])}"
-                  for p, q, r, s in zip([0, *ends_a], ends_a, [0, *ends_b], ends_b)]
-        return [hashlib.sha256(";".join(groups[x:y]).encode()).hexdigest() if y > x else "" for x, y in zip([0, *per_doc[:-1].tolist()], per_doc.tolist())]
+        """SHA-256 of each document's groups: ``a1,a2|b1;a3|b2,b3``, spelled for the whole run at once."""
+        stops = [at[self.closed] + 1 for at in (self.at_a, self.at_b)]  # where groups end, in tokens
+        sizes = [np.diff(np.r_[0, x]) for x in stops]
+        n = len(self.a) + len(self.b)
+        ids, sign = np.empty(n, np.int64), np.full(n, ord(","), np.uint8)
+        before = (np.r_[0, stops[1]][:-1], stops[0])  # tokens of the other side that come before a group's own
+        for own, size, shift, stop, last in zip((self.a, self.b), sizes, before, stops, "|;"):
+            ids[np.arange(len(own)) + np.repeat(shift, size)] = own
+            sign[stop - 1 + shift] = ord(last)
+        width = WIDTHS[ids]
+        ends = np.cumsum(width + 1)
+        out = np.empty(int(ends[-1]) if n else 0, np.uint8)
+        for k in range(DIGITS.shape[1]):
+            some = np.flatnonzero(width > k)
+            out[ends[some] - 1 - width[some] + k] = DIGITS[ids[some], k]
+        out[ends - 1] = sign
+        stop = np.r_[0, ends][np.cumsum(self.n_a + self.n_b)].tolist()  # in bytes, by document
+        return [hashlib.sha256(out[x:y - 1]).hexdigest() if y > x else "" for x, y in zip([0, *stop], stop)]
 
 
 def aligned_runs(batch: pa.RecordBatch, lengths: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, Aligned]]:
