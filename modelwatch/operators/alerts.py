@@ -16,7 +16,7 @@ ROW_BYTES = 400
 
 @dataclass(frozen=True)
 class AlertBook:
-    """Alerts with their count and outermost times, read in one small action.
+    """Alerts with their count, number of scopes and outermost times, read in one small action.
 
     The count decides whether the table may be broadcast; the times become literals in scan filters,
     so that partitions and row groups outside every window are never read.
@@ -26,6 +26,7 @@ class AlertBook:
     count: int
     start: object
     end: object
+    scopes: int = 0
 
     def meet(self, rows: DataFrame, ts: str, columns: list[str | Column], spans: list[tuple[str, str]]) -> DataFrame:
         """Rows beside the alerts of their scope; ``spans`` names the (start, end) columns that matter.
@@ -48,8 +49,8 @@ def alert_book(alerts: DataFrame | AlertBook) -> AlertBook:
     row = alerts.agg(
         F.count(F.lit(1)),
         F.min(F.least("baseline_start", "active_start", "alert_ts")).cast("string"),
-        F.max(F.greatest("baseline_end", "active_end", "alert_ts")).cast("string")).first()
-    return AlertBook(alerts, row[0], row[1], row[2])
+        F.max(F.greatest("baseline_end", "active_end", "alert_ts")).cast("string"), F.count_distinct("scope_id")).first()
+    return AlertBook(alerts, *row)
 
 
 def day_pruning(df: DataFrame, start, end, reach: int = 0) -> Column:

@@ -10,6 +10,7 @@ from ..functions.kstest import with_p_value
 from ..functions.scalars import usable
 from ..schemas import feature_columns, present
 from ..session import broadcast_within
+from . import cells
 from .alerts import AlertBook, alert_book, two_window_slice
 from .splits import SLOTS, place, points_of, slot_picks
 
@@ -91,11 +92,12 @@ def sample_status(n1: Column, n2: Column, min_n: int = fv.MIN_SAMPLES) -> Column
 
 def feature_drift(view: DataFrame, alerts: DataFrame | AlertBook, features: list[str] | None = None,
                   alpha: float = fv.DRIFT_ALPHA, min_n: int = fv.MIN_SAMPLES, p_value: str = "corrected",
-                  ts: str = "ts", slots: int = SLOTS, closed: bool = True) -> DataFrame:
+                  ts: str = "ts", slots: int = SLOTS, closed: bool = True, by_day: bool | None = None) -> DataFrame:
     """Two-sample KS drift verdict for every (alert, feature).
 
     A feature that the view lacks, or a window with too few rows, yields a row with a status and no
-    verdict; it never stops the other rows.
+    verdict; it never stops the other rows. Where a scope has several alerts (or ``by_day`` says so) their windows are composed
+    from day cells, which are counted once and stored; otherwise each window's rows are counted apart, in one lazy plan. Both give the same.
     """
     book = alert_book(alerts)
     features = features or feature_columns(view)
@@ -105,6 +107,8 @@ def feature_drift(view: DataFrame, alerts: DataFrame | AlertBook, features: list
     if not known:
         stats = pairs.select(*KEYS, *[F.lit(None).cast("double").alias(c) for c in (
             "baseline_count", "target_count", "baseline_mean", "target_mean", "baseline_std", "target_std", "ks_stat")])
+    elif book.count and (book.count > book.scopes if by_day is None else by_day):
+        stats = cells.ks_of_windows(*cells.stored_cells(view, book, known, ts, closed), known, slots)
     else:
         long = long_features(two_window_slice(view, book, ts, closed=closed), known)
         stats = ks_table(value_counts(long), book.count * len(known), slots)
