@@ -10,19 +10,20 @@ from ..session import broadcast_within
 from .splits import SLOTS, place, points_of, slot_picks
 
 HOT_ROWS = 5_000_000
+MOST_HOT = 8192
 LOST_SLOTS = 4096
 MAX_IN_LIST = 500
 
 
-def _hot_points(rows: DataFrame, keys: list[str], hot_rows: int, slots: int) -> tuple[DataFrame, int]:
-    """Entities with more than ``hot_rows`` rows, each with its time cuts; and their number."""
-    hot = rows.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys)
-    n = hot.count()
-    if n == 0:
-        return hot, 0
-    hot = broadcast_within(hot, n, 64)
-    picks = slot_picks(rows.join(hot, keys, "left_semi"), keys, "_t", slots=slots)
-    return picks.groupBy(*keys).agg(points_of().alias("_points")), n
+def _hot_points(rows: DataFrame, keys: list[str], hot_rows: int, slots: int) -> DataFrame:
+    """Entities with more than ``hot_rows`` rows, each with its time cuts; the MOST_HOT largest of them.
+
+    Nothing runs before the join does. An entity beyond the largest MOST_HOT holds less than one in MOST_HOT of all rows, so
+    it keeps no task busy alone; the limit bounds what is broadcast to MOST_HOT * (8 * slots + 64) bytes.
+    """
+    hot = rows.groupBy(*keys).count().where(F.col("count") > hot_rows).orderBy(F.desc("count"), *keys).limit(MOST_HOT).select(*keys)
+    picks = slot_picks(rows.join(F.broadcast(hot), keys, "left_semi"), keys, "_t", slots=slots)
+    return picks.groupBy(*keys).agg(points_of().alias("_points"))
 
 
 def _tie_break(tie: str | None, features: list[str]) -> Column:
@@ -44,7 +45,8 @@ def pit_join(left: DataFrame, right: DataFrame, by: list[str] | str, left_ts: st
 
     Entities above ``hot_rows`` rows are cut at ``slots`` times into buckets of their own; each bucket
     starts from the closing row of the buckets before it, so the result is the same. Finding them costs
-    one pre-aggregated pass over the key columns; ``hot_rows=None`` leaves it out.
+    one pre-aggregated pass over the key columns, inside the same action; where none is found, adaptive execution drops the rest
+    of that branch. ``hot_rows=None`` leaves it out.
     """
     by = [by] if isinstance(by, str) else list(by)
     features = present(right, features if features is not None else
@@ -71,12 +73,10 @@ def pit_join(left: DataFrame, right: DataFrame, by: list[str] | str, left_ts: st
 
     parts = [*keys, "_salt"]
     if hot_rows is not None:
-        points, n_hot = _hot_points(rows.where(~lost).select(*keys, "_t"), keys, hot_rows, slots)
-        if n_hot:
-            points = broadcast_within(points, n_hot, 8 * slots + 64)
-            rows = place(rows.join(points, keys, "left").withColumn("_hot", F.col("_points").isNotNull()), "_t", slots)
-            rows = rows.unionByName(_carried(rows, keys), allowMissingColumns=True)
-            parts.append("_bucket")
+        points = F.broadcast(_hot_points(rows.where(~lost).select(*keys, "_t"), keys, hot_rows, slots))
+        rows = place(rows.join(points, keys, "left").withColumn("_hot", F.col("_points").isNotNull()), "_t", slots)
+        rows = rows.unionByName(_carried(rows, keys), allowMissingColumns=True)
+        parts.append("_bucket")
 
     w = (Window.partitionBy(*parts).orderBy("_t", "_side", "_q")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))

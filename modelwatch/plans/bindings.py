@@ -8,13 +8,14 @@ Every frame below is derived from the tables, so all work grows with them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.scalars import clamp_int, hash_slot, logistic_score
-from ..operators import asof, audit, commits, drift, freshness, labels, logs, metrics, perturb, registry, rules
+from ..operators import asof, audit, commits, drift, freshness, labels, logs, metrics, perturb, registry, rules, snapshots
 from ..operators.alerts import two_window_slice
 from ..schemas import feature_columns
 from ..session import stored, work_dir
@@ -228,11 +229,23 @@ def feature_drift(spark, sf_dir):
     return rounded(lineitem_drift(spark, sf_dir, "asymptotic").select(*DRIFT_OUT), *DRIFT_ROUND)
 
 
-def feature_drift_auto_p(spark, sf_dir):
-    """As feature_drift, with exact p-values where both samples have at most 10 000 values."""
+def feature_drift_corrected(spark, sf_dir):
+    """As feature_drift, with the finite-size correction of the p-values."""
     return rounded(lineitem_drift(spark, sf_dir, "corrected").select(*DRIFT_OUT), *DRIFT_ROUND)
 
 
+def user_alerts(rows: DataFrame) -> DataFrame:
+    """One alert per user over short windows."""
+    windows = [ntz("2024-01-01"), ntz("2024-01-06"), ntz("2024-01-16"), ntz("2024-01-21")]
+    return alert_frame(rows.select("scope_id").distinct(), F.col("scope_id"), F.lit("m"), F.lit(0.0), ntz("2024-01-16"), windows)
+
+
+def feature_drift_exact(spark, sf_dir):
+    """Exact p-values of every user's few rows."""
+    rows = event_logs(spark, sf_dir).withColumn("scope_id", F.col("entity_id").cast("string"))
+    return rounded(drift.feature_drift(rows, user_alerts(rows), FEATURES, p_value="exact").select(*DRIFT_OUT), *DRIFT_ROUND)
+
+
 def drift_all_alerts(spark, sf_dir):
     rows = event_logs(spark, sf_dir)
     out = drift.feature_drift(rows, day_alerts(rows), FEATURES, p_value="asymptotic")
@@ -242,9 +255,7 @@ def drift_all_alerts(spark, sf_dir):
 def drift_status(spark, sf_dir):
     """One alert per user over short windows: many users have too few rows, and one feature is missing."""
     rows = event_logs(spark, sf_dir).withColumn("scope_id", F.col("entity_id").cast("string"))
-    windows = [ntz("2024-01-01"), ntz("2024-01-06"), ntz("2024-01-16"), ntz("2024-01-21")]
-    alerts = alert_frame(rows.select("scope_id").distinct(), F.col("scope_id"), F.lit("m"), F.lit(0.0),
-                         ntz("2024-01-16"), windows)
+    alerts = user_alerts(rows)
     return (drift.feature_drift(rows, alerts, [*FEATURES, "absent"], p_value="asymptotic")
             .select("alert_id", "feature_name", "status", "baseline_count", "target_count"))
 
@@ -260,6 +271,28 @@ def pit_features(spark, sf_dir):
     return out.select("event_id", "entity_id", "f_value", "f_k", stamp("f_ts").alias("f_ts"))
 
 
+def purchase_snapshots(spark, sf_dir) -> tuple[DataFrame, str]:
+    """The purchases as a feature view, and a folder with its snapshots of three days."""
+    view = purchases(spark, sf_dir).select("entity_id", "ts", "ingest_seq", F.col("value").alias("f_value"), F.col("k").alias("f_k"))
+    path = work_dir(spark, "snapshots")
+    snapshots.take_snapshots(view, path, [date(2024, 1, d) for d in (8, 15, 22)], ["entity_id"], ["f_value", "f_k"], tie="ingest_seq")
+    return view, path
+
+
+def feature_snapshots(spark, sf_dir):
+    """Each user's latest features as three days begin, each day carried on from the one before."""
+    _, path = purchase_snapshots(spark, sf_dir)
+    return spark.read.parquet(path).select(F.col("snapshot_date").cast("string").alias("day"), "entity_id", stamp("ts").alias("ts"), "f_value", "f_k")
+
+
+def pit_window(spark, sf_dir):
+    """pit_features for a few days, from one snapshot and the days since."""
+    view, path = purchase_snapshots(spark, sf_dir)
+    left = others(spark, sf_dir).select("event_id", "entity_id", "ts")
+    out = snapshots.pit_join_within(left, view, path, datetime(2024, 1, 16), datetime(2024, 1, 20, 12), ["entity_id"], ["f_value", "f_k"], tie="ingest_seq", matched_ts="f_ts")
+    return out.select("event_id", "entity_id", "f_value", "f_k", stamp("f_ts").alias("f_ts"))
+
+
 def pit_orders(spark, sf_dir):
     """Shipments with the customer's latest order at ship time."""
     orders = table(spark, sf_dir, "orders")
@@ -676,10 +709,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "two_window_profile": two_window_profile,
     "before_after_profile": before_after_profile,
     "feature_drift": feature_drift,
-    "feature_drift_auto_p": feature_drift_auto_p,
+    "feature_drift_corrected": feature_drift_corrected,
+    "feature_drift_exact": feature_drift_exact,
     "drift_all_alerts": drift_all_alerts,
     "drift_status": drift_status,
     "pit_features": pit_features,
+    "feature_snapshots": feature_snapshots,
+    "pit_window": pit_window,
     "pit_orders": pit_orders,
     "online_features": online_features,
     "assembled_log": assembled_log,

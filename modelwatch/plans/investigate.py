@@ -34,6 +34,7 @@ class Settings:
     audit_features: list[str] = field(default_factory=list)
     max_mismatch: float = 0.05
     hot_rows: int | None = HOT_ROWS
+    snapshots: str | None = None
     rules: rules.RuleConfig = rules.RuleConfig()
 
 
@@ -46,7 +47,7 @@ def gather_evidence(alerts: DataFrame | AlertBook, view: DataFrame, logs: DataFr
         rules.registry_evidence(registry.alert_report(versions, book.frame)),
         rules.commit_evidence(commit_ops.in_window(commits, book, s.watched_path, s.commit_days)),
         rules.label_evidence(label_shift(logs, book, s.label_drop, s.min_n)),
-        rules.freshness_evidence(feature_freshness(logs, view, book, s.stale_days, s.min_n, hot_rows=s.hot_rows)),
+        rules.freshness_evidence(feature_freshness(logs, view, book, s.stale_days, s.min_n, hot_rows=s.hot_rows, snapshots=s.snapshots)),
     ]
     if s.audit_features:
         parts.append(rules.audit_evidence(audit_alerts(logs, view, book, s)))

@@ -1,7 +1,6 @@
 """The registered queries as plain SQL on the same tables, to check the Spark results against.
 
-Pieces that several queries need are CTE texts. Queries without a text here: the forest (no SQL
-counterpart) and exact p-values (no closed form in SQL; tested by enumeration).
+Pieces that several queries need are CTE texts. The forest has no text here.
 """
 
 from __future__ import annotations
@@ -52,13 +51,30 @@ def long(features: list[str]) -> str:
     return f"long as (select * from ({parts}) where v is not null and not isnan(v))"
 
 
-def drift(features: list[str], requested: list[str] | None = None) -> str:
+SERIES = """case when lam < 0.2 then 1.0 else greatest(0.0, least(1.0, 2.0 * list_sum(list_transform(range(1, 101),
+  lambda k: (case when k % 2 = 1 then 1.0 else -1.0 end)::double * exp(-2.0::double * k * k * lam * lam))))) end"""
+
+#: The null distribution by walking the orders of the pooled sample: i of the first t values are from sample one; mass that reaches the bound stops.
+EXACT = """start as (select alert_id, feature_name, n1, n2, round(d * n1 * n2)::bigint as bound from d1 where status = 'ok'),
+walk as (select *, 0 as t, 0 as i, 1.0::double as mass, bound <= 0 as absorbed from start
+  union all
+  select alert_id, feature_name, n1, n2, bound, t + 1, i + s, sum(mass * (case s when 1 then (n1 - i)::double / (n1 + n2 - t)
+    else 1 - (n1 - i)::double / (n1 + n2 - t) end)), abs((i + s) * n2 - (t + 1 - i - s) * n1) >= bound
+  from walk cross join (select unnest([0, 1]) as s) where not absorbed and t < n1 + n2 and (s = 0 or i < n1) and (s = 1 or t - i < n2) group by all),
+px as (select alert_id, feature_name, least(1.0, sum(mass) filter (where absorbed)) as p from walk group by all),
+"""
+
+
+def drift(features: list[str], requested: list[str] | None = None, p: str = "asymptotic") -> str:
     """CTEs from ``sl`` to ``drift`` (one row per alert and feature)."""
     every = requested or features
     missing = [f for f in every if f not in features]
     status = "case when least(n1, n2) < 10 then 'insufficient' else 'ok' end"
     if missing:
         status = f"case when feature_name in ({', '.join(q(f) for f in missing)}) then 'missing_feature' else {status} end"
+    lam = "d * sqrt(n1::double * n2 / nullif(n1 + n2, 0))"
+    if p == "corrected":
+        lam = "d * sqrt(ne) + 1.0::double / (6.0::double * sqrt(ne)) + (d * sqrt(ne) - 1.0::double) / (4.0::double * ne)"
     return f"""{long(features)},
 cnt as (select alert_id, feature_name, v, count(*) filter (where in_base) as cb, count(*) filter (where in_target) as ct
   from long group by all),
@@ -74,9 +90,9 @@ pairs as (select alert_id, scope_id, f.feature_name, f.pos from alerts,
   (select unnest({names(*every)}) as feature_name, unnest(range({len(every)})) as pos) f),
 d0 as (select p.alert_id, p.scope_id, p.feature_name, p.pos, coalesce(c1, 0) as n1, coalesce(c2, 0) as n2, m1, m2, s1, s2, d
   from pairs p left join st using (alert_id, feature_name) left join ks using (alert_id, feature_name)),
-d1 as (select *, {status} as status, d * sqrt(n1::double * n2 / nullif(n1 + n2, 0)) as lam from d0),
-d2 as (select *, case when lam < 0.2 then 1.0 else greatest(0.0, least(1.0, 2.0 * list_sum(list_transform(range(1, 101),
-  lambda k: (case when k % 2 = 1 then 1.0 else -1.0 end)::double * exp(-2.0::double * k * k * lam * lam))))) end as p from d1),
+dn as (select *, {status} as status, greatest(round(n1::double * n2 / nullif(n1 + n2, 0)), 1.0) as ne from d0),
+d1 as (select *, {lam} as lam from dn),
+{EXACT if p == "exact" else ""}d2 as (select d1.*, {"px.p" if p == "exact" else SERIES} as p from d1 {"left join px using (alert_id, feature_name)" if p == "exact" else ""}),
 drift as (select alert_id, scope_id, feature_name, pos, status, n1 as baseline_count, n2 as target_count,
   case when status = 'ok' then m1 end as baseline_mean, case when status = 'ok' then m2 end as target_mean,
   case when status = 'ok' then s1 end as baseline_std, case when status = 'ok' then s2 end as target_std,
@@ -290,10 +306,10 @@ def oracle_sql() -> dict[str, str]:
     pit = f"""pit as (select l.event_id, l.entity_id, l.ts, r.value as f_value, r.k as f_k, r.ts as f_ts
       from {oth} l asof left join {pur} r on l.entity_id = r.entity_id and l.ts >= r.ts)"""
     newest = f"nw as (select * from {pur} qualify row_number() over (partition by entity_id order by ts desc, ingest_seq desc) = 1)"
-    items = f"""with li as (select *, l_returnflag as scope_id from lineitem),
+    items = lambda p="asymptotic": f"""with li as (select *, l_returnflag as scope_id from lineitem),
       alerts as (select distinct scope_id as alert_id, scope_id, timestamp '1996-01-01' as b0, timestamp '1996-12-31' as b1,
       timestamp '1998-01-01' as a0, timestamp '1998-06-30' as a1 from li), {sliced('li', 'l_shipdate')},
-      {drift(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'])}"""
+      {drift(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'], p=p)}"""
     days = f"""alerts as (select distinct scope_id || '-' || strftime(ts, '%Y%m%d') as alert_id, scope_id, ts::date::timestamp - interval 10 day as b0,
       ts::date::timestamp - interval 1 day as b1, ts::date::timestamp as a0, ts::date::timestamp + interval 3 day as a1 from ev)"""
     users = """us as (select * replace (cast(entity_id as varchar) as scope_id) from ev),
@@ -321,11 +337,18 @@ def oracle_sql() -> dict[str, str]:
             {r6('stddev_pop(v) filter (where in_target)')} as target_std from long group by all""",
         "before_after_profile": f"""{ev} select scope_id, ({late})::int as after, count(*) as n, {r6('avg(value)')} as mean_value,
             {r6('avg(k)')} as mean_k from ev group by all""",
-        "feature_drift": f"{items} {DRIFT_SELECT}",
+        "feature_drift": f"{items()} {DRIFT_SELECT}",
+        "feature_drift_corrected": f"{items('corrected')} {DRIFT_SELECT}",
+        "feature_drift_exact": f"with recursive {EV}, {users}, {sliced('us')}, {drift(['value', 'k'], p='exact')} {DRIFT_SELECT}",
         "drift_all_alerts": f"{ev}, {days}, {sliced('ev')}, {drift(['value', 'k'])} {DRIFT_SELECT}",
         "drift_status": f"""{ev}, {users}, {sliced('us')}, {drift(['value', 'k'], ['value', 'k', 'absent'])}
             select alert_id, feature_name, status, baseline_count, target_count from drift""",
         "pit_features": f"{ev}, {pit} select event_id, entity_id, f_value, f_k, {stamp('f_ts')} as f_ts from pit",
+        "feature_snapshots": f"""{ev}, days as (select unnest([date '2024-01-08', date '2024-01-15', date '2024-01-22']) as day)
+            select day::varchar as day, entity_id, {stamp('ts')} as ts, value as f_value, k as f_k from days join {pur} p on p.ts < day
+            qualify row_number() over (partition by day, entity_id order by ts desc, ingest_seq desc) = 1""",
+        "pit_window": f"""{ev}, {pit} select event_id, entity_id, f_value, f_k, {stamp('f_ts')} as f_ts from pit
+            where ts between timestamp '2024-01-16' and timestamp '2024-01-20 12:00:00'""",
         "pit_orders": f"""with l as (select l_orderkey, l_linenumber, o_custkey, l_shipdate as ts from lineitem
             join orders on l_orderkey = o_orderkey),
             r as (select o_custkey, o_orderdate as ts, max(o_orderkey) as last_order, arg_max(o_totalprice, o_orderkey) as last_price

@@ -97,18 +97,30 @@ def test_latest_limits_map_side(spark):
 def test_one_shuffle_when_no_entity_is_hot(spark, tmp_path):
     view(spark).write.parquet(str(tmp_path / "v"))
     stored = spark.read.parquet(str(tmp_path / "v"))
-    plan = asof.pit_join(entities(spark, [("usr_101", "2026-07-03T12:00:00")]), stored, "user_id",
-                         features=["income_band"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    made = asof.pit_join(entities(spark, [("usr_101", "2026-07-03T12:00:00")]), stored, "user_id", features=["income_band"])
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan  # the branch for hot entities is dropped at run time
     assert "credit_score" not in plan.split("FileScan")[1]               # unread columns are pruned
 
 
+def test_nothing_runs_before_the_action(spark, tmp_path):
+    view(spark).write.parquet(str(tmp_path / "v"))
+    right, left = spark.read.parquet(str(tmp_path / "v")), entities(spark, [("usr_101", "2026-07-03T12:00:00")])
+    spark.sparkContext.setJobGroup("as-of", "as-of")
+    made = asof.pit_join(left, right, "user_id", features=["income_band"])
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("as-of")
+    assert made.count() == 1 and spark.sparkContext.statusTracker().getJobIdsForGroup("as-of")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_search_for_hot_entities_reads_keys_only(spark, tmp_path, monkeypatch):
     rows = spark.range(100).select(F.lit("u").alias("e"), F.lit(ts("2026-07-01")).cast("timestamp_ntz").alias("ts"),
                                    F.col("id").alias("wide"))
     rows.write.parquet(str(tmp_path / "l"))
     seen = []
-    monkeypatch.setattr(asof, "_hot_points", lambda r, *a: (seen.append(r), (r, 0))[1])
+    points = asof._hot_points
+    monkeypatch.setattr(asof, "_hot_points", lambda r, *a: (seen.append(r), points(r, *a))[1])
     left = spark.read.parquet(str(tmp_path / "l"))
     asof.pit_join(left, left.select("e", "ts", F.col("wide").alias("x")), "e", features=["x"])
     plan = seen[0].groupBy("_k0").count()._jdf.queryExecution().executedPlan().toString()

@@ -47,9 +47,9 @@ def test_query_without_sql_has_rows(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
 
-def test_exact_p_differs_only_in_p(spark):
+def test_corrected_p_differs_only_in_p(spark):
     by = lambda name: {(r.alert_id, r.feature_name): r for r in entry.queries()[name](spark, SF).collect()}
-    a, b = by("feature_drift"), by("feature_drift_auto_p")
+    a, b = by("feature_drift"), by("feature_drift_corrected")
     assert a.keys() == b.keys()
     assert all(a[k].ks_stat == b[k].ks_stat and math.isclose(a[k].p_value, b[k].p_value, abs_tol=.05) for k in a)
 
