@@ -9,7 +9,7 @@ A leaf's tokens are read in epochs. Each epoch is an order of its documents seed
 more than one epoch takes every document once for each whole epoch, and of the last one the prefix
 of documents that fits: the running sum of tokens stays within what is left.
 
-Results for odd input: null levels are a node of their own (named ``~``); null texts and texts without words hold 0 tokens
+Results for odd input: null levels are a node of their own (named ``~``), and level values may hold any characters (``node_name``); null texts and texts without words hold 0 tokens
 and come along whenever their epoch's order reaches them within the budget; equal ids are ordered by text; repeated rows of a leaf are
 taken or left one by one; an empty table or a budget of 0 gives an empty selection; nodes without a weight weigh 1.
 """
@@ -33,6 +33,12 @@ def tokens(text: str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def node_name(value: Column) -> Column:
+    """A level's value as a part of a path: ``%`` and ``/`` are written %25 and %2F, a lone ``~`` %7E, null is ``~``."""
+    safe = F.replace(F.replace(value, F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))
+    return F.when(value == "~", "%7E").otherwise(F.coalesce(safe, F.lit("~")))
+
+
 def water_fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     """Adds ``grant`` to ``nodes`` (parent..., name, weight, capacity, budget of the parent).
 
@@ -56,7 +62,7 @@ def water_fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 def budgets(leaves: DataFrame, levels: list[str], budget: int, epochs: int, weights: DataFrame | None = None) -> DataFrame:
     """``leaves`` (levels..., available) plus the tokens granted to each (``grant``).
 
-    ``weights``: (node, weight) with the path of a node joined by ``/``, positive integers.
+    ``weights``: (node, weight) with the path of a node, its ``node_name``s joined by ``/``, positive integers.
     """
     path = lambda depth: F.concat_ws("/", *[F.col(f"`{c}`") for c in levels[:depth]])
     granted = leaves.select(F.lit("").alias("up"), F.lit(budget).cast("long").alias("budget")).distinct()
@@ -99,7 +105,7 @@ def selection(rows: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:
 def mixed(rows: DataFrame, levels: list[str], budget_share: tuple[int, int], epochs: int, seed: int,
           weights: DataFrame | None = None) -> DataFrame:
     """``rows`` (levels..., key, text_key, n_tokens) plus leaf and copies, for a budget of a part (numerator, denominator) of all tokens."""
-    clean = rows.withColumns({c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in levels})
+    clean = rows.withColumns({c: node_name(F.col(f"`{c}`").cast("string")) for c in levels})
     clean = clean.withColumn("leaf", F.concat_ws("/", *levels))
     leaves = stored(clean.groupBy("leaf", *levels).agg(F.sum("n_tokens").alias("available")), "leaves")
     total = leaves.agg(F.sum("available")).first()[0] or 0
@@ -135,8 +141,9 @@ def oracle_sql() -> str:
   s{depth} as (select *, budget - coalesce(sum(capacity) filter (where filled) over (partition by up), 0) as rest,
     sum(weight) filter (where not filled) over (partition by up) as free from f{depth}),
   g{depth} as (select node as up, case when filled then capacity else least(weight * rest // free, capacity) end as budget from s{depth})""")
-    return f"""with docs as (select doc_id, case when source = 'src0' then 'web' else 'curated' end as domain, coalesce(lang, '~') as lang,
-    coalesce(source, '~') as source, md5(coalesce(text, '')) as text_key,
+    name = lambda c: f"case when {c} = '~' then '%7E' else coalesce(replace(replace({c}, '%', '%25'), '/', '%2F'), '~') end as {c}"
+    return f"""with docs as (select doc_id, case when source = 'src0' then 'web' else 'curated' end as domain, {name('lang')},
+    {name('source')}, md5(coalesce(text, '')) as text_key,
     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as n_tokens from documents),
   leaves as (select {", ".join(LEVELS)}, sum(n_tokens) as available from docs group by all),
   weights as (select * from (values {weights}) t(node, weight)),

@@ -6,7 +6,9 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from modelwatch.llm import url_filter
+from pyspark.sql import functions as F
+
+from modelwatch.llm import mixing, url_filter
 from modelwatch.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +85,19 @@ def test_op7_is_its_sql(work):
     got = sorted(tuple(r) for r in QUERIES["op7_mix_sources"](work, SF).select("doc_id", "leaf", "n_tokens", "copies").collect())
     duckdb.sql(f"create or replace view documents as from '{SF}/documents.parquet'")
     assert got == sorted(duckdb.sql(ORACLE_SQL["op7_mix_sources"]).fetchall()) and got
+
+
+def test_level_values_with_slashes(work, tmp_path):
+    """Leaves that would be spelled alike stay apart: each row comes once, and SQL agrees."""
+    values = ["a/b", "a", "b", "/", "", "~", None, "%2F", "b/c", "c", "http://x/y"]
+    rows = [(k, f"w{k} " * (k % 7), values[k % 11], values[k * 5 % 11]) for k in range(330)]
+    frame = work.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in QUERIES["op7_mix_sources"](work, str(tmp_path)).select("doc_id", "leaf", "n_tokens", "copies").collect()]
+    assert len({r[0] for r in got}) == len(got)
+    con = duckdb.connect()
+    con.execute(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(got) == sorted(con.execute(ORACLE_SQL["op7_mix_sources"]).fetchall())
+    everything = mixing.mixed(frame.select(mixing.domain().alias("domain"), "lang", "source", F.col("doc_id").alias("key"), F.md5("text").alias("text_key"),
+                                           mixing.tokens().alias("n_tokens")), mixing.LEVELS, (1, 1), 1, 3)
+    assert sorted(r.key for r in everything.where("copies > 0 or n_tokens = 0").collect()) == list(range(330))
