@@ -3,12 +3,15 @@
 URLs that a rule allows or blocks train two variable-order Markov models of characters, up to four characters of
 context, each order smoothed with the next shorter one by how many different characters follow the
 context (Witten-Bell). A URL no rule covers is judged by the mean over its characters of the difference of
-the two log-likelihoods. The cut lies where a rule-allowed and a rule-blocked URL would be misjudged equally
-often under normal scores: means and deviations of both classes calibrate it.
+the two log-likelihoods. The models see all that follows ``://``, query and fragment included, and the whole string where there is no ``://``.
 
-Counts cover every URL and grow with the table; the rules are a short list in the program. Results for
-odd input: a null URL or one without ``://`` has empty host and path and is judged on the end mark alone; equal URLs get equal
-verdicts; repeated rows stay; without any allowed or blocked URL that class is taken as uniform, and the cut as 0.
+The cut lies where a rule-allowed and a rule-blocked URL would be misjudged equally often under normal scores: means and deviations of both classes
+calibrate it. They are taken from covered URLs that the models have not seen: one in HELD_OUT different ones, picked by hash, trains nothing.
+
+Counts grow with the table; the rules are a short list in the program. Results for
+odd input: a null URL or one without ``://`` has empty host and path; null and empty ones are judged on the end mark alone; equal URLs get equal
+verdicts; repeated rows stay; without any allowed or blocked URL that class is taken as uniform, and the cut as 0. If one class has no held-out URL, all covered
+ones calibrate. Further columns pass through, but for those named like a result, which are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .common import table
 ORDER = 4
 ALPHABET = 257
 PAD, END = "\x01", "\x02"
+#: One in so many different URLs calibrates; different URLs whose characters one task spells out.
+HELD_OUT, URLS_A_TASK = 5, 5000
 
 
 @dataclass(frozen=True)
@@ -42,13 +47,15 @@ RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("
 
 
 def with_parts(urls: DataFrame, url: str = "url") -> DataFrame:
-    """Adds host (A-Z lower-cased) and path."""
+    """Adds host (A-Z lower-cased), path, and ``u``, what the models see."""
     whole = F.coalesce(F.col(f"`{url}`"), F.lit(""))
     at = F.instr(whole, "://")
     rest = F.when(at > 0, F.substring(whole, at + 3, F.length(whole))).otherwise("")
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    return urls.withColumn("host", F.translate(host, string.ascii_uppercase, string.ascii_lowercase)).withColumn("path", path)
+    low = F.translate(host, string.ascii_uppercase, string.ascii_lowercase)
+    seen = F.when(at > 0, F.concat(low, F.substring(rest, F.length(host) + 1, F.length(rest)))).otherwise(whole)
+    return urls.withColumns({"host": low, "path": path, "u": seen})
 
 
 def with_rule(parts: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -92,6 +99,7 @@ def with_scores(parts: DataFrame) -> DataFrame:
 
     A URL is carried through the join as 96 bits of hashes. Common grams are hot keys of that join, whose parts Spark splits.
     """
+    parts = parts.repartition(max(1, parts.count() // URLS_A_TASK))  # files are split by bytes, but the work goes by rows
     spelled = parts.select(F.xxhash64("u").alias("h"), F.hash("u").alias("h2"), "allow", "block", F.explode(grams("u")).alias("gram"))
     counts = stored(spelled.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "grams")
     ratios = model(counts)
@@ -115,13 +123,17 @@ def cut(scored: DataFrame) -> float:
 
 def judged(urls: DataFrame, url: str = "url", rules: list[Rule] = RULES) -> DataFrame:
     """``urls`` plus host, path, rule, score and verdict."""
-    rows = with_rule(with_parts(urls, url), rules).withColumn("u", F.concat("host", "path"))
+    rows = with_rule(with_parts(urls, url), rules)
     known = [F.sum((F.col("rule_verdict") == v).cast("long")).alias(v) for v in ("allow", "block")]
     different = stored(rows.groupBy("u").agg(*known).na.fill(0), "urls")
-    scores = stored(with_scores(different), "scores")
+    held = F.pmod(F.xxhash64("u"), F.lit(HELD_OUT)) == 0
+    trained = different.select("u", *[F.when(held, 0).otherwise(F.col(c)).cast("long").alias(c) for c in ("allow", "block")])
+    scores = stored(with_scores(trained), "scores")
     keyed = different.select("u", "allow", "block", F.xxhash64("u").alias("h"), F.hash("u").alias("h2"))
     scored = stored(keyed.join(scores, ["h", "h2"]).select(F.col("u").alias("x"), "allow", "block", "score"), "scored")
-    limit = cut(scored)
+    aside = scored.where(F.pmod(F.xxhash64("x"), F.lit(HELD_OUT)) == 0)
+    both = aside.agg(F.sum("allow"), F.sum("block")).first()
+    limit = cut(aside if all(both) else scored)
     met = rows.join(scored.select("x", "score"), rows["u"] == F.col("x"))
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") >= limit, "allow").otherwise("block"))
     return met.withColumn("verdict", verdict).drop("u", "x", "rule_verdict")
