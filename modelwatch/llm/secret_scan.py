@@ -1,12 +1,13 @@
 """Secret scans with a battery of randomness tests (operator 10). DataFrame operations only.
 
 Three patterns find secrets by their form: assignments, access keys, long hexadecimal runs. The method adds
-strings that look random: every run of 20 or more characters of the base64 alphabets with a letter and a digit is a
+strings that look random: every run of 16 or more characters of the base64 alphabets with a letter and a digit is a
 candidate. Its encoding (hexadecimal, base32, one-case letters and digits, base64) is inferred from
 its characters; as values of that alphabet the characters are tested for uniformity (chi-squared over eight
 classes), for runs above and below the middle, and for serial correlation. Three times the smallest p is the candidate's p.
 In each class of length, false discovery control (Benjamini-Hochberg over p in thousandths, all candidates counted)
-finds those that are not random; shorter classes, whose tests see less, are given a higher rate. The others are reported.
+finds those that are not random. The others are reported. The rate of a class is also the share of truly random strings that may be lost to it, however many others
+there are; the shortest class, where one string in twenty has no digit and so is no candidate, is given a lower one.
 
 Spans are half-open, in code points. Results for odd input: null counts as empty; no spans give the hash of the
 empty string; equal texts have equal spans; repeated rows stay; an empty table gives an empty one.
@@ -23,13 +24,15 @@ from .common import table
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}"
 KINDS = ["assign", "access", "hex", "random"]
 #: Span kinds are numbered as in KINDS, so that spans sort by start, then kind.
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 #: Length classes (from, false discovery rate).
-LENGTHS = [(20, 0.2), (32, 0.1), (64, 0.05)]
+LENGTHS = [(16, 0.03), (20, 0.05), (32, 0.05), (64, 0.05)]
 BINS = 1000
+#: Candidates that one task tests.
+TOKENS_A_TASK = 10_000
 B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 ALPHABETS = [("hex", r"^[0-9a-f]+$", "0123456789abcdef"),
              ("upper hex", r"^[0-9A-F]+$", "0123456789ABCDEF"), ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
@@ -40,7 +43,7 @@ ALPHABETS = [("hex", r"^[0-9a-f]+$", "0123456789abcdef"),
 def matches(text: Column, gate: str, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
     """Spans of the leftmost non-overlapping matches whose ``group`` has ``least`` characters or more.
 
-    The pieces between the matches give the places. ``gate`` is found wherever a match is kept; texts without it are passed over.
+    The pieces between the matches give the places; a pattern of whole runs may state their least length itself. ``gate`` is found wherever a match is kept; texts without it are passed over.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -60,8 +63,8 @@ def matches(text: Column, gate: str, pattern: str, kind: int, group: int = 0, le
 
 def base_spans(text: Column) -> list[Column]:
     return [matches(text, ASSIGN[:-2] + "{12})", ASSIGN, 0, 2, 12),
-            matches(text, ACCESS[:-1] + "{14}", ACCESS, 1, 0, 18),
-            matches(text, HEX[:-1] + "{16}", HEX, 2, 0, 16)]
+            matches(text, ACCESS[:-1] + "{14}", ACCESS[:-1] + "{14,}", 1),
+            matches(text, HEX[:-1] + "{16}", HEX[:-1] + "{16,}", 2)]
 
 
 def tail(z: Column) -> Column:
@@ -118,7 +121,7 @@ def random_limits(tested: DataFrame) -> list[int]:
     """For each length class the bin of p up to which a candidate counts as not random (-1: none).
 
     Benjamini-Hochberg on bins: the last bin whose upper edge is at most rate * (candidates up to it) / (all). At most
-    3 * 1001 counts reach the driver.
+    4 * 1001 counts reach the driver.
     """
     counts = {(r["band"], r["bin"]): r["n"] for r in tested.groupBy("band", "bin").agg(F.count("*").alias("n")).collect()}
     limits = []
@@ -140,7 +143,9 @@ def random_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     spans = hits.select(F.md5("body").alias("tid"), "body", F.explode(matches(F.col("body"), CANDIDATE, CANDIDATE, 3)).alias("s"))
     tokens = spans.select("tid", "s", F.expr("substring(body, s.start + 1, s.end - s.start)").alias("token")).where(
         F.col("token").rlike("[A-Za-z]") & F.col("token").rlike("[0-9]"))
-    tested = with_p(stored(tokens.distinct(), "tokens")).withColumn("band", length_class()).withColumn("bin", F.floor(F.col("p") * BINS))
+    different = stored(tokens.distinct(), "tokens")
+    different = different.repartition(max(1, different.count() // TOKENS_A_TASK))  # small rows, but much work each
+    tested = with_p(different).withColumn("band", length_class()).withColumn("bin", F.floor(F.col("p") * BINS))
     tested = stored(tested.select("tid", "s", "band", "bin"), "tested")
     limits = random_limits(tested)
     limit = F.lit(-1)

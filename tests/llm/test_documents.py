@@ -489,6 +489,24 @@ def test_op10(work, docs):
         check_scan(rows[i], t or "")
 
 
+def test_random_strings_are_found_among_slugs(work):
+    """Nine of ten random strings of each length, whatever stands in the other documents; few slugs are taken for secrets."""
+    rnd = random.Random(21)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = "release notes the quick brown data model page user guide install linux chapter section final draft summary report weekly version".split()
+    rows, want = [], defaultdict(list)
+    for n in (16, 20, 24, 32, 40, 64):
+        for _ in range(150):
+            want[n].append(len(rows))
+            rows.append((len(rows), "Nobody knows what it was: " + "".join(rnd.choice(letters) for _ in range(n)) + " stood there."))
+    slugs = [(len(rows) + k, f"See {'-'.join(rnd.choice(words) for _ in range(rnd.randint(3, 5)))}-{rnd.randrange(3000)} for more.") for k in range(3000)]
+    found = {r.tid for r in secret_scan.random_spans(work.createDataFrame(rows + slugs, "doc_id long, text string")).collect()}
+    of = {i: hashlib.md5(t.encode()).hexdigest() for i, t in rows + slugs}
+    for n, ids in want.items():
+        assert sum(of[i] in found for i in ids) >= .9 * len(ids), n
+    assert sum(of[i] in found for i, _ in slugs) < .3 * len(slugs)
+
+
 def test_secrets_of_odd_texts(work, tmp_path, odd, empty):
     rnd = random.Random(8)
     random_key = "".join(rnd.choice(secret_scan.B64[:62]) for _ in range(48))
