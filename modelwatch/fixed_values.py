@@ -107,7 +107,7 @@ SUMMARY_FRESHNESS = ("Feature store staleness check: average feature age lag is
                      "(Max: %.2f days, Threshold: %s days).")
 SUMMARY_COMMIT = "Commit by %s on %s: %s"
 SUMMARY_VERSIONS = "Compared version %d vs version %d. Param changes: [%s]. Metric deltas: {%s}."
-SUMMARY_SINGLE_VERSION = "Only model version %d is registered."
+SUMMARY_SINGLE_VERSION = "Only model version %d is registered. Parameters: {%s}. Metrics: {%s}."
 
 # Thresholds.
 MIN_SAMPLES = 10

@@ -82,19 +82,46 @@ def alert_report(versions: DataFrame, alerts: DataFrame) -> DataFrame:
                           "version_count": F.coalesce("version_count", F.lit(0))}))
 
 
+def _listed(entries: Column, form: str, *values) -> Column:
+    """``form`` filled in from each entry of a map's sorted entries, joined by commas."""
+    return F.array_join(F.transform(F.array_sort(entries), lambda e: F.format_string(form, *[v(e) for v in values])), ", ")
+
+
 def registry_report(versions: DataFrame) -> DataFrame:
-    """One row per model: counts, versions, accuracy delta, changed keys and the summary sentence."""
+    """One row per model: counts, versions, what the latest run was given and reached, what changed, and the summary sentence.
+
+    latest_params, latest_metrics: the latest version's own maps, whatever the number of versions. param_changes (key -> previous, latest) and
+    metric_changes (key -> previous, latest, delta) are null for a model with one version; accuracy_delta stands alone for the rules.
+    """
+    param, metric = F.col("kind") == "param", F.col("kind") == "metric"
+    pairs = lambda test, value: F.map_from_entries(F.array_sort(F.collect_list(F.when(test, F.struct("key", value.alias("value"))))))
     changes = (diff(versions).groupBy(*MODEL)
-               .agg(F.max(F.when((F.col("kind") == "metric") & (F.col("key") == "accuracy"), F.col("delta")))
-                     .alias("accuracy_delta"),
-                    F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == "param", F.col("key")))), ", ")
-                     .alias("param_keys"),
-                    F.array_join(F.array_sort(F.collect_list(F.when(
-                        F.col("delta").isNotNull(),
-                        F.format_string("%s: %.4f", F.col("key"), F.col("delta"))))), ", ").alias("metric_deltas")))
-    many = F.format_string(fv.SUMMARY_VERSIONS, F.col("latest_version").cast("int"),
-                           F.col("previous_version").cast("int"), F.coalesce("param_keys", F.lit("")),
-                           F.coalesce("metric_deltas", F.lit("")))
-    one = F.format_string(fv.SUMMARY_SINGLE_VERSION, F.col("latest_version").cast("int"))
-    return (version_summary(versions).join(changes, MODEL, "left")
+               .agg(F.max(F.when(metric & (F.col("key") == "accuracy"), F.col("delta"))).alias("accuracy_delta"),
+                    pairs(param, F.struct("previous", "latest")).alias("param_changes"),
+                    pairs(metric, F.struct(F.col("previous_number").alias("previous"), F.col("latest_number").alias("latest"), "delta")).alias("metric_changes")))
+    own = latest_two(versions).where(F.col("version_rank") == 1).select(*MODEL, F.col("params").alias("latest_params"), F.col("metrics").alias("latest_metrics"))
+    deltas = F.filter(F.map_entries("metric_changes"), lambda e: e["value"]["delta"].isNotNull())
+    many = F.format_string(fv.SUMMARY_VERSIONS, F.col("latest_version").cast("int"), F.col("previous_version").cast("int"),
+                           F.coalesce(F.array_join(F.array_sort(F.map_keys("param_changes")), ", "), F.lit("")),
+                           F.coalesce(F.array_join(F.array_sort(F.transform(deltas, lambda e: F.format_string("%s: %.4f", e["key"], e["value"]["delta"]))), ", "), F.lit("")))
+    one = F.format_string(fv.SUMMARY_SINGLE_VERSION, F.col("latest_version").cast("int"),
+                          F.coalesce(_listed(F.map_entries("latest_params"), "'%s': '%s'", lambda e: e["key"], lambda e: e["value"]), F.lit("")),
+                          F.coalesce(_listed(F.map_entries("latest_metrics"), "'%s': %s", lambda e: e["key"], lambda e: e["value"].cast("string")), F.lit("")))
+    return (version_summary(versions).join(own, MODEL, "left").join(changes, MODEL, "left")
             .withColumn("summary", F.when(F.col("status") == "ok", many).otherwise(one)))
+
+
+def report_lines(report: DataFrame) -> DataFrame:
+    """A report's maps as rows: (model, status, counts, kind, key, previous, latest, previous_number, latest_number, delta)."""
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def lines(column: str, kind: str, fill) -> Column:
+        made = F.transform(F.map_entries(column), lambda e: F.struct(F.lit(kind).alias("kind"), e["key"].alias("key"), *[
+            x.alias(n) for n, x in zip(("previous", "latest", "previous_number", "latest_number", "delta"), fill(e["value"]))]))
+        return F.coalesce(made, F.array().cast("array<struct<kind:string,key:string,previous:string,latest:string,previous_number:double,latest_number:double,delta:double>>"))
+
+    every = F.concat(lines("latest_params", "latest_param", lambda v: (text, v, number, number, number)),
+                     lines("latest_metrics", "latest_metric", lambda v: (text, text, number, v, number)),
+                     lines("param_changes", "param_change", lambda v: (v["previous"], v["latest"], number, number, number)),
+                     lines("metric_changes", "metric_change", lambda v: (text, text, v["previous"], v["latest"], v["delta"])))
+    return report.select(*MODEL, "status", "version_count", "latest_version", "previous_version", "latest_run_id", F.inline(every))

@@ -48,13 +48,14 @@ def registry_evidence(report: DataFrame) -> DataFrame:
     """Alerts on models with more than one version."""
     return _evidence(report.where(F.col("version_count") > 1), "model_registry_diff", 2, "multiple_versions_detected", F.lit(0), F.col("summary"),
                      score=F.col("accuracy_delta"),
-                     data=["model_name", "version_count", "latest_version", "previous_version", "accuracy_delta"])
+                     data=["model_name", "version_count", "latest_version", "previous_version", "accuracy_delta", "param_changes", "metric_changes"])
 
 
 def commit_evidence(commits: DataFrame) -> DataFrame:
+    """The commits near an alert. The payload names a commit by its hash; diffs stay where they are, in the commit table."""
     newest_first = -micros(F.col("committed_at"))
     return _evidence(commits, "git_commit", 3, "commit_found", newest_first, F.col("summary"),
-                     data=present(commits, ["commit_hash", "author", "date", "message", "changed_files", "diffs"]))
+                     data=present(commits, ["commit_hash", "author", "date", "message", "changed_files"]))
 
 
 def label_evidence(labels: DataFrame) -> DataFrame:
@@ -69,15 +70,25 @@ def freshness_evidence(freshness: DataFrame) -> DataFrame:
                      data=["matched_count", "mean_lag_days", "max_lag_days"])
 
 
-def audit_evidence(audit: DataFrame) -> DataFrame:
-    """Served-versus-stored mismatches, as a sixth kind of evidence."""
+def audit_evidence(audit: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """Served-versus-stored mismatches, as a sixth kind of evidence, in the order of ``features``."""
     text = F.format_string("Feature '%s' served values differ from stored ones in %.4f of rows (median ratio %.4f).",
                            "feature_name", "mismatch_rate", F.coalesce("median_ratio", F.lit(float("nan"))))
-    return _evidence(audit.where("is_skewed"), "serving_skew", 6, "mismatch_detected", F.lit(0), text,
+    place = F.coalesce(F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature_name")), F.lit(0)) if features else F.lit(0)
+    return _evidence(audit.where("is_skewed"), "serving_skew", 6, "mismatch_detected", place, text,
                      F.col("feature_name"), F.col("median_ratio"),
                      ["feature_name", "matched_count", "mismatch_rate", "median_ratio"])
 
 
+def payload(evidence: DataFrame, path: str, kind: str, data: str = "data") -> DataFrame:
+    """(evidence row's keys, value): what lies at ``path`` of each payload, as ``kind``; text payloads are parsed, VARIANT ones are read.
+
+    Null where the payload has no such place. ``kind`` is a type name, maps and structs included.
+    """
+    whole = F.col(data) if dict(evidence.dtypes)[data] == "variant" else F.try_parse_json(F.col(data))
+    return evidence.select(*[c for c in evidence.columns if c != data], F.try_variant_get(whole, path, kind).alias("value"))
+
+
 def evidence_all(*parts: DataFrame) -> DataFrame:
     """All evidence; (step, position) gives its order within an alert."""
     return reduce(DataFrame.unionByName, [p.select(*EVIDENCE) for p in parts])
@@ -91,7 +102,7 @@ def root_cause(evidence: DataFrame, alerts: DataFrame, config: RuleConfig = Rule
     kind, score = F.col("evidence_type"), F.col("score")
     drift = kind == "feature_drift"
     of = lambda feature: drift & (F.col("feature_name") == feature)
-    at = lambda test: F.when(test, F.col("position"))
+    at = lambda test: F.when(test, F.struct("position", F.coalesce("feature_name", F.lit("")), "description"))  # ties go by name, then text
     flags = evidence.groupBy("alert_id").agg(
         F.bool_or(kind == "git_commit").alias("commit"), F.bool_or(drift).alias("drift"),
         F.bool_or(of(config.bug_feature)).alias("bug_drift"), F.bool_or(of(config.skew_feature)).alias("skew_drift"),

@@ -410,6 +410,12 @@ def registry_metric_diff(spark, sf_dir):
     return rounded(registry.metric_diff(model_versions(spark, sf_dir)), "previous", "latest", "delta")
 
 
+def registry_report(spark, sf_dir):
+    """Reports of a model per customer and order priority, many of which have one version only; a row for each entry of their maps."""
+    orders = table(spark, sf_dir, "orders").withColumn("scope_id", F.col("o_custkey").cast("string"))
+    return rounded(registry.report_lines(registry.registry_report(order_versions(orders))), "previous_number", "latest_number", "delta")
+
+
 def commits_in_window(spark, sf_dir):
     alerts, _, _, _, found = segment_inputs(spark, sf_dir)
     return commits.in_window(found, alerts, path="example.com").select(
@@ -443,6 +449,13 @@ def evidence_text(spark, sf_dir):
     return evidence.select("alert_id", "evidence_type", "position", "description")
 
 
+def evidence_payload(spark, sf_dir):
+    """Metric changes read back out of the payload of the registry evidence."""
+    evidence = segment_investigation(spark, sf_dir, store_evidence=False).evidence.where("evidence_type = 'model_registry_diff'")
+    found = rules.payload(evidence, "$.metric_changes", "map<string,struct<previous:double,latest:double,delta:double>>")
+    return rounded(found.select("alert_id", F.explode("value").alias("key", "v")).select("alert_id", "key", "v.previous", "v.latest", "v.delta"), "previous", "latest", "delta")
+
+
 def root_cause(spark, sf_dir):
     return (segment_investigation(spark, sf_dir, store_evidence=False).causes
             .select("alert_id", "scope_id", "cause", "confidence", F.concat_ws(",", "ruled_out").alias("ruled_out")))
@@ -733,10 +746,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "version_history": version_history,
     "registry_param_diff": registry_param_diff,
     "registry_metric_diff": registry_metric_diff,
+    "registry_report": registry_report,
     "commits_in_window": commits_in_window,
     "diff_line_profile": diff_line_profile,
     "evidence_all": evidence_all,
     "evidence_text": evidence_text,
+    "evidence_payload": evidence_payload,
     "root_cause": root_cause,
     "hypothesis_status": hypothesis_status,
     "evidence_hypothesis": evidence_hypothesis,

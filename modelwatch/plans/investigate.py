@@ -50,7 +50,7 @@ def gather_evidence(alerts: DataFrame | AlertBook, view: DataFrame, logs: DataFr
         rules.freshness_evidence(feature_freshness(logs, view, book, s.stale_days, s.min_n, hot_rows=s.hot_rows, snapshots=s.snapshots)),
     ]
     if s.audit_features:
-        parts.append(rules.audit_evidence(audit_alerts(logs, view, book, s)))
+        parts.append(rules.audit_evidence(audit_alerts(logs, view, book, s), s.audit_features))
     return rules.evidence_all(*parts)
 
 

@@ -161,6 +161,9 @@ mets as (select * from (select scope_id, model_name, 'accuracy' as key, max(accu
   max(open_share) filter (where version_rank = 1) from two group by all) where previous is not null or latest is not null),
 counts as (select scope_id, model_name, count(distinct version) as version_count from ver group by all)"""
 
+CUSTOMER_VERSIONS = VERSIONS.replace("c_mktsegment as scope_id", "o_custkey::varchar as scope_id").replace(
+    "from orders join customer on o_custkey = c_custkey", "from orders")
+
 COMMITS = f"""cm as (select case regexp_extract(url, 'example\\.[a-z]+/([a-z]+)/', 1) when 'en' then 'AUTOMOBILE'
   when 'fr' then 'BUILDING' when 'de' then 'FURNITURE' when 'es' then 'MACHINERY' end as scope_id,
   cast(page_id as varchar) as commit_hash, url, html,
@@ -399,6 +402,23 @@ def oracle_sql() -> dict[str, str]:
         "registry_param_diff": f"with {VERSIONS} select scope_id, model_name, key, previous, latest from params",
         "registry_metric_diff": f"""with {VERSIONS} select scope_id, model_name, key, {r6('previous')} as previous, {r6('latest')} as latest,
             {r6('latest - previous')} as delta from mets""",
+        "registry_report": f"""with {CUSTOMER_VERSIONS}, last as (select * from two where version_rank = 1),
+            gone as (select scope_id, model_name from heads where previous_version is null),
+            lines as (select scope_id, model_name, 'latest_param' as kind, 'modal_status' as key, null as previous, modal_status as latest,
+                null::double as previous_number, null::double as latest_number, null::double as delta from last
+              union all select scope_id, model_name, 'latest_param', 'kind', null, 'forest', null, null, null from last
+              union all select scope_id, model_name, 'latest_param', 'seed', null, seed, null, null, null from last where seed is not null
+              union all select scope_id, model_name, 'latest_metric', 'accuracy', null, null, null, accuracy, null from last
+              union all select scope_id, model_name, 'latest_metric', 'price', null, null, null, price, null from last
+              union all select scope_id, model_name, 'latest_metric', 'open_share', null, null, null, open_share, null from last where open_share is not null
+              union all select scope_id, model_name, 'param_change', key, previous, latest, null, null, null from params anti join gone using (scope_id, model_name)
+              union all select scope_id, model_name, 'metric_change', key, null, null, previous, latest, latest - previous from mets anti join gone using (scope_id, model_name))
+            select scope_id, model_name, case when previous_version is null then 'single_version' else 'ok' end as status, version_count,
+              latest_version::varchar as latest_version, previous_version::varchar as previous_version, latest_run_id, kind, key, previous, latest,
+              {r6('previous_number')} as previous_number, {r6('latest_number')} as latest_number, {r6('delta')} as delta
+            from lines join heads using (scope_id, model_name) join counts using (scope_id, model_name)""",
+        "evidence_payload": f"""{ev}, {SEGMENT}, {scope_alerts('sv')}, {VERSIONS} select alert_id, key, {r6('previous')} as previous, {r6('latest')} as latest,
+            {r6('latest - previous')} as delta from alerts join counts using (scope_id, model_name) join mets using (scope_id, model_name) where version_count > 1""",
         "commits_in_window": f"""{ev}, {SEGMENT}, {scope_alerts('sv')}, {COMMITS} select alert_id, commit_hash,
             {stamp('committed_at')} as committed_at, message, summary, url as changed_file from cw""",
         "diff_line_profile": f"""with d as (select page_id, url, case when length(html) > 0 then string_split(html, chr(10)) else [] end as ls

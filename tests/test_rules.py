@@ -84,6 +84,39 @@ def versions(spark):
                                  "params map<string,string>, metrics map<string,double>")
 
 
+def test_registry_payload_and_single_version(spark):
+    v = spark.createDataFrame([("s", "A", 1, "r1", {"trees": "50", "old": "x"}, {"accuracy": .9, "auc": .8}), ("s", "A", 2, "r2", {"trees": "60", "new": "y"}, {"accuracy": .7, "loss": .5}),
+                               ("s", "B", 3, "r3", {"b": "2", "a": "1"}, {"f1": .25, "accuracy": .5}), ("s", "C", 1, "r4", None, None)],
+                              "scope_id string, model_name string, version int, run_id string, params map<string,string>, metrics map<string,double>")
+    report = {r.model_name: r for r in registry.registry_report(v).collect()}
+    a, b, c = (report[k] for k in "ABC")
+    assert {k: tuple(x) for k, x in a.param_changes.items()} == {"trees": ("50", "60"), "old": ("x", None), "new": (None, "y")}
+    assert {k: tuple(x) for k, x in a.metric_changes.items()} == {"accuracy": (.9, .7, pytest.approx(-.2)), "auc": (.8, None, None), "loss": (None, .5, None)}
+    assert (a.latest_params, a.latest_metrics) == ({"trees": "60", "new": "y"}, {"accuracy": .7, "loss": .5})
+    assert (b.status, b.version_count, b.latest_version, b.latest_run_id, b.param_changes) == ("single_version", 1, "3", "r3", None)
+    assert b.summary == "Only model version 3 is registered. Parameters: {'a': '1', 'b': '2'}. Metrics: {'accuracy': 0.5, 'f1': 0.25}."
+    assert c.summary == "Only model version 1 is registered. Parameters: {}. Metrics: {}."
+    assert a.summary == "Compared version 2 vs version 1. Param changes: [new, old, trees]. Metric deltas: {accuracy: -0.2000}."
+    alerts = spark.createDataFrame([("x", "s", "A"), ("y", "s", "B"), ("z", "s", "none")], "alert_id string, scope_id string, model_name string")
+    evidence = rules.registry_evidence(registry.alert_report(v, alerts))
+    changes = rules.payload(evidence, "$.metric_changes", "map<string,struct<previous:double,latest:double,delta:double>>").collect()
+    assert [(r.alert_id, {k: tuple(x) for k, x in r.value.items()}) for r in changes] == [("x", {"accuracy": (.9, .7, pytest.approx(-.2)), "auc": (.8, None, None), "loss": (None, .5, None)})]
+    kept = evidence.withColumn("data", F.parse_json("data"))  # as the log stores it
+    assert rules.payload(kept, "$.param_changes.trees.latest", "string").first().value == "60"
+    assert rules.payload(kept, "$.nothing", "string").first().value is None
+    lines = {(r.model_name, r.kind, r.key): (r.previous, r.latest, r.latest_number) for r in registry.report_lines(registry.registry_report(v)).collect()}
+    assert lines["B", "latest_param", "a"] == (None, "1", None) and lines["A", "param_change", "old"] == ("x", None, None) and ("C", "latest_param", "a") not in lines
+
+
+def test_ties_go_by_name(spark):
+    rows = [("a", "s", "git_commit", 3, -5, "commit_found", d, None, None, None) for d in ("Commit by z", "Commit by b", "Commit by c")]
+    rows += [("a", "s", "feature_drift", 1, 0, "drift_detected", "d", "credit_score", .01, None)]
+    alerts = spark.createDataFrame([("a", "s")], "alert_id string, scope_id string")
+    ddl = "alert_id string, scope_id string, evidence_type string, step int, position long, status string, description string, feature_name string, score double, data string"
+    for order in (rows, rows[::-1]):
+        assert "Commit by b" in rules.root_cause(spark.createDataFrame(order, ddl), alerts).first().reasoning
+
+
 def test_registry(spark):
     v = versions(spark)
     heads = {(r.scope_id, r.model_name): (r.version_count, r.latest_version, r.previous_version, r.status)
