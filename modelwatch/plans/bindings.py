@@ -700,18 +700,37 @@ def event_stream(spark, sf_dir) -> DataFrame:
 
 
 def stream_daily_metrics(spark, sf_dir):
-    out = work_dir(spark, "daily")
-    jobs.daily_metrics(event_stream(spark, sf_dir), f"{out}/table", f"{out}/state")
-    rows = jobs.current(spark, f"{out}/table", ["scope_id", "day"])
+    state = work_dir(spark, "daily")
+    jobs.daily_state(event_stream(spark, sf_dir), state)
+    rows = jobs.read_daily_state(spark, state)
     return rounded(rows.withColumn("day", F.col("day").cast("string")), "accuracy", "label_rate", "feature_mean")
 
 
 def stream_online_features(spark, sf_dir):
-    out = work_dir(spark, "online")
-    stream = event_stream(spark, sf_dir).where(F.col("scope_id") == "purchase")
-    jobs.online_features(stream, f"{out}/table", f"{out}/state", ["entity_id"], FEATURES)
-    rows = jobs.current(spark, f"{out}/table", ["entity_id"], ["ts", "ingest_seq"])
-    return rows.select("entity_id", stamp("ts").alias("ts"), *FEATURES)
+    state = work_dir(spark, "online")
+    jobs.online_state(event_stream(spark, sf_dir).where(F.col("scope_id") == "purchase"), state, ["entity_id"], FEATURES)
+    return jobs.read_online_state(spark, state).select("entity_id", stamp("ts").alias("ts"), *FEATURES)
+
+
+def stream_push(spark, sf_dir):
+    """Purchases pushed to a view, which a second run over the same files does not double."""
+    out = work_dir(spark, "push")
+    for run in ("first", "again"):
+        jobs.push_once(event_stream(spark, sf_dir).where(F.col("scope_id") == "purchase"), f"{out}/view", f"{out}/{run}")
+    return spark.read.parquet(f"{out}/view").select("event_id", "entity_id", stamp("ts").alias("ts"), *FEATURES)
+
+
+def stream_late_rows(spark, sf_dir):
+    """Events in three arrivals, the last of which brings a tenth of all days: how many rows a five-day watermark would drop."""
+    out = work_dir(spark, "late")
+    rows = event_logs(spark, sf_dir)
+    held = hash_slot(F.col("event_id"), "arrival") < 100
+    early = F.to_date("ts") <= F.lit("2024-01-20").cast("date")
+    for part in (~held & early, ~held & ~early, held):
+        rows.where(part).write.mode("append").parquet(f"{out}/in")
+        jobs.late_rows(jobs.read_stream(spark, f"{out}/in", rows.schema), f"{out}/out", f"{out}/state", "5 days")
+    late = spark.read.parquet(f"{out}/out/late")
+    return late.groupBy("scope_id", F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -777,4 +796,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "forest_scores": forest_scores,
     "stream_daily_metrics": stream_daily_metrics,
     "stream_online_features": stream_online_features,
+    "stream_push": stream_push,
+    "stream_late_rows": stream_late_rows,
 }

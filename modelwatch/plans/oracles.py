@@ -358,6 +358,9 @@ def oracle_sql() -> dict[str, str]:
               from orders group by all)
             select l_orderkey, l_linenumber, l.o_custkey, {stamp('l.ts')} as ts, last_price, last_order::double as last_order
             from l asof left join r on l.o_custkey = r.o_custkey and l.ts >= r.ts""",
+        "stream_push": f"{ev} select event_id, entity_id, {stamp('ts')} as ts, value, k from ev where scope_id = 'purchase'",
+        "stream_late_rows": f"""{ev} select scope_id, ts::date::varchar as day, count(*) as n from ev where {h('event_id', 'arrival')} < 100
+            and ts::date + interval 1 day <= (select max(ts) from ev where {h('event_id', 'arrival')} >= 100) - interval 5 day group by all""",
         "online_features": f"""{ev}, {newest} select entity_id, {stamp('ts')} as ts, value, k from nw
             where entity_id in (select c_custkey from customer)""",
         "assembled_log": f"""{ev}, {newest} select o.event_id, o.entity_id, o.prediction, o.true_label, nw.value, nw.k

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from modelwatch import fixed_values as fv
 from modelwatch import schemas
 from modelwatch.functions.scalars import clamp_int, logistic_score
-from modelwatch.operators import audit, commits, drift, freshness, labels, logs, metrics, perturb
+from modelwatch.operators import asof, audit, commits, drift, freshness, labels, logs, metrics, perturb
 from modelwatch.plans import investigate, training
 from modelwatch.sources import sinks, tables
 from modelwatch.streaming import jobs
@@ -332,3 +332,34 @@ def test_online_features_equal_batch(spark, arrivals, rows, tmp_path):
     assert {(r.entity_id, r.credit_score) for r in now.collect()} == {(r.entity_id, r.credit_score) for r in want.collect()}
     jobs.compact(spark, str(tmp_path / "t"), str(tmp_path / "c"), ["entity_id"], ["ts", "ingest_seq"])
     assert spark.read.parquet(str(tmp_path / "c")).count() == 50
+
+
+def test_state_equals_batch(spark, arrivals, rows, tmp_path):
+    """Keyed state after several micro-batches and a restart, read back by the state reader."""
+    schema = spark.read.parquet(arrivals).schema
+    for _ in range(2):  # the second run finds nothing new
+        jobs.online_state(jobs.read_stream(spark, arrivals, schema, files_per_batch=1), str(tmp_path / "o"), ["entity_id"], ["credit_score"])
+        jobs.daily_state(jobs.read_stream(spark, arrivals, schema, files_per_batch=1), str(tmp_path / "d"), feature="credit_score")
+    whole = spark.read.parquet(arrivals)
+    want = {r.entity_id: (r.ts, r.credit_score) for r in asof.latest(whole, "entity_id", features=["credit_score"], tie="ingest_seq").collect()}
+    got = jobs.read_online_state(spark, str(tmp_path / "o")).collect()
+    assert {r.entity_id: (r.ts, r.credit_score) for r in got} == want and len(got) == len(want)
+    daily = {(r.scope_id, r.d): (r.n, round(r.a, 9)) for r in whole.groupBy("scope_id", F.to_date("ts").alias("d")).agg(
+        F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("true_label")).cast("double")).alias("a")).collect()}
+    assert {(r.scope_id, r.day): (r.n, round(r.accuracy, 9)) for r in jobs.read_daily_state(spark, str(tmp_path / "d")).collect()} == daily
+
+
+def test_late_rows_are_what_the_watermark_drops(spark, tmp_path):
+    ddl = "scope_id string, ts timestamp_ntz, value double, prediction int, true_label int, id int"
+    parts = [[("s", "2026-07-10T12:00:00"), ("s", "2026-07-01T01:00:00")], [("s", "2026-07-20T00:00:00"), ("s", "2026-07-02T00:00:00")],
+             [("s", "2026-07-17T23:00:00"), ("t", "2026-07-18T00:00:00"), ("s", "2026-07-03T00:00:00"), ("s", "2026-07-21T00:00:00")]]
+    for k, part in enumerate(parts):
+        made = [(s, ts(t), 1.0, 1, 1, 10 * k + i) for i, (s, t) in enumerate(part)]
+        spark.createDataFrame(made, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = lambda: jobs.read_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+        jobs.late_rows(stream(), str(tmp_path / "side"), str(tmp_path / "s1"), "2 days")
+        jobs.daily_metrics(stream(), str(tmp_path / "t"), str(tmp_path / "s2"), delay="2 days")
+    late = {r.id for r in spark.read.parquet(str(tmp_path / "side" / "late")).collect()}
+    assert late == {11, 20, 22}  # before the 8th in the second arrival, before the 18th in the third
+    counted = sum(r.n for r in jobs.current(spark, str(tmp_path / "t"), ["scope_id", "day"]).collect())
+    assert counted + len(late) == 8
