@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -38,6 +38,25 @@ def nested(investigations: DataFrame, evidence: DataFrame) -> DataFrame:
             .withColumn("evidence", F.coalesce("evidence", empty)))
 
 
+def paged(investigations: DataFrame, evidence: DataFrame, size: int = 100) -> DataFrame:
+    """``nested`` in rows of bounded length: (investigation..., page, pages, evidence), at most ``size`` items a row, in the order of the evidence.
+
+    An investigation without evidence is one empty page. Items are numbered in sorted order, which spills; only pages are ever lists.
+    """
+    fields = [c for c in evidence.columns if c not in ("investigation_id", "scope_id")]
+    order = [c for c in ("step", "position", "evidence_type") if c in fields] or fields
+    w = Window.partitionBy("investigation_id")
+    numbered = evidence.select("investigation_id", F.struct(*order, *[c for c in fields if c not in order]).alias("item"),
+                               F.row_number().over(w.orderBy(*order)).alias("n"))
+    lists = (numbered.groupBy("investigation_id", F.ceil(F.col("n") / size).cast("long").alias("page"))
+             .agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("e")).select("investigation_id", "page", F.col("e.item").alias("evidence")))
+    counts = evidence.groupBy("investigation_id").agg(F.ceil(F.count(F.lit(1)) / size).cast("long").alias("pages"))
+    one = F.lit(1).cast("long")
+    return (investigations.join(counts, "investigation_id", "left").join(lists, "investigation_id", "left")
+            .withColumns({"page": F.coalesce("page", one), "pages": F.coalesce("pages", one),
+                          "evidence": F.coalesce("evidence", F.array().cast(lists.schema["evidence"].dataType))}))
+
+
 def scenario_status(scenarios: DataFrame, logs: DataFrame) -> DataFrame:
     """Scenarios with a flag that tells whether data of their scope exist."""
     present = logs.select(F.col("scope_id").alias("scenario_id")).distinct().withColumn("_has", F.lit(True))

@@ -19,6 +19,7 @@ from ..operators import asof, audit, commits, drift, freshness, labels, logs, me
 from ..operators.alerts import two_window_slice
 from ..schemas import feature_columns
 from ..session import stored, work_dir
+from ..sources import sinks
 from ..streaming import jobs
 from . import evaluate, investigate, training
 
@@ -511,6 +512,26 @@ def investigations_nested(spark, sf_dir):
                     F.concat_ws(",", F.transform("evidence", lambda e: e["evidence_type"])).alias("evidence_types")))
 
 
+def investigations_paged(spark, sf_dir):
+    """The same in rows of at most two items."""
+    runs, evidence = two_runs(spark, sf_dir)
+    out = logs.paged(runs.select("investigation_id", "cause"), evidence.select("investigation_id", "step", "position", "evidence_type"), 2)
+    return out.select("investigation_id", "page", "pages", "cause", F.concat_ws(",", F.transform("evidence", lambda e: e["evidence_type"])).alias("evidence_types"))
+
+
+def saved_investigations(spark, sf_dir):
+    """Two runs saved, one of them twice, beside one whose save broke off: what readers see."""
+    runs, evidence = two_runs(spark, sf_dir)
+    path, first = work_dir(spark, "saved"), F.col("ts") == F.col("alert_ts")
+    records = evidence.select("investigation_id", "step", "position", "evidence_type", F.col("data").alias("evidence_data"))
+    for part, found in ((first, records), (first, records), (~first, records.where("false"))):
+        sinks.save_investigations(runs.where(part).select("investigation_id", "scope_id", "ts", "cause"), found, path)
+    records.withColumn("evidence_data", F.parse_json("evidence_data")).write.parquet(f"{path}/evidence/run_id=broken")
+    counts = sinks.read_saved(spark, path, "evidence").groupBy("investigation_id").agg(F.count(F.lit(1)).alias("n"))
+    return (sinks.read_saved(spark, path).join(counts, "investigation_id", "left")
+            .select("investigation_id", stamp("ts").alias("ts"), "cause", F.coalesce("n", F.lit(0)).alias("n_evidence")))
+
+
 # ---- scenarios and evaluation -----------------------------------------------------------------
 
 
@@ -778,6 +799,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "investigate_fleet": investigate_fleet,
     "latest_investigation": latest_investigation,
     "investigations_nested": investigations_nested,
+    "investigations_paged": investigations_paged,
+    "saved_investigations": saved_investigations,
     "scenario_table": scenario_table,
     "scenario_status": scenario_status,
     "triage_bucket": triage_bucket,

@@ -453,6 +453,14 @@ def oracle_sql() -> dict[str, str]:
             string_agg(evidence_type, ',' order by evidence_type, step, position) as types from evidence group by alert_id)
             select investigation_id, {stamp('ts')} as ts, cause, case when ts = alert_ts then coalesce(n, 0) else 0 end as n_evidence,
             case when ts = alert_ts then coalesce(types, '') else '' end as evidence_types from runs left join ev2 using (alert_id)""",
+        "investigations_paged": f"""{segment_causes()}, {TWO_RUNS}, ev2 as (select alert_id, evidence_type, row_number() over (partition by alert_id
+            order by step, position, evidence_type) as n, ceil(count(*) over (partition by alert_id) / 2.0)::bigint as pages from evidence),
+            pg as (select alert_id, ceil(n / 2.0)::bigint as page, max(pages) as pages, string_agg(evidence_type, ',' order by n) as types from ev2 group by all)
+            select investigation_id, coalesce(page, 1) as page, coalesce(pages, 1) as pages, cause, coalesce(types, '') as evidence_types
+            from runs left join pg on runs.alert_id = pg.alert_id and ts = alert_ts""",
+        "saved_investigations": f"""{segment_causes()}, {TWO_RUNS}, ev2 as (select alert_id, count(*) as n from evidence group by alert_id)
+            select investigation_id, {stamp('ts')} as ts, cause, case when ts = alert_ts then coalesce(n, 0) else 0 end as n_evidence
+            from runs left join ev2 using (alert_id)""",
         "scenario_table": f"""{customers} select scenario_id, injected_failure, injected_feature, injection_date::varchar as injection_date,
             true_root_cause, expected from sc""",
         "scenario_status": f"{status} select scenario_id, injected_failure, is_materialized from stt",

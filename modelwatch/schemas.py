@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from . import fixed_values as fv
 
-KEY_COLUMNS = {"scope_id", "entity_id", "ts", "ingest_seq", "event_date", "event_id",
+KEY_COLUMNS = {"scope_id", "entity_id", "ts", "ingest_seq", "event_date", "scope_bucket", "event_id",
                "prediction", "probability", "true_label"}
 
 MODEL_VERSIONS = T.StructType([
@@ -65,24 +65,29 @@ SERVING_LOGS = T.StructType([
 
 INVESTIGATIONS = T.StructType([
     T.StructField("investigation_id", T.StringType()),
+    T.StructField("alert_id", T.StringType()),
     T.StructField("scope_id", T.StringType()),
     T.StructField("ts", T.TimestampNTZType()),
     T.StructField("alert_metric", T.StringType()),
     T.StructField("alert_value", T.DoubleType()),
+    T.StructField("alert_ts", T.TimestampNTZType()),
     T.StructField("status", T.StringType()),
     T.StructField("cause", T.StringType()),
     T.StructField("confidence", T.DoubleType()),
     T.StructField("ruled_out", T.ArrayType(T.StringType())),
+    T.StructField("reasoning", T.StringType()),
 ])
 
 EVIDENCE_RECORDS = T.StructType([
     T.StructField("investigation_id", T.StringType()),
     T.StructField("scope_id", T.StringType()),
+    T.StructField("step", T.IntegerType()),
+    T.StructField("position", T.LongType()),
     T.StructField("hypothesis", T.StringType()),
     T.StructField("status", T.StringType()),
     T.StructField("evidence_type", T.StringType()),
     T.StructField("evidence_summary", T.StringType()),
-    T.StructField("evidence_data", T.StringType()),
+    T.StructField("evidence_data", T.VariantType()),
 ])
 
 SCENARIOS = T.StructType([

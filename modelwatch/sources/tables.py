@@ -9,6 +9,10 @@ from pyspark.sql import types as T
 from .. import schemas
 
 
+#: Partition columns of views and logs, and how many buckets the scopes of a day are dealt into.
+PARTITIONS, SCOPE_BUCKETS = ["event_date", "scope_bucket"], 16
+
+
 def read_feature_view(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -33,10 +37,10 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 def create_tables(spark: SparkSession, database: str = "default") -> list[str]:
     """Create the fixed log tables that do not exist yet; existing ones stay as they are.
 
-    Serving logs are partitioned by scope and day: scans prune on both, and a scope can be dropped.
+    Serving logs are partitioned as ``sinks`` lays them out. The two log tables take what an investigation's ``investigations`` and ``evidence_records`` return.
     """
-    day = T.StructField("event_date", T.DateType())
-    fixed = {"serving_logs": (T.StructType([*schemas.SERVING_LOGS.fields, day]), ["scope_id", "event_date"]),
+    parts = [T.StructField("event_date", T.DateType()), T.StructField("scope_bucket", T.IntegerType())]
+    fixed = {"serving_logs": (T.StructType([*schemas.SERVING_LOGS.fields, *parts]), PARTITIONS),
              "investigation_logs": (schemas.INVESTIGATIONS, []),
              "evidence_records": (schemas.EVIDENCE_RECORDS, [])}
     created = []

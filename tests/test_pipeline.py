@@ -9,6 +9,7 @@ from modelwatch import fixed_values as fv
 from modelwatch import schemas
 from modelwatch.functions.scalars import clamp_int, logistic_score
 from modelwatch.operators import asof, audit, commits, drift, freshness, labels, logs, metrics, perturb
+from modelwatch.operators import logs as investigation_logs
 from modelwatch.plans import investigate, training
 from modelwatch.sources import sinks, tables
 from modelwatch.streaming import jobs
@@ -197,29 +198,93 @@ def test_tables_are_created_once_and_scopes_reset(spark):
         assert len(tables.create_tables(spark, "mw_test")) == 3
         assert tables.create_tables(spark, "mw_test") == []
         row = [("a", 1, "u", ts("2026-08-01"), 3, 720, .35, 5, 1, .88, 1), ("b", 2, "u", ts("2026-08-01"), 3, 720, .35, 5, 1, .88, None)]
-        df = spark.createDataFrame(row, schemas.SERVING_LOGS).withColumn("event_date", F.to_date("ts"))
+        df = sinks.laid_out(spark.createDataFrame(row, schemas.SERVING_LOGS))
         df.select(*spark.table("mw_test.serving_logs").columns).write.insertInto("mw_test.serving_logs")
         sinks.rerun_scope(df.where("false"), "mw_test.serving_logs", "a")
         left = spark.table("mw_test.serving_logs").collect()
         assert [(r.scope_id, r.income_band, r.probability, r.true_label) for r in left] == [("b", 3, .88, None)]
-        later = df.where("scope_id = 'b'").withColumn("event_date", F.date_add("event_date", 1))
+        later = df.where("scope_id = 'b'").withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))
         sinks.rerun_scope(later, "mw_test.serving_logs", "b")
         assert [str(r.event_date) for r in spark.table("mw_test.serving_logs").collect()] == ["2026-08-02"]
     finally:
         spark.sql("DROP DATABASE mw_test CASCADE")
 
 
+def saved_rows(spark, ids, run="r"):
+    inv = spark.createDataFrame([(i, f"a-{i}", "s", ts("2026-08-05"), "accuracy", .7, ts("2026-08-05"), "completed", "control", 1.0, ["label_shift"], run) for i in ids], schemas.INVESTIGATIONS)
+    ev = spark.createDataFrame([(i, "s", 1, k, "h", "proven", "feature_drift", "text", '{"ks_stat": 0.5}') for i in ids for k in (0, 1)],
+                               "investigation_id string, scope_id string, step int, position long, hypothesis string, status string, evidence_type string, evidence_summary string, evidence_data string")
+    return inv, ev
+
+
 def test_investigations_and_results_are_saved(spark, tmp_path):
-    inv = spark.createDataFrame([("i", "s", ts("2026-08-05"), "accuracy", .7, "completed", "control", 1.0, ["label_shift"])], schemas.INVESTIGATIONS)
-    ev = spark.createDataFrame([("i", "s", "h", "proven", "feature_drift", "text", '{"ks_stat": 0.5}')], schemas.EVIDENCE_RECORDS)
-    sinks.save_investigations(inv, ev, str(tmp_path))
-    back = spark.read.parquet(str(tmp_path / "evidence"))
+    sinks.save_investigations(*saved_rows(spark, ["i"]), str(tmp_path))
+    back = sinks.read_saved(spark, str(tmp_path), "evidence")
     assert back.select(F.variant_get("evidence_data", "$.ks_stat", "double")).first()[0] == .5
+    assert [f.name for f in schemas.EVIDENCE_RECORDS] == [c for c in back.columns if c != "run_id"]
     res = spark.createDataFrame([("sc_001", "control", "control", True, 1.0, 1.5, True, "")], schemas.RESULTS)
     sinks.save_results(res, str(tmp_path / "results"))
     assert tables.read_results(spark, str(tmp_path / "results")).collect() == res.collect()
 
 
+def test_saved_runs_hold_no_doubles(spark, tmp_path):
+    """The same run twice, an overlapping run, and one that broke off before its marker, in part and as a whole."""
+    path = str(tmp_path)
+    count = lambda: (sorted((r.investigation_id, r.reasoning) for r in sinks.read_saved(spark, path).collect()), sinks.read_saved(spark, path, "evidence").count())
+    first = sinks.save_investigations(*saved_rows(spark, ["i", "j"]), path)
+    assert sinks.save_investigations(*saved_rows(spark, ["j", "i"]), path) == first and count() == ([("i", "r"), ("j", "r")], 4)
+    inv, ev = saved_rows(spark, ["k"])
+    ev.withColumn("evidence_data", F.parse_json("evidence_data")).write.parquet(f"{path}/evidence/run_id=broken")
+    assert count() == ([("i", "r"), ("j", "r")], 4)
+    inv.write.parquet(f"{path}/investigations/run_id=broken")
+    assert count() == ([("i", "r"), ("j", "r")], 4)
+    sinks.save_investigations(inv, ev, path, "broken")
+    assert count() == ([("i", "r"), ("j", "r"), ("k", "r")], 6)
+    sinks.save_investigations(*saved_rows(spark, ["i"], "later"), path, "later")
+    assert count() == ([("i", "later"), ("j", "r"), ("k", "r")], 6)
+    sinks.save_investigations(*[x.where("false") for x in saved_rows(spark, ["i"])], path)
+    assert count()[1] == 6
+
+
+def test_created_tables_take_an_investigation(spark, rows):
+    spark.sql("CREATE DATABASE IF NOT EXISTS mw_logs")
+    try:
+        tables.create_tables(spark, "mw_logs")
+        made = investigate.run(one_alert(spark), rows, rows, spark.createDataFrame([], schemas.MODEL_VERSIONS), spark.createDataFrame([], schemas.COMMITS))
+        run_ts = F.lit("2026-08-06").cast("timestamp_ntz")
+        for frame, name in ((made.investigations(run_ts), "investigation_logs"), (made.evidence_records(run_ts).withColumn("evidence_data", F.parse_json("evidence_data")), "evidence_records")):
+            table = spark.table(f"mw_logs.{name}")
+            assert sorted(frame.columns) == sorted(table.columns)
+            frame.select(*table.columns).write.insertInto(f"mw_logs.{name}")
+        assert spark.table("mw_logs.investigation_logs").count() == 1
+    finally:
+        spark.sql("DROP DATABASE mw_logs CASCADE")
+
+
+def test_push_append_replace_read_share_one_layout(spark, tmp_path):
+    """The chain on one table: the folders do not follow the scopes, files are sorted, and what is replaced is replaced alone."""
+    path = str(tmp_path / "t")
+    day = lambda d: ts("2026-08-01") + timedelta(days=d)
+    make = lambda scopes, days, x: spark.createDataFrame([(s, "u", day(d), x) for s in scopes for d in days], "scope_id string, entity_id string, ts timestamp_ntz, x int")
+    many = [f"s{k}" for k in range(200)]
+    sinks.push_features(make(many, (0, 1), 1), path)
+    sinks.append_logs(make(["s1", "s2", None], (1, 2), 2), path)
+    sinks.replace_scopes(make(["s1", None], (1,), 3).union(make(["new"], (5,), 3)), path)
+    want = {(s, d, 1): 1 for s in many for d in (0, 1)} | {("s1", 2, 2): 1, ("s2", 1, 2): 1, ("s2", 2, 2): 1, (None, 2, 2): 1, ("s1", 1, 3): 1, (None, 1, 3): 1, ("new", 5, 3): 1}
+    del want["s1", 1, 1]
+    got = [(r.scope_id, (r.ts - day(0)).days, r.x) for r in spark.read.parquet(path).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    folders = [(a, b) for a in os.listdir(path) if a.startswith("event_date") for b in os.listdir(f"{path}/{a}") if b.startswith("scope_bucket")]
+    assert len(folders) <= 4 * tables.SCOPE_BUCKETS
+    one = sinks.of_scopes(spark.read.parquet(path), ["s7"])
+    assert one.count() == 2 and "scope_bucket#" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("PushedFilters")[0]
+    for f in spark.read.parquet(path).inputFiles()[:5]:
+        keys = [(r.scope_id or "", r.ts) for r in spark.read.parquet(f).collect()]
+        assert keys == sorted(keys)
+    sinks.replace_scopes(make(["s9"], (0,), 4), str(tmp_path / "fresh"))
+    assert spark.read.parquet(str(tmp_path / "fresh")).count() == 1
+
+
 def test_window_operators_prune_days_by_themselves(spark, tmp_path):
     days = [(f"u{d % 3}", ts("2026-07-20") + timedelta(days=d, hours=23, minutes=59), d, d % 2) for d in range(30)]
     sinks.push_features(spark.createDataFrame(days, "entity_id string, ts timestamp_ntz, x int, true_label int"), str(tmp_path / "view"), scope="s")
@@ -237,16 +302,6 @@ def test_window_operators_prune_days_by_themselves(spark, tmp_path):
         assert sorted(map(str, got.collect())) == sorted(map(str, run(rows_of.drop("event_date")).collect())) != []
 
 
-def test_saving_an_investigation_again_adds_nothing(spark, tmp_path):
-    inv = spark.createDataFrame([("i", "s", ts("2026-08-05"), "accuracy", .7, "completed", "control", 1.0, ["label_shift"])], schemas.INVESTIGATIONS)
-    ev = spark.createDataFrame([("i", "s", "h", "proven", "feature_drift", "text", '{"ks_stat": 0.5}')] * 2, schemas.EVIDENCE_RECORDS)
-    other = inv.withColumn("investigation_id", F.lit("j"))
-    for a, b in ((inv, ev), (inv, ev), (other, ev.where("false")), (inv.union(other), ev)):
-        sinks.save_investigations(a, b, str(tmp_path))
-    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "investigations")).select("investigation_id").collect()) == ["i", "j"]
-    assert spark.read.parquet(str(tmp_path / "evidence")).count() == 2
-
-
 def test_a_scope_is_replaced_whole_in_dynamic_mode_too(spark):
     spark.sql("CREATE DATABASE IF NOT EXISTS mw_dynamic")
     setting = "spark.sql.sources.partitionOverwriteMode"
@@ -255,9 +310,9 @@ def test_a_scope_is_replaced_whole_in_dynamic_mode_too(spark):
     try:
         tables.create_tables(spark, "mw_dynamic")
         row = [(s, 1, "u", ts("2026-08-01"), 3, 720, .35, 5, 1, .88, 1) for s in "ab"]
-        df = spark.createDataFrame(row, schemas.SERVING_LOGS).withColumn("event_date", F.to_date("ts"))
+        df = sinks.laid_out(spark.createDataFrame(row, schemas.SERVING_LOGS))
         df.select(*spark.table("mw_dynamic.serving_logs").columns).write.insertInto("mw_dynamic.serving_logs")
-        sinks.rerun_scope(df.where("scope_id = 'b'").withColumn("event_date", F.date_add("event_date", 1)), "mw_dynamic.serving_logs", "b")
+        sinks.rerun_scope(df.where("scope_id = 'b'").withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY")), "mw_dynamic.serving_logs", "b")
         assert sorted((r.scope_id, str(r.event_date)) for r in spark.table("mw_dynamic.serving_logs").collect()) == [
             ("a", "2026-08-01"), ("b", "2026-08-02")]
         assert spark.conf.get(setting) == "dynamic"
@@ -266,6 +321,19 @@ def test_a_scope_is_replaced_whole_in_dynamic_mode_too(spark):
         spark.sql("DROP DATABASE mw_dynamic CASCADE")
 
 
+def test_paged_evidence_is_bounded(spark):
+    inv = spark.createDataFrame([("big", 1), ("small", 2), ("none", 3)], "investigation_id string, x int")
+    n = 100_000
+    ev = spark.range(n).select(F.lit("big").alias("investigation_id"), F.lit(3).alias("step"), F.col("id").alias("position"), F.lit("git_commit").alias("evidence_type"))
+    ev = ev.unionByName(spark.createDataFrame([("small", 1, 0, "feature_drift")], ev.schema))
+    pages = investigation_logs.paged(inv, ev, 1000).cache()
+    assert pages.agg(F.max(F.size("evidence"))).first()[0] == 1000 and pages.count() == n // 1000 + 2
+    flat = [e.position for r in pages.where("investigation_id = 'big'").orderBy("page").collect() for e in r.evidence]
+    assert flat == list(range(n))
+    rest = {r.investigation_id: (r.page, r.pages, len(r.evidence)) for r in pages.where("investigation_id <> 'big'").collect()}
+    assert rest == {"small": (1, 1, 1), "none": (1, 1, 0)}
+
+
 def test_scenarios_are_read_from_a_json_array(spark, tmp_path):
     (tmp_path / "metadata.json").write_text(
         '[{"scenario_id": "sc_001", "injected_failure": "control", "injected_feature": null, "injection_date": "2026-08-03",'
