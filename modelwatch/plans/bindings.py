@@ -435,35 +435,35 @@ SEGMENT_SETTINGS = investigate.Settings(
     rules=rules.RuleConfig(bug_feature="k", skew_feature="value"))
 
 
-def segment_investigation(spark, sf_dir, store_evidence: bool = True) -> investigate.Investigation:
-    return investigate.run(*segment_inputs(spark, sf_dir), SEGMENT_SETTINGS, store_evidence)
+def segment_investigation(spark, sf_dir) -> investigate.Investigation:
+    return investigate.run(*segment_inputs(spark, sf_dir), SEGMENT_SETTINGS)
 
 
 def evidence_all(spark, sf_dir):
-    return (rounded(segment_investigation(spark, sf_dir, store_evidence=False).evidence, "score")
+    return (rounded(segment_investigation(spark, sf_dir).evidence, "score")
             .select("alert_id", "evidence_type", "step", "position", "status", "feature_name", "score"))
 
 
 def evidence_text(spark, sf_dir):
     """One sentence per positive finding (labels, freshness, commits: numbers with two to four decimals)."""
-    evidence = segment_investigation(spark, sf_dir, store_evidence=False).evidence
+    evidence = segment_investigation(spark, sf_dir).evidence
     return evidence.select("alert_id", "evidence_type", "position", "description")
 
 
 def evidence_payload(spark, sf_dir):
     """Metric changes read back out of the payload of the registry evidence."""
-    evidence = segment_investigation(spark, sf_dir, store_evidence=False).evidence.where("evidence_type = 'model_registry_diff'")
+    evidence = segment_investigation(spark, sf_dir).evidence.where("evidence_type = 'model_registry_diff'")
     found = rules.payload(evidence, "$.metric_changes", "map<string,struct<previous:double,latest:double,delta:double>>")
     return rounded(found.select("alert_id", F.explode("value").alias("key", "v")).select("alert_id", "key", "v.previous", "v.latest", "v.delta"), "previous", "latest", "delta")
 
 
 def root_cause(spark, sf_dir):
-    return (segment_investigation(spark, sf_dir, store_evidence=False).causes
+    return (segment_investigation(spark, sf_dir).causes
             .select("alert_id", "scope_id", "cause", "confidence", F.concat_ws(",", "ruled_out").alias("ruled_out")))
 
 
 def hypothesis_status(spark, sf_dir):
-    return segment_investigation(spark, sf_dir, store_evidence=False).hypotheses
+    return segment_investigation(spark, sf_dir).hypotheses
 
 
 def evidence_hypothesis(spark, sf_dir):
@@ -474,14 +474,14 @@ def evidence_hypothesis(spark, sf_dir):
 
 def investigate_segments(spark, sf_dir):
     """The flagship: every alert with its cause, confidence, ruled-out causes and evidence counts."""
-    causes = segment_investigation(spark, sf_dir, store_evidence=False).causes
+    causes = segment_investigation(spark, sf_dir).causes
     return causes.select("alert_id", "scope_id", "alert_metric", r6("alert_value").alias("alert_value"), "cause",
                          "confidence", F.concat_ws(",", "ruled_out").alias("ruled_out"), "n_evidence", "n_types")
 
 
 def investigate_fleet(spark, sf_dir):
     """One alert per user, all in one run."""
-    causes = investigate.run(*fleet_inputs(spark, sf_dir), SEGMENT_SETTINGS, store_evidence=False).causes
+    causes = investigate.run(*fleet_inputs(spark, sf_dir), SEGMENT_SETTINGS).causes
     return causes.select("alert_id", r6("alert_value").alias("alert_value"), "cause", "confidence", "n_evidence", "n_types")
 
 

@@ -16,7 +16,7 @@ from ..operators.audit import serving_skew_audit
 from ..operators.drift import feature_drift
 from ..operators.freshness import feature_freshness
 from ..operators.labels import label_shift
-from ..session import stored
+from ..session import stored_side_by_side
 
 
 @dataclass(frozen=True)
@@ -39,19 +39,19 @@ class Settings:
 
 
 def gather_evidence(alerts: DataFrame | AlertBook, view: DataFrame, logs: DataFrame, versions: DataFrame,
-                    commits: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Positive findings of all detectors."""
+                    commits: DataFrame, settings: Settings = Settings(), store: bool = False) -> DataFrame:
+    """Positive findings of all detectors. With ``store`` the detectors run side by side and their findings are written to the work folder."""
     book, s = alert_book(alerts), settings
-    parts = [
-        rules.drift_evidence(feature_drift(view, book, s.features, s.alpha, s.min_n, s.p_value)),
-        rules.registry_evidence(registry.alert_report(versions, book.frame)),
-        rules.commit_evidence(commit_ops.in_window(commits, book, s.watched_path, s.commit_days)),
-        rules.label_evidence(label_shift(logs, book, s.label_drop, s.min_n)),
-        rules.freshness_evidence(feature_freshness(logs, view, book, s.stale_days, s.min_n, hot_rows=s.hot_rows, snapshots=s.snapshots)),
-    ]
+    parts = {
+        "drift": lambda: rules.drift_evidence(feature_drift(view, book, s.features, s.alpha, s.min_n, s.p_value)),
+        "registry": lambda: rules.registry_evidence(registry.alert_report(versions, book.frame)),
+        "commits": lambda: rules.commit_evidence(commit_ops.in_window(commits, book, s.watched_path, s.commit_days)),
+        "labels": lambda: rules.label_evidence(label_shift(logs, book, s.label_drop, s.min_n)),
+        "freshness": lambda: rules.freshness_evidence(feature_freshness(logs, view, book, s.stale_days, s.min_n, hot_rows=s.hot_rows, snapshots=s.snapshots)),
+    }
     if s.audit_features:
-        parts.append(rules.audit_evidence(audit_alerts(logs, view, book, s), s.audit_features))
-    return rules.evidence_all(*parts)
+        parts["audit"] = lambda: rules.audit_evidence(audit_alerts(logs, view, book, s), s.audit_features)
+    return rules.evidence_all(*(stored_side_by_side(parts) if store else [make() for make in parts.values()]))
 
 
 def audit_alerts(logs: DataFrame, view: DataFrame, book: AlertBook, s: Settings) -> DataFrame:
@@ -100,12 +100,10 @@ def run(alerts: DataFrame | AlertBook, view: DataFrame, logs: DataFrame, version
     """Detect, gather, eliminate, conclude.
 
     The evidence (positive findings only, so small beside the inputs) is written to the work folder
-    first: causes, hypotheses and records all read it from there, and each detector runs once. With
-    ``store_evidence=False`` everything stays one lazy plan, best when only the causes are wanted.
+    first, each detector's by a job of its own: causes, hypotheses and records all read it from there, and each detector runs once. With
+    ``store_evidence=False`` everything stays one plan, which is slow to analyse.
     """
     book = alert_book(alerts)
-    evidence = gather_evidence(book, view, logs, versions, commits, settings)
-    if store_evidence:
-        evidence = stored(evidence, "evidence")
+    evidence = gather_evidence(book, view, logs, versions, commits, settings, store_evidence)
     causes = rules.root_cause(evidence, book.frame, settings.rules)
     return Investigation(evidence, causes, rules.hypothesis_status(causes), settings)

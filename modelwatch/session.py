@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_side_by_side(frames: dict[str, Callable[[], DataFrame]]) -> list[DataFrame]:
+    """``stored`` for several independent frames, each made and run in a thread of its own.
+
+    Small jobs that do not need each other then fill the cluster together, and each is planned alone: one plan over all of
+    them would be analysed anew with every step that follows.
+    """
+    with ThreadPoolExecutor(max_workers=max(1, len(frames))) as pool:
+        return list(pool.map(lambda item: stored(item[1](), item[0]), frames.items()))
+
+
 def broadcast_within(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Broadcast ``df`` only if ``rows * row_bytes`` stays below the limit.
 
