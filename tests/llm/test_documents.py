@@ -374,6 +374,26 @@ def test_near_paragraphs_are_linked(work):
     assert {r.doc_id for r in found.collect()} <= {1, 2} and paragraphs.repeats(rows.where("false")).count() == 0
 
 
+def test_documents_that_share_an_id_are_told_apart(work):
+    """Near and exact copies are linked whatever their ids are, and each text is cut by its own spans."""
+    rnd = random.Random(6)
+    prose = lambda: " ".join(f"w{rnd.getrandbits(40):x}" for i in range(120))
+    results = []
+    for ids in ((1, 2), (7, 7), (None, None)):
+        passage = prose().split()
+        changed = [*passage[:60], "changed", *passage[61:]]
+        rows = [(i, f"{prose()}. {' '.join(p)} {prose()}.", "x", i) for i, p in zip(ids, (passage, passage))] + [(i, f"{prose()}. {' '.join(changed)}. {prose()}", "x", i) for i in ids[:1]]
+        frame = work.createDataFrame(rows, "doc_id long, text string, gone_id string, owner long")
+        found = paragraphs.repeats(frame.select("doc_id", "text"))
+        hits = found.collect()
+        assert len({r.owner for r in hits}) >= 2 and sum(r.keep for r in hits) == len({r.component for r in hits})
+        cut = paragraphs.remove_repeats(frame, found)
+        assert cut.columns == frame.columns
+        short = sum(len(r.text) < len(t) for r, t in zip(sorted(cut.collect(), key=lambda r: r.text[:20]), sorted((t for _, t, *_ in rows), key=lambda t: t[:20])))
+        results.append((len(hits) > 2, short > 0))
+    assert results == [(True, True)] * 3
+
+
 def test_edited_copies_in_one_bucket_are_linked(work):
     """Paragraphs that share the start of a licence line gather in few buckets; each edited pair is still linked."""
     rnd = random.Random(5)
