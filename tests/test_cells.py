@@ -96,7 +96,8 @@ def test_rows_meet_days_not_alerts(rows, alerts):
     windows = cells.unit_windows(alert_book(alerts))
     assert cells.with_units(rows, windows).count() <= rows.count()  # one row each, whatever the number of alerts
     plan = cells.in_windows(cells.day_cells(rows, FEATURES, windows), windows)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join Inner, ((scope_id" in plan.replace("(cast(", "(") and "_day" in plan.split("Join Inner")[1].splitlines()[0]
+    join = next(line for line in plan.splitlines() if "Join Inner" in line and "scope_id" in line)
+    assert join.count("scope_id#") == 2 and "_day#" in join, join
 
 
 def test_units_count_what_windows_hold(rows, alerts):
