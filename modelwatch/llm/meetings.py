@@ -4,45 +4,112 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
 from .components import components
 
-#: Members of a bucket whose pairs are all looked at; those of a larger one must share a rare shingle.
-SMALL = 32
+#: Members of a bucket that are compared as one block; those of a larger one are dealt to blocks, and each two blocks are compared.
+SMALL = 1024
+#: Members that one task's group holds about.
+GROUP = 4096
+#: Candidates that a task looks at together, and those whose sets it compares together.
+PAIRS, CHECKED = 1 << 20, 50_000
 
 
-def pairs_within(rows: DataFrame, by: list[str], similarity: float | None = None) -> DataFrame:
-    """Pairs (a < b) of rows (id, root, ...) that agree in ``by`` and have different roots; ``size``, if compared, must allow the similarity."""
-    more = [] if similarity is None else ["size"]
-    x, y = [rows.select(*by, F.col("id").alias(n), F.col("root").alias(f"r{n}"), *[F.col(c).alias(f"n{n}") for c in more]) for n in "ab"]
-    met = x.join(y, by).where("a < b and ra <> rb")
-    if more:
-        met = met.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
-    return met.select("a", "b").distinct()
+def like_pairs(bucket: np.ndarray, roots: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, similarity: float,
+               side: np.ndarray | None = None, places: np.ndarray | None = None) -> np.ndarray:
+    """Rows (i, j): similar sets of one bucket, enough to connect all such pairs of different roots.
 
+    ``shingles`` are those of all sets in a row. Sets of one ``side`` (of a bucket) are not compared if there are two, nor are those whose ``places`` (doc, start,
+    stop) overlap. Two sets of this similarity have one of both prefixes in common: size - ceil(similarity * size) + 1 shingles, rarest of the bucket
+    first. What all members share comes last, so it does not bring strangers together.
+    """
+    n, row = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    by = np.lexsort((shingles, bucket[row]))
+    new = np.append(True, (shingles[by][1:] != shingles[by][:-1]) | (bucket[row[by]][1:] != bucket[row[by]][:-1]))
+    column = np.empty(len(row), np.int64)
+    column[by] = np.cumsum(new) - 1
+    often = np.bincount(column)
+    width = len(often)
+    spelled = np.sort(row * width + column)
+    first = np.cumsum(sizes) - sizes
+    by = np.lexsort((column, often[column], row))
+    prefix = (sizes - np.ceil(similarity * sizes - 1e-9) + 1).astype(np.int64)
+    kept = by[(np.arange(len(row)) - first[row[by]] < prefix[row[by]]) & (often[column[by]] > 1)]
+    kept = kept[np.lexsort((row[kept], column[kept], often[column[kept]]))]
+    member, shared = row[kept], column[kept]
+    end = np.searchsorted(np.flatnonzero(np.append(shared[1:] != shared[:-1], True)), np.arange(len(shared)))
+    end = np.flatnonzero(np.append(shared[1:] != shared[:-1], True))[end] if len(shared) else end
+    later = end - np.arange(len(shared))
+    _, label = np.unique(roots, return_inverse=True)
+    edges, seen, at = [], np.cumsum(later), 0
+    while at < len(shared):
+        upto = max(at + 1, int(np.searchsorted(seen, (seen[at - 1] if at else 0) + PAIRS, "right")))
+        many = later[at:upto]
+        left = np.repeat(np.arange(at, upto), many)
+        i, j = member[left], member[left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)]
+        at = upto
+        small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+        open_ = (label[i] != label[j]) & (small >= similarity * large - 1e-9)
+        if side is not None:
+            open_ &= (side[i] < 0) | (side[i] != side[j])
+        if places is not None:
+            doc, start, stop = places
+            open_ &= ~((doc[i] == doc[j]) & (start[i] < stop[j]) & (start[j] < stop[i]))
+        codes = np.unique(i[open_] * n + j[open_])
+        for k in range(0, len(codes), CHECKED):
+            i, j = codes[k:k + CHECKED] // n, codes[k:k + CHECKED] % n
+            open_ = label[i] != label[j]
+            i, j = i[open_], j[open_]
+            if not len(i):
+                continue
+            pair = np.repeat(np.arange(len(i)), sizes[i])
+            own = spelled[first[i][pair] + np.arange(len(pair)) - np.repeat(np.cumsum(sizes[i]) - sizes[i], sizes[i])] - i[pair] * width
+            wanted = j[pair] * width + own
+            found = spelled[np.minimum(np.searchsorted(spelled, wanted), len(spelled) - 1)] == wanted
+            common = np.bincount(pair[found], minlength=len(i))
+            like = common >= similarity * (sizes[i] + sizes[j] - common)
+            for x, y in zip(i[like].tolist(), j[like].tolist()):
+                if label[x] != label[y]:
+                    label[label == label[y]] = label[x]
+                    edges.append((x, y))
+    return np.array(edges, np.int64).reshape(-1, 2)
 
-def rare_shingles(rows: DataFrame, by: list[str], sets: DataFrame, similarity: float) -> DataFrame:
-    """``rows`` (id, root, by) once for each shingle of the prefix: size - ceil(similarity * size) + 1 rarest of the bucket.
 
-    Two sets of this similarity have one of both prefixes in common, whatever the order, as long as it is the same for
-    all of a bucket. Shingles that all members have come last, so what they share does not bring strangers together.
-    """
-    spelled = stored(rows.join(sets, "id").select("id", "root", *by, F.size("s").alias("size"), F.explode("s").alias("shingle")), "spelled")
-    often = spelled.groupBy(*by, "shingle").agg(F.count("*").alias("often"))
-    rank = F.row_number().over(Window.partitionBy("id", *by).orderBy("often", "shingle"))
-    ranked = spelled.join(often, [*by, "shingle"]).withColumn("rank", rank)
-    return ranked.where((F.col("rank") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1) & (F.col("often") > 1))
+def links_in_blocks(rows: DataFrame, by: list[str], sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all similar rows (id, root, n, by) of different roots that agree in ``by``, whose number is n; compared by whole sets inside tasks."""
+    dealt = rows.withColumn("blocks", F.ceil(F.col("n") / SMALL)).withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id"), "blocks")).otherwise(F.lit(0).cast("long")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    pairs = dealt.select("id", "root", *by, "own", other)
+    placed = stored(pairs.select("id", "root", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"),
+                                 F.xxhash64(*by, F.least("own", "other"), F.greatest("own", "other")).alias("bucket")), "placed")
+    groups = max(1, placed.count() // GROUP)
+    placing = [c for c in ("doc", "start", "stop") if c in sets.columns]
+    full = placed.join(sets.select("id", "s", *placing), "id").withColumn("part", F.pmod("bucket", F.lit(groups)))
+
+    def compare(whole: pa.Table) -> pa.Table:
+        whole = whole.combine_chunks()
+        bucket, ids, roots, side = (whole.column(c).to_numpy() for c in ("bucket", "id", "root", "side"))
+        lists = whole.column("s").chunk(0)
+        places = np.stack([whole.column(c).to_numpy().astype(np.int64) for c in placing]) if len(placing) == 3 else None
+        edges = like_pairs(bucket, roots, lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy(), similarity, side, places)
+        made = ids[edges]
+        return pa.table([pa.array(made.min(axis=1)), pa.array(made.max(axis=1))], names=["a", "b"])
+
+    return full.groupBy("part").applyInArrow(compare, "a long, b long").distinct()
 
 
 def links(met: DataFrame, by: list[str], check: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """Links (a, b) with the components of all similar pairs of ``met`` (id, by) that agree in ``by``.
 
-    ``check`` gives links for the similar ones of pairs (a < b), ``sets`` (id, s: different shingles) for ids. First all are
+    ``check`` gives links for the similar ones of pairs (a < b), ``sets`` (id, s: different shingles) for ids, and, if rows that overlap
+    in one document are no pairs, doc, start and stop. First all are
     compared with the two ends of a random order of their bucket, which connects a group of copies with few
-    comparisons. In a bucket that is then in several pieces, all pairs of different pieces follow: directly in a small one, by rare shingles in a large one.
+    comparisons. In a bucket that is then in several pieces, all pairs of different pieces follow, in blocks.
     """
     place = F.struct(F.xxhash64("id", *by).alias("h"), "id")
     ends = stored(met.groupBy(*by).agg(F.count("*").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("n > 1")
@@ -63,10 +130,5 @@ def links(met: DataFrame, by: list[str], check: Callable[[DataFrame], DataFrame]
     if pieces.isEmpty():
         return first
     rest = stored(named.join(pieces, by).select("id", "root", *by, "n"), "rest")
-    more = pairs_within(rest.where(F.col("n") <= SMALL), by)
-    large = rest.where(F.col("n") > SMALL).drop("n")
-    if not large.isEmpty():
-        whole = stored(sets(large.select("id").distinct()), "whole")
-        prefix = stored(rare_shingles(large, by, whole, similarity), "prefix")
-        more = more.unionByName(pairs_within(prefix, [*by, "shingle"], similarity)).distinct()
-    return first.unionByName(check(stored(more, "more")))
+    whole = stored(sets(rest.select("id").distinct()), "whole")
+    return first.unionByName(stored(links_in_blocks(rest, by, whole, similarity), "more"))

@@ -1,18 +1,18 @@
 """Substring dedup by paragraph MinHash banding (operator 4).
 
 A passage rarely stands in the same place of two documents, and may start in the middle of a line. So paragraphs are
-taken from sentence starts (after an end mark, at a line break, or at a capital followed by a small letter), each as
-many whole sentences as give WORDS words; of any NEXT neighbouring starts, the one whose first shingle has the lowest hash opens one. Each paragraph
+taken from all sentence starts (after an end mark, at a line break, or at a capital followed by a small letter), each as
+many whole sentences as give WORDS words. Each paragraph
 has BANDS keys of ROWS MinHash values over its five-word shingles: 6 bands of 2 find a pair of similarity 0.8 with probability 0.998.
-Passages without a whole paragraph of their own are found by windows of WORDS words, whatever their punctuation: of any NEAR neighbouring
-words, the one with the lowest hash opens a window. NEAR neighbouring windows cover 31 words, so any equal run of that length has
-a window of its own in which nothing around it has a say: verbatim passages of 50 words are always found, and of edited ones (similarity
-0.8, one change in 45 words) over 0.9 at 50 words and nearly all from 60 on.
+Passages without a whole paragraph of their own are found by windows of WORDS words, whatever their punctuation: every word opens
+one, so any equal run of WORDS words is found, and of longer runs every word is covered.
 Windows are found by equality. Equal pieces are one content; different contents that share a key are compared
 by exact Jaccard similarity, with the two ends of their bucket first, then in all pairs not linked by that. Links become components; of each the first paragraph stays, the others are removals,
 but for those that overlap the one that stays: they are no repeats of it and no rows of the result.
 
-Paragraphs are written once with their keys; keys and contents met once are left out before anything is joined.
+Of the NEAR runs of SEED words in a window the one of lowest hash is its seed, which equal windows have in common. A first reading of the
+texts deals seeds and keys by their hash, where those met once are left out, as are keys that only paragraphs overlapping in one document
+share; a second one spells the windows and paragraphs that have any left.
 
 A paragraph short of WORDS words at the end of a text is part of the one before; one with fewer than DISTINCT shingles
 that differ from the eight before them (a word over and over) is no passage. Contents are told apart by 64 bits of hash. Results for odd input: null counts as
@@ -37,9 +37,12 @@ from .common import small_batches, table, with_columns_by_batch
 from .components import components
 from .meetings import links as links_of_meetings
 
-WORDS, DISTINCT, SHINGLE, NEAR, NEXT = 24, 16, 5, 8, 7
+WORDS, DISTINCT, SHINGLE, SEED, NEXT = 24, 16, 5, 16, 1
+NEAR = WORDS - SEED + 1
 BANDS, ROWS = 6, 2
 SIMILARITY = 0.8
+#: Characters of text whose seeds and keys one task compares, about a million.
+DEALT = 8 << 20
 _MARK, _CLOSING = [np.isin(np.arange(256), np.frombuffer(b, np.uint8)) for b in (b".!?", b"\"')]")]
 _SEEDS = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -131,7 +134,7 @@ def lowest_of(order: np.ndarray, near: int) -> np.ndarray:
 def paragraphs(text: str | Read, every: bool = False, near: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start word, end word, content, band keys) of the paragraphs of a text.
 
-    Of those that end together the shortest, or ``every`` one, or those whose first shingle is lowest among ``near`` neighbours.
+    Of those that end together the shortest, or ``every`` one, or those whose first shingle is lowest among ``near`` neighbours (with one: all).
     """
     none = np.zeros(0, np.int64)
     read = text if isinstance(text, Read) else Read(text)
@@ -148,7 +151,7 @@ def paragraphs(text: str | Read, every: bool = False, near: int | None = None) -
     contents = read.contents
     real = contents.real(low, high)
     chosen, stop, low, high = chosen[real], stop[real], low[real], high[real]
-    if near is not None and len(chosen):
+    if near is not None and near > 1 and len(chosen):
         few = lowest_of(spread(h[low]), near)
         chosen, stop, low, high = chosen[few], stop[few], low[few], high[few]
     if not len(chosen):
@@ -163,56 +166,119 @@ def paragraphs(text: str | Read, every: bool = False, near: int | None = None) -
     return chosen, stop, contents.of(low, high), keys
 
 
-def windows(text: str | Read) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start word, end word, content) of the windows of a text: those that open lowest among some NEAR neighbours."""
+def spots(read: Read) -> tuple[np.ndarray, np.ndarray]:
+    """(start word of every window, start word of its seed)."""
     none = np.zeros(0, np.int64)
-    read = text if isinstance(text, Read) else Read(text)
-    h = read.h
-    count = len(h) + SHINGLE - WORDS  # places at which a window can start
+    count = len(read.h) + SHINGLE - WORDS  # places at which a window can start
     if count < 1:
-        return none, none, none.view(np.uint64)
-    contents, low = read.contents, np.arange(count)
-    real = contents.real(low, low + WORDS - SHINGLE + 1)
-    chosen = lowest_of(np.where(real, spread(h[:count]) >> np.uint64(1), np.uint64(2**64 - 1)), NEAR)
-    chosen = chosen[real[chosen]]
-    return chosen, chosen + WORDS, contents.of(chosen, chosen + WORDS - SHINGLE + 1)
+        return none, none
+    low = np.arange(count)
+    real = read.contents.real(low, low + WORDS - SHINGLE + 1)
+    order = seeds_at(read, np.arange(count + NEAR - 1))
+    least = np.lib.stride_tricks.sliding_window_view(order, NEAR).argmin(axis=1)
+    return low[real], (low + least)[real]
+
+
+def seeds_at(read: Read, at: np.ndarray) -> np.ndarray:
+    return read.contents.of(at, at + SEED - SHINGLE + 1)
+
+
+def windows(text: str | Read, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start word, end word, content) of the windows of a text, one from every word, or of those with ``some`` seeds."""
+    read = text if isinstance(text, Read) else Read(text)
+    chosen, seed = spots(read)
+    if some is not None:
+        chosen = chosen[np.isin(seeds_at(read, seed), some)]
+    return chosen, chosen + WORDS, read.contents.of(chosen, chosen + WORDS - SHINGLE + 1)
+
+
+def met_apart(start: np.ndarray, stop: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ``keys``, and whether paragraphs that do not overlap share each."""
+    place = np.tile(np.arange(len(start)), len(keys))
+    by = np.lexsort((place, keys.ravel()))
+    flat, place = keys.ravel()[by], place[by]
+    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])[:len(flat)])
+    last = np.append(first[1:], len(flat))[:len(first)] - 1
+    return flat[first], start[place[last]] >= stop[place[first]]
+
+
+def probes(read: Read) -> np.ndarray:
+    """The seeds and keys of a text, twice where the text alone meets them at places apart."""
+    seeds, n = np.unique(seeds_at(read, np.unique(spots(read)[1])), return_counts=True)
+    start, stop, _, keys = paragraphs(read, near=NEXT)
+    keys, apart = met_apart(start, stop, keys)
+    return np.concatenate([seeds, seeds[n > 1], keys, keys[apart]])
 
 
 def owner_of(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("owner")
 
 
-def with_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, owner, start, stop, content, k0, k1, ...), owner a hash of the text, start and stop counted in words; windows have no keys."""
+def repeated_probes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, owner, places): the ``probes`` of the documents that are met twice or more in all texts."""
     small_batches(docs.sparkSession)
-    names = ["doc_id", "owner", "start", "stop", "content", *[f"k{b}" for b in range(BANDS)]]
+    names = ["doc_id", "owner", "probe"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [probes(Read(t or "")).view(np.int64) for t in batch.column(2).to_pylist()]
+            own = pa.array(np.repeat(np.arange(len(made)), [len(x) for x in made]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(np.concatenate(made) if made else np.zeros(0, np.int64))], names=names)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = [b for b in batches if len(b)]
+        if whole:
+            met = pa.Table.from_batches(whole)
+            _, number, n = np.unique(met.column("probe").to_numpy(), return_inverse=True, return_counts=True)
+            yield from met.filter(pa.array(n[number] > 1)).combine_chunks().to_batches(max_chunksize=1 << 16)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), owner_of(text), F.col(f"`{text}`").alias("body"))
+    size = docs.agg(F.sum(F.length(F.col(f"`{text}`")))).first()[0] or 0
+    kind = "doc_id long, owner long, probe long"
+    met = rows.mapInArrow(read, kind).repartition(int(size // DEALT) + 8, "probe").mapInArrow(again, kind)
+    return met.groupBy("doc_id", "owner").agg(F.collect_set("probe").alias("places"))
+
+
+def with_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (doc_id, owner, start, stop, content, keys) of all windows and paragraphs whose seed or any key is met again.
+
+    owner is a hash of the text, start and stop are counted in words; keys are those met again, of windows null.
+    """
+    met = stored(repeated_probes(docs, key, text), "probes")
+    names = ["doc_id", "owner", "start", "stop", "content", "keys"]
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, parts, plain = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], []
-            owners: list = []
-            for i, t in zip(range(len(ids)), batch.column(2).to_pylist()):
-                read = Read(t or "")
-                a, b, c, k = paragraphs(read, near=NEXT)
-                x, y, z = windows(read)
+            lists = batch.column(3)
+            for k, body in enumerate(batch.column(2).to_pylist()):
+                read, some = Read(body or ""), lists[k].values.to_numpy().view(np.uint64)
+                a, b, c, keys = paragraphs(read, near=NEXT)
+                x, y, z = windows(read, some)
                 other = ~np.isin(x * (1 << 32) + y, a * (1 << 32) + b)
                 x, y, z = x[other], y[other], z[other]
-                owners += [i] * (len(a) + len(x))
-                parts += [np.vstack([a, b, c.view(np.int64), *k.view(np.int64)]),
-                          np.vstack([x, y, z.view(np.int64), *np.zeros((BANDS, len(x)), np.int64)])]
-                plain += [np.zeros(len(a), bool), np.ones(len(x), bool)]
-            made = np.hstack(parts) if parts else np.zeros((3 + BANDS, 0), np.int64)
-            keyless = np.concatenate(plain) if plain else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in owners], pa.int64()), pa.array([texts[k] for k in owners], pa.int64()), pa.array(made[0], pa.int32()), pa.array(made[1], pa.int32()), pa.array(made[2], pa.int64()),
-                                              *[pa.array(row, pa.int64(), mask=keyless) for row in made[3:]]], names=names)
+                shared = np.isin(keys, some)
+                few = shared.any(axis=0)
+                a, b, c, keys, shared = a[few], b[few], c[few], keys.T[few], shared.T[few]
+                offsets = np.append(0, np.cumsum(shared.sum(axis=1)))
+                kept = pa.concat_arrays([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[shared].view(np.int64))), pa.nulls(len(x), pa.list_(pa.int64()))])
+                own = pa.array(np.full(len(a) + len(x), k))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(np.append(a, x), pa.int32()), pa.array(np.append(b, y), pa.int32()),
+                                                  pa.array(np.append(c, z).view(np.int64)), kept], names=names)
 
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), owner_of(text), F.col(f"`{text}`").alias("body"))
-    return rows.mapInArrow(run, "doc_id long, owner long, start int, stop int, content long, " + ", ".join(f"k{b} long" for b in range(BANDS)))
+    return texts_with(docs, met, 8, key, text).mapInArrow(spell, "doc_id long, owner long, start int, stop int, content long, keys array<long>")
+
+
+def texts_with(docs: DataFrame, places: DataFrame, row_bytes: int, key: str, text: str) -> DataFrame:
+    """(doc_id, owner, body, places): the whole texts of the documents of ``places`` (doc_id, owner, places: a list)."""
+    size = places.agg(F.count("*"), F.sum(F.size("places"))).first()
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), owner_of(text), F.col(f"`{text}`").alias("body"))
+    here = broadcast_within(places.withColumnRenamed("owner", "text_owner"), 1, 72 * (size[0] or 0) + row_bytes * (size[1] or 0))
+    return rows.join(here, rows["id"].eqNullSafe(here["doc_id"]) & (rows["owner"] == here["text_owner"])).select("doc_id", "owner", "body", "places")
 
 
 def meetings(rows: DataFrame) -> DataFrame:
     """(id, key): the contents in the buckets of their keys; buckets of one content are left out first, so that only the others are joined."""
-    keys = rows.where("k0 is not null").select(F.col("content").alias("id"), F.explode(F.array_distinct(F.array(*[F.col(f"k{b}") for b in range(BANDS)]))).alias("key"))
+    keys = rows.where("keys is not null").select(F.col("content").alias("id"), F.explode("keys").alias("key"))
     shared = stored(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key"), "buckets")
     return keys.join(broadcast_within(shared, shared.count(), 64), "key").select("id", "key").distinct()
 
@@ -221,14 +287,11 @@ def shingle_sets(docs: DataFrame, contents: DataFrame, wanted: DataFrame, key: s
     """(c, s): the different shingles of the contents ``wanted`` (c), read from the whole texts."""
     places = stored(contents.join(wanted, contents["content"] == wanted["c"]).select("content", "first.doc_id", "first.owner", "first.start", "first.stop")
                     .groupBy("doc_id", "owner").agg(F.collect_list(F.struct("content", "start", "stop")).alias("places")), "places")
-    size = places.agg(F.count("*"), F.sum(F.size("places"))).first()
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), owner_of(text), F.col(f"`{text}`").alias("body"))
-    here = broadcast_within(places.withColumnRenamed("owner", "text_owner"), 1, 72 * (size[0] or 0) + 40 * (size[1] or 0))
-    found = rows.join(here, rows["id"].eqNullSafe(here["doc_id"]) & (rows["owner"] == here["text_owner"])).select("id", "body", "places")
+    found = texts_with(docs, places, 40, key, text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for body, list_ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for body, list_ in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 h = Read(body or "").h.view(np.int64)
                 made = [np.unique(h[p["start"]:p["stop"] - SHINGLE + 1]) for p in list_]
                 yield pa.RecordBatch.from_arrays([pa.array([p["content"] for p in list_], pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["c", "s"])
@@ -255,14 +318,15 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
 
     ``component`` names the first paragraph of its component as doc_id:start:stop:owner; ``keep`` is true for that one alone (and its like in repeated rows).
     """
-    rows = stored(with_paragraphs(docs, key, text), "paragraphs")
+    rows = stored(with_pieces(docs, key, text), "pieces")
     met = stored(meetings(rows), "meetings")
     often = rows.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
     wanted = stored(often.unionByName(met.select(F.col("id").alias("content"))).distinct().withColumnRenamed("content", "c"), "wanted")
     held = stored(rows.join(broadcast_within(wanted, wanted.count(), 64), rows["content"] == wanted["c"]).select("doc_id", "owner", "start", "stop", "content"), "held")
     contents = stored(held.groupBy("content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "owner", "start", "stop")).alias("first")), "contents")
+    spans = contents.select(F.col("content").alias("c"), F.xxhash64("first.doc_id", "first.owner").alias("doc"), "first.start", "first.stop")
     alike = links_of_meetings(met, ["key"], lambda pairs: similar(docs, contents, pairs, key, text, similarity),
-                              lambda ids: shingle_sets(docs, contents, ids.select(F.col("id").alias("c")), key, text).withColumnRenamed("c", "id"), similarity)
+                              lambda ids: shingle_sets(docs, contents, ids.select(F.col("id").alias("c")), key, text).join(spans, "c").withColumnRenamed("c", "id"), similarity)
     roots = stored(components(alike), "roots")
     named = contents.join(roots, contents["content"] == roots["node"], "left").select("content", "n", "first", F.coalesce("root", "content").alias("root"))
     shared = stored(named.groupBy("root").agg(F.sum("n").alias("total"), F.min("first").alias("origin")).where("total > 1"), "shared")

@@ -486,6 +486,65 @@ def test_edited_copies_in_one_bucket_are_linked(work):
     assert all(roots.get(2 * g) and roots.get(2 * g) == roots.get(2 * g + 1) for g in range(40)) and len(set(roots.values())) == 40
 
 
+def test_every_place_opens_a_piece(work):
+    """Each word opens a window and each sentence start a paragraph; passages of just 24 words are linked and covered to the last word, whatever surrounds them."""
+    rnd = random.Random(11)
+    words = lambda n: [f"w{rnd.getrandbits(40):x}" for _ in range(n)]
+    rows = []
+    for n in range(24, 44):
+        passage = words(n)
+        rows += [(len(rows) + k, " ".join([*words(30 + k), *passage, *words(rnd.randint(0, 40))])) for k in range(2)]
+    assert all(paragraphs.windows(t)[0].tolist() == list(range(len(t.split()) - 23)) for _, t in rows)
+    covered = defaultdict(set)
+    for r in paragraphs.repeats(work.createDataFrame(rows, "doc_id long, text string")).collect():
+        covered[r.doc_id] |= set(range(r.start, r.stop))
+    assert all(covered[i] == set(range(30 + i % 2, 54 + i % 2 + i // 2)) for i, _ in rows)
+    text = ". ".join(" ".join(words(9)).capitalize() for _ in range(60))
+    assert paragraphs.paragraphs(text, near=paragraphs.NEXT)[0].tolist() == [k for k in range(0, 540, 9) if k <= 516]
+
+
+def test_every_pair_of_edited_paragraphs_is_linked(work):
+    """Each sentence start counts: edited paragraphs, one of whose words is another, among foreign sentences."""
+    rnd = random.Random(12)
+    sentence = lambda n: [f"W{rnd.getrandbits(40):x}", *[f"w{rnd.getrandbits(40):x}" for _ in range(n - 2)], f"w{rnd.getrandbits(40):x}."]
+    rows = []
+    for _ in range(60):
+        base = sentence(34)
+        other = [*base[:33], "changed."]
+        for p in (base, other):
+            around = [[w for _ in range(rnd.randint(2, 6)) for w in sentence(rnd.randint(25, 40))] for _ in range(2)]
+            rows.append((len(rows), " ".join([*around[0], *p, *around[1]])))
+    found = defaultdict(set)
+    for r in paragraphs.repeats(work.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r.stop - r.start == 34:
+            found[r.component].add(r.doc_id)
+    assert sorted(map(sorted, found.values())) == [[2 * g, 2 * g + 1] for g in range(60)]
+
+
+@pytest.mark.parametrize("most", [(1 << 20, 50_000), (5, 3)])
+def test_pairs_of_buckets_by_brute_force(monkeypatch, most):
+    """The links found inside a task connect what all pairs of a bucket connect, whatever is looked at together."""
+    monkeypatch.setattr(meetings, "PAIRS", most[0])
+    monkeypatch.setattr(meetings, "CHECKED", most[1])
+    rnd = random.Random(most[0])
+    for _ in range(20):
+        base, sets, n = [rnd.getrandbits(40) for _ in range(30)], [], rnd.randint(1, 30)
+        for _ in range(n):
+            old = sorted(rnd.choice(sets)) if sets and rnd.random() < .6 else rnd.sample(base, rnd.randint(0, 20))
+            sets.append(set(old[rnd.randint(0, 3):]) | {rnd.getrandbits(40) for _ in range(rnd.randint(1, 4))})
+        bucket = [rnd.randint(0, 2) for _ in sets]
+        roots = [rnd.choice((k, k, 0)) for k in range(n)]
+        side = [rnd.randint(0, 1) if b == 0 else -1 for b in bucket]
+        like = lambda i, j: len(sets[i] & sets[j]) >= .8 * len(sets[i] | sets[j])
+        made = meetings.like_pairs(np.array(bucket), np.array(roots), np.array([len(x) for x in sets]), np.concatenate([np.array(sorted(x)) for x in sets]), .8, np.array(side)).tolist()
+        pairs = [(i, j) for i in range(n) for j in range(i)]
+        known = [(i, j) for i, j in pairs if roots[i] == roots[j]]
+        want = [(i, j) for i, j in pairs if bucket[i] == bucket[j] and (side[i] < 0 or side[i] != side[j]) and like(i, j)]
+        assert all(like(i, j) for i, j in made)
+        ways = [brute_components(list(range(n)), lambda a, b, e={frozenset(x) for x in known + edges}: frozenset((a, b)) in e) for edges in (want, made)]
+        assert ways[0] == ways[1]
+
+
 # ---- 7 -----------------------------------------------------------------------------------------
 
 
