@@ -320,18 +320,16 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     """
     rows = stored(with_pieces(docs, key, text), "pieces")
     met = stored(meetings(rows), "meetings")
-    often = rows.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
-    wanted = stored(often.unionByName(met.select(F.col("id").alias("content"))).distinct().withColumnRenamed("content", "c"), "wanted")
-    held = stored(rows.join(broadcast_within(wanted, wanted.count(), 64), rows["content"] == wanted["c"]).select("doc_id", "owner", "start", "stop", "content"), "held")
-    contents = stored(held.groupBy("content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "owner", "start", "stop")).alias("first")), "contents")
+    contents = stored(rows.groupBy("content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "owner", "start", "stop")).alias("first")), "contents")
     spans = contents.select(F.col("content").alias("c"), F.xxhash64("first.doc_id", "first.owner").alias("doc"), "first.start", "first.stop")
     alike = links_of_meetings(met, ["key"], lambda pairs: similar(docs, contents, pairs, key, text, similarity),
                               lambda ids: shingle_sets(docs, contents, ids.select(F.col("id").alias("c")), key, text).join(spans, "c").withColumnRenamed("c", "id"), similarity)
     roots = stored(components(alike), "roots")
-    named = contents.join(roots, contents["content"] == roots["node"], "left").select("content", "n", "first", F.coalesce("root", "content").alias("root"))
-    shared = stored(named.groupBy("root").agg(F.sum("n").alias("total"), F.min("first").alias("origin")).where("total > 1"), "shared")
-    classes = stored(named.join(shared, "root").select(F.col("content").alias("c"), "origin"), "classes")
-    found = held.join(classes, held["content"] == classes["c"])
+    linked = contents.join(broadcast_within(roots, roots.count(), 64), contents["content"] == roots["node"]).select("content", "first", "root")
+    origins = linked.groupBy("root").agg(F.min("first").alias("origin"))
+    shared = stored(linked.join(origins, "root").select(F.col("content").alias("of"), "origin"), "shared")
+    classes = contents.join(broadcast_within(shared, shared.count(), 128), contents["content"] == shared["of"], "left").where("n > 1 or of is not null")
+    found = rows.join(classes.select(F.col("content").alias("c"), F.coalesce("origin", "first").alias("origin")), rows["content"] == F.col("c"))
     same = F.col("origin.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("origin.owner") == F.col("owner"))
     inside = same & (F.col("origin.start") < F.col("stop")) & (F.col("start") < F.col("origin.stop"))
     first = (F.col("origin.start") == F.col("start")) & (F.col("origin.stop") == F.col("stop"))
