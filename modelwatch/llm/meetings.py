@@ -80,7 +80,45 @@ def like_pairs(bucket: np.ndarray, roots: np.ndarray, sizes: np.ndarray, shingle
     return np.array(edges, np.int64).reshape(-1, 2)
 
 
-def links_in_blocks(rows: DataFrame, by: list[str], sets: DataFrame, similarity: float) -> DataFrame:
+def may_be_like(bucket: np.ndarray, roots: np.ndarray, bits: np.ndarray, sizes: np.ndarray, similarity: float, side: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which rows have another of their bucket that may be similar: as ``like_pairs``, but by ``bits`` only, one bit set by each of at most ``sizes`` shingles.
+
+    A bit of one alone is a shingle of one alone, so no similar pair is left out.
+    """
+    by = np.argsort(bucket, kind="stable")
+    bucket, roots, bits, sizes, side, (doc, start, stop) = bucket[by], roots[by], bits[by].view(np.uint64), sizes[by], side[by], places[:, by]
+    end = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], True))
+    later = np.repeat(end, np.diff(np.append(-1, end))) - np.arange(len(bucket))
+    seen, at, found = np.cumsum(later), 0, np.zeros(len(bucket), bool)
+    while at < len(bucket):
+        upto = max(at + 1, int(np.searchsorted(seen, (seen[at - 1] if at else 0) + PAIRS, "right")))
+        many = later[at:upto]
+        i = np.repeat(np.arange(at, upto), many)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+        at = upto
+        more, other = (np.bitwise_count(bits[x] & ~bits[y]).astype(np.int64) for x, y in ((i, j), (j, i)))
+        open_ = similarity * (more + other) <= (1 - similarity) * np.minimum(sizes[i] - more, sizes[j] - other) + 1e-9
+        i, j = i[open_], j[open_]
+        open_ = (roots[i] != roots[j]) & ((side[i] < 0) | (side[i] != side[j])) & ~((doc[i] == doc[j]) & (start[i] < stop[j]) & (start[j] < stop[i]))
+        found[i[open_]] = found[j[open_]] = True
+    kept = np.empty(len(found), bool)
+    kept[by] = found
+    return kept
+
+
+def with_partners(placed: DataFrame, hints: DataFrame, groups: int, similarity: float) -> DataFrame:
+    """The rows (id, root, side, bucket) that may have a similar one in their bucket, by ``hints`` (id, doc, start, stop, bits, size)."""
+    names = ["id", "root", "side", "bucket"]
+
+    def keep(whole: pa.Table) -> pa.Table:
+        bucket, roots, bits, size, side = (whole.column(c).to_numpy() for c in ("bucket", "root", "bits", "size", "side"))
+        places = np.stack([whole.column(c).to_numpy().astype(np.int64) for c in ("doc", "start", "stop")])
+        return whole.select(names).filter(pa.array(may_be_like(bucket, roots, bits, size, similarity, side, places)))
+
+    return placed.join(hints, "id").withColumn("part", F.pmod("bucket", F.lit(groups))).groupBy("part").applyInArrow(keep, "id long, root long, side long, bucket long")
+
+
+def links_in_blocks(rows: DataFrame, by: list[str], sets: Callable[[DataFrame], DataFrame], similarity: float, hints: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that connect all similar rows (id, root, n, by) of different roots that agree in ``by``, whose number is n; compared by whole sets inside tasks."""
     dealt = rows.withColumn("blocks", F.ceil(F.col("n") / SMALL)).withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id"), "blocks")).otherwise(F.lit(0).cast("long")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
@@ -88,8 +126,12 @@ def links_in_blocks(rows: DataFrame, by: list[str], sets: DataFrame, similarity:
     placed = stored(pairs.select("id", "root", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"),
                                  F.xxhash64(*by, F.least("own", "other"), F.greatest("own", "other")).alias("bucket")), "placed")
     groups = max(1, placed.count() // GROUP)
-    placing = [c for c in ("doc", "start", "stop") if c in sets.columns]
-    full = placed.join(sets.select("id", "s", *placing), "id").withColumn("part", F.pmod("bucket", F.lit(groups)))
+    if hints is not None:
+        placed = stored(with_partners(placed, hints, groups, similarity), "partners")
+        groups = max(1, placed.count() // GROUP)
+    whole = sets(placed.select("id").distinct())
+    placing = [c for c in ("doc", "start", "stop") if c in whole.columns]
+    full = placed.join(whole.select("id", "s", *placing), "id").withColumn("part", F.pmod("bucket", F.lit(groups)))
 
     def compare(whole: pa.Table) -> pa.Table:
         whole = whole.combine_chunks()
@@ -103,11 +145,11 @@ def links_in_blocks(rows: DataFrame, by: list[str], sets: DataFrame, similarity:
     return full.groupBy("part").applyInArrow(compare, "a long, b long").distinct()
 
 
-def links(met: DataFrame, by: list[str], check: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+def links(met: DataFrame, by: list[str], check: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], similarity: float, hints: DataFrame | None = None) -> DataFrame:
     """Links (a, b) with the components of all similar pairs of ``met`` (id, by) that agree in ``by``.
 
     ``check`` gives links for the similar ones of pairs (a < b), ``sets`` (id, s: different shingles) for ids, and, if rows that overlap
-    in one document are no pairs, doc, start and stop. First all are
+    in one document are no pairs, doc, start and stop; ``hints`` are looked at before sets, if given (``with_partners``). First all are
     compared with the two ends of a random order of their bucket, which connects a group of copies with few
     comparisons. In a bucket that is then in several pieces, all pairs of different pieces follow, in blocks.
     """
@@ -130,5 +172,4 @@ def links(met: DataFrame, by: list[str], check: Callable[[DataFrame], DataFrame]
     if pieces.isEmpty():
         return first
     rest = stored(named.join(pieces, by).select("id", "root", *by, "n"), "rest")
-    whole = stored(sets(rest.select("id").distinct()), "whole")
-    return first.unionByName(stored(links_in_blocks(rest, by, whole, similarity), "more"))
+    return first.unionByName(stored(links_in_blocks(rest, by, sets, similarity, hints), "more"))

@@ -27,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import broadcast_within, stored
-from .common import small_batches, table, with_columns_by_batch
+from .common import small_batches, strings, table, with_columns_by_batch
 from .components import components
 from .meetings import links as links_of_meetings
 
@@ -42,7 +43,9 @@ NEAR = WORDS - SEED + 1
 BANDS, ROWS = 6, 2
 SIMILARITY = 0.8
 #: Characters of text whose seeds and keys one task compares, about a million.
-DEALT = 8 << 20
+DEALT = 16 << 20
+#: Characters of texts that are read together, and probes or windows that travel or are compared together.
+SLICE, CHUNK = 1 << 18, 1 << 20
 _MARK, _CLOSING = [np.isin(np.arange(256), np.frombuffer(b, np.uint8)) for b in (b".!?", b"\"')]")]
 _SEEDS = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -66,23 +69,33 @@ _known = _Known()
 
 
 class Read:
-    """A text as words: ``starts`` (numbers of the words that start a sentence), ``n`` (number of words), ``h`` (hash of every shingle of SHINGLE words)."""
+    """Texts as one row of words: ``first`` (number of the first word of every text, and of the end), ``till`` (of every word, the end of its text),
+    ``starts`` (numbers of the words that start a sentence), ``n`` (number of words), ``h`` (hash of every shingle of SHINGLE words).
 
-    def __init__(self, text: str):
-        body = text.encode()
+    A shingle that reaches into the next text belongs to no piece.
+    """
+
+    def __init__(self, texts: str | list[str]):
+        bodies = [t.encode() for t in ([texts] if isinstance(texts, str) else texts)]
+        body = b"\n".join(bodies)
         words = body.lower().split()  # bytes lower A-Z only and split at the six ASCII spaces
-        self.n, self.starts, self.h = len(words), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.n, self.h = len(words), np.zeros(0, np.uint64)
+        begin, self.starts = starts_of(body)
+        self.first = np.searchsorted(begin, np.append(0, np.cumsum([len(b) + 1 for b in bodies])))
+        self.till = np.repeat(self.first[1:], np.diff(self.first))
         if self.n >= WORDS:
             w = np.fromiter(map(_known.__getitem__, words), np.uint64, self.n)
             for k in range(SHINGLE):
                 self.h = spread((self.h if k else np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15) + w[k:self.n - SHINGLE + 1 + k])
-            self.starts = starts_of(body)
         self.contents = Contents(self.h)
 
+    def text_of(self, word: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, word, "right") - 1
 
-def starts_of(body: bytes) -> np.ndarray:
-    """Numbers of the words that start a sentence: the first, and those after a line break or an end mark (closing quotes and brackets may
-    follow it), or of a capital and a small letter after a character that is no capital."""
+
+def starts_of(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of every word, and numbers of the words that start a sentence: the first, and those after a line break or an end mark (closing quotes
+    and brackets may follow it), or of a capital and a small letter after a character that is no capital."""
     raw = np.frombuffer(body + b" \0\0\0", np.uint8)
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
     turn = np.flatnonzero(np.diff(space, prepend=True))
@@ -99,7 +112,7 @@ def starts_of(body: bytes) -> np.ndarray:
     while len(more := np.flatnonzero(_CLOSING[raw[at]] & (at > floor))):
         at[more] -= 1
     starts = (lines[1:] > lines[:-1]) | _MARK[raw[at]] | (capital & small)[1:] & ~open_
-    return np.append(0, np.flatnonzero(starts) + 1)
+    return begin, np.append(0, np.flatnonzero(starts) + 1)
 
 
 class Contents:
@@ -142,7 +155,7 @@ def paragraphs(text: str | Read, every: bool = False, near: int | None = None) -
     if n < WORDS:
         return none, none, none.view(np.uint64), np.zeros((BANDS, 0), np.uint64)
     ends = np.append(starts, n)
-    chosen = starts[starts + WORDS <= n]
+    chosen = starts[read.till[starts] >= starts + WORDS]
     stop = ends[np.searchsorted(ends, chosen + WORDS)]
     if not every and near is None:
         last = np.append(stop[1:] != stop[:-1], True)
@@ -166,106 +179,272 @@ def paragraphs(text: str | Read, every: bool = False, near: int | None = None) -
     return chosen, stop, contents.of(low, high), keys
 
 
+def bits_of(read: Read, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64 bits of the runs of words, one set by every shingle: bits that two runs do not share show shingles that they do not."""
+    if not len(start):
+        return np.zeros(0, np.int64)
+    both = np.stack([start, stop - SHINGLE + 1], axis=1).ravel()
+    ones = np.append(np.uint64(1) << (spread(read.h) >> np.uint64(58)), np.uint64(0))
+    return np.bitwise_or.reduceat(ones, both)[::2].view(np.int64)
+
+
 def spots(read: Read) -> tuple[np.ndarray, np.ndarray]:
     """(start word of every window, start word of its seed)."""
     none = np.zeros(0, np.int64)
     count = len(read.h) + SHINGLE - WORDS  # places at which a window can start
     if count < 1:
         return none, none
-    low = np.arange(count)
-    real = read.contents.real(low, low + WORDS - SHINGLE + 1)
+    low = np.flatnonzero(read.till[:count] >= np.arange(WORDS, WORDS + count))
+    low = low[read.contents.real(low, low + WORDS - SHINGLE + 1)]
     order = seeds_at(read, np.arange(count + NEAR - 1))
-    least = np.lib.stride_tricks.sliding_window_view(order, NEAR).argmin(axis=1)
-    return low[real], (low + least)[real]
+    lowest, least = order[low], np.zeros(len(low), np.int64)
+    for k in range(1, NEAR):
+        now = order[low + k]
+        less = now < lowest
+        lowest[less], least[less] = now[less], k
+    return low, low + least
 
 
 def seeds_at(read: Read, at: np.ndarray) -> np.ndarray:
     return read.contents.of(at, at + SEED - SHINGLE + 1)
 
 
-def windows(text: str | Read, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start word, end word, content) of the windows of a text, one from every word, or of those with ``some`` seeds."""
+def windows(text: str | Read) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start word, end word, content) of the windows of a text, one from every word."""
     read = text if isinstance(text, Read) else Read(text)
-    chosen, seed = spots(read)
-    if some is not None:
-        chosen = chosen[np.isin(seeds_at(read, seed), some)]
+    chosen, _ = spots(read)
     return chosen, chosen + WORDS, read.contents.of(chosen, chosen + WORDS - SHINGLE + 1)
 
 
-def met_apart(start: np.ndarray, stop: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different ``keys``, and whether paragraphs that do not overlap share each."""
-    place = np.tile(np.arange(len(start)), len(keys))
-    by = np.lexsort((place, keys.ravel()))
-    flat, place = keys.ravel()[by], place[by]
-    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])[:len(flat)])
-    last = np.append(first[1:], len(flat))[:len(first)] - 1
-    return flat[first], start[place[last]] >= stop[place[first]]
-
-
-def probes(read: Read) -> np.ndarray:
-    """The seeds and keys of a text, twice where the text alone meets them at places apart."""
-    seeds, n = np.unique(seeds_at(read, np.unique(spots(read)[1])), return_counts=True)
+def probes(read: Read) -> tuple[np.ndarray, np.ndarray]:
+    """(text, probe): the different seeds and keys of every text, twice where the text alone meets them at places apart; by text."""
+    seed = spots(read)[1]
+    seed = seed[np.append(True, seed[1:] != seed[:-1])[:len(seed)]]
     start, stop, _, keys = paragraphs(read, near=NEXT)
-    keys, apart = met_apart(start, stop, keys)
-    return np.concatenate([seeds, seeds[n > 1], keys, keys[apart]])
+    own = read.text_of(start)
+    new = np.ones(keys.shape, bool)  # paragraphs in a row often share a key
+    new[:, 1:] = (keys[:, 1:] != keys[:, :-1]) | (own[1:] != own[:-1])
+    last = np.ones(keys.shape, bool)
+    last[:, :-1] = new[:, 1:]
+    opening, closing = np.nonzero(new)[1], np.nonzero(last)[1]
+    text = np.concatenate([read.text_of(seed), own[opening]])
+    probe = np.concatenate([seeds_at(read, seed), keys[new]])
+    upto, begin = np.concatenate([seed + 1, stop[opening]]), np.concatenate([seed, start[closing]])
+    by = np.lexsort((probe, text))
+    text, probe, upto, begin = text[by], probe[by], upto[by], begin[by]
+    first = np.flatnonzero(np.append(True, (probe[1:] != probe[:-1]) | (text[1:] != text[:-1]))[:len(probe)])
+    if not len(first):
+        return text, probe
+    apart = np.maximum.reduceat(begin, first) >= np.minimum.reduceat(upto, first)
+    return np.repeat(text[first], 1 + apart), np.repeat(probe[first], 1 + apart)
+
+
+def key_of(key: str) -> Column:
+    return F.col(f"`{key}`").cast("long")
 
 
 def owner_of(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("owner")
 
 
-def repeated_probes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, owner, places): the ``probes`` of the documents that are met twice or more in all texts."""
+def parts_of(docs: DataFrame, text: str) -> int:
+    """Number of parts that seeds and keys, and windows, are dealt to."""
+    return int((docs.agg(F.sum(F.length(F.col(f"`{text}`")))).first()[0] or 0) // DEALT) + 8
+
+
+def coded(probe: np.ndarray, parts: int) -> np.ndarray:
+    """Part and upper half of probes; few different ones of a part agree in it, which then only spells a piece in vain."""
+    return ((probe % np.uint64(parts)) << np.uint64(32) | probe >> np.uint64(32)).view(np.int64)
+
+
+def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in runs of about SLICE characters of ``body``."""
+    for batch in batches:
+        if batch.num_rows:
+            whole = pa.Table.from_batches([batch])
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("body")), 0).to_numpy(zero_copy_only=False)) // SLICE
+            cuts = [0, *(np.flatnonzero(ends[1:] != ends[:-1]) + 1).tolist(), len(ends)]
+            for x, y in zip(cuts, cuts[1:]):
+                yield whole.slice(x, y - x).combine_chunks()
+
+
+def lists_of(lengths: np.ndarray | list[int], values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(values))
+
+
+def repeated_probes(docs: DataFrame, parts: int, text: str = "text") -> DataFrame:
+    """(owner, probe): the ``probes`` that are met in two different texts or twice in one, coded, with the texts that have them.
+
+    Probes travel as one row for a part and about CHUNK probes: the texts, how many probes each has, and their upper halves.
+    """
     small_batches(docs.sparkSession)
-    names = ["doc_id", "owner", "probe"]
+
+    def packed(owners: list[int], made: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        text_, probe = (np.concatenate(x) for x in zip(*made))
+        code = coded(probe, parts)
+        part = code >> 32
+        by = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+        text_, code, part = text_[by], code[by], part[by]
+        run = np.flatnonzero(np.append(True, (text_[1:] != text_[:-1]) | (part[1:] != part[:-1]))[:len(part)])
+        counts = np.diff(np.append(run, len(part))).astype(np.int32)
+        row = np.flatnonzero(np.append(True, part[1:] != part[:-1])[:len(part)])
+        runs = np.diff(np.append(np.searchsorted(run, row), len(run)))
+        return pa.RecordBatch.from_arrays([pa.array(part[row], pa.int32()), lists_of(runs, np.array(owners, np.int64)[text_[run]]), lists_of(runs, counts),
+                                           lists_of(np.diff(np.append(row, len(part))), (code & 0xFFFFFFFF).astype(np.uint32).view(np.int32))], names=["part", "owners", "counts", "halves"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [probes(Read(t or "")).view(np.int64) for t in batch.column(2).to_pylist()]
-            own = pa.array(np.repeat(np.arange(len(made)), [len(x) for x in made]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(np.concatenate(made) if made else np.zeros(0, np.int64))], names=names)
+        owners, met, made, n = [], set(), [], 0
+        for some in runs_of(batches):
+            texts, own = [], []
+            for o, t in zip(some.column("owner").to_pylist(), some.column("body").to_pylist()):
+                if o not in met:
+                    met.add(o)
+                    own.append(o)
+                    texts.append(t or "")
+            text_, probe = probes(Read(texts))
+            made.append((text_ + len(owners), probe))
+            owners += own
+            n += len(probe)
+            if n > CHUNK:
+                yield packed(owners, made)
+                owners, met, made, n = [], set(), [], 0
+        if n:
+            yield packed(owners, made)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = [b for b in batches if len(b)]
-        if whole:
-            met = pa.Table.from_batches(whole)
-            _, number, n = np.unique(met.column("probe").to_numpy(), return_inverse=True, return_counts=True)
-            yield from met.filter(pa.array(n[number] > 1)).combine_chunks().to_batches(max_chunksize=1 << 16)
-
+        if not whole:
+            return
+        met = pa.Table.from_batches(whole).combine_chunks()
+        part, owners, counts, halves = (met.column(c).chunk(0) for c in ("part", "owners", "counts", "halves"))
+        each = counts.flatten().to_numpy()
+        run = np.repeat(np.arange(len(each)), each)
+        code = np.repeat(part.to_numpy().astype(np.int64), halves.value_lengths().to_numpy()) << 32 | halves.flatten().to_numpy().view(np.uint32)
+        owner = owners.flatten().to_numpy()[run]
+        twice = np.append((code[1:] == code[:-1]) & (run[1:] == run[:-1]), False)[:len(code)]
+        by = np.argsort(code)
+        code, owner, twice = code[by], owner[by], twice[by]
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1])[:len(code)])
+        often = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)) | np.logical_or.reduceat(twice, first)
+        kept = np.repeat(often, np.diff(np.append(first, len(code))))
+        yield from pa.Table.from_arrays([pa.array(owner[kept]), pa.array(code[kept])], names=["owner", "probe"]).to_batches(max_chunksize=1 << 16)
+
+    rows = docs.select(owner_of(text), F.col(f"`{text}`").alias("body"))
+    dealt = rows.mapInArrow(read, "part int, owners array<long>, counts array<int>, halves array<int>").repartitionById(parts, "part")
+    return dealt.mapInArrow(again, "owner long, probe long")
+
+
+def texts_of(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(owner, first, n, most): every different text, the lowest id that has it (null first), the number of rows and of those of one id at most;
+    (copy_of, copy_id, m): the ids and numbers of rows of the texts of several rows."""
+    ids = stored(docs.select(F.col(f"`{key}`").cast("long").alias("id"), owner_of(text)).groupBy("owner", "id").agg(F.count("*").alias("m")), "ids")
+    texts = stored(ids.groupBy("owner").agg(F.min(F.struct("id"))["id"].alias("first"), F.sum("m").alias("n"), F.max("m").alias("most")), "texts")
+    many = texts.where("n > 1").select(F.col("owner").alias("copy_of"))
+    return texts, stored(ids.join(many, ids["owner"] == many["copy_of"]).select("copy_of", F.col("id").alias("copy_id"), "m"), "copies")
+
+
+def of_all_copies(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, owner, copied), once for each document that has the text."""
+    met = rows.join(broadcast_within(copies, copies.count(), 64), F.col("copied") & (rows["owner"] == copies["copy_of"]), "left")
+    own = met.withColumn("doc_id", F.when(F.col("copied"), F.col("copy_id")).otherwise(F.col("doc_id")))
+    return own.withColumn("m", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("m", F.lit(1))))).drop("copy_of", "copy_id", "m")
+
+
+def with_pieces(docs: DataFrame, texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The windows and paragraphs of the different texts whose seed or any key is met again, and all of texts with ``copied``; by the first document of each text.
+
+    owner is a hash of the text, start and stop are counted in words. A paragraph has its content and the keys met again; a row of n windows, one from every word,
+    its seed and their contents (n is 0 for the window that a paragraph of WORDS words is), or neither if the seed is met nowhere else.
+    """
+    parts = parts_of(docs, text)
+    met = repeated_probes(docs, parts, text).groupBy("owner").agg(F.collect_set("probe").alias("places"))
+    here = texts.join(met, "owner", "left").where("n > 1 or places is not null").select("first", F.col("owner").alias("text_owner"), (F.col("n") > 1).alias("copied"), "places").hint("shuffle_hash")
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), owner_of(text), F.col(f"`{text}`").alias("body"))
-    size = docs.agg(F.sum(F.length(F.col(f"`{text}`")))).first()[0] or 0
-    kind = "doc_id long, owner long, probe long"
-    met = rows.mapInArrow(read, kind).repartition(int(size // DEALT) + 8, "probe").mapInArrow(again, kind)
-    return met.groupBy("doc_id", "owner").agg(F.collect_set("probe").alias("places"))
+    found = rows.join(here, rows["doc_id"].eqNullSafe(here["first"]) & (rows["owner"] == here["text_owner"])).select("doc_id", "owner", "copied", "body", "places")
+    names = ["doc_id", "owner", "copied", "start", "stop", "content", "bits", "keys", "n", "seed", "contents"]
 
+    def rows_of(some: pa.Table, read: Read, start: np.ndarray, **more: pa.Array) -> pa.RecordBatch:
+        own = read.text_of(start)
+        given = {c: some.column(c).chunk(0).take(pa.array(own)) for c in names[:3]} | {"start": pa.array(start - read.first[own], pa.int32())} | more
+        kinds = {"stop": pa.int32(), "content": pa.int64(), "bits": pa.int64(), "keys": pa.list_(pa.int64()), "n": pa.int32(), "seed": pa.int64(), "contents": pa.list_(pa.int64())}
+        return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(len(start), kinds[c]) for c in names], names=names)
 
-def with_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, owner, start, stop, content, keys) of all windows and paragraphs whose seed or any key is met again.
-
-    owner is a hash of the text, start and stop are counted in words; keys are those met again, of windows null.
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in runs_of(batches):
+            read = Read(strings(some.column("body")))
+            again = np.unique(some.column("places").chunk(0).flatten().to_numpy())
+            copied = some.column("copied").to_numpy()
+            a, b, c, keys = paragraphs(read, near=NEXT)
+            low, at = spots(read)
+            seed = seeds_at(read, at)
+            is_paragraph = np.isin(low, a[b == a + WORDS])
+            shared = among(coded(keys, parts), again)
+            few = shared.any(axis=0) | copied[read.text_of(a)]
+            a, b, c, keys, shared = a[few], b[few], c[few], keys.T[few], shared.T[few]
+            yield rows_of(some, read, a, stop=pa.array(b - read.first[read.text_of(a)], pa.int32()), content=pa.array(c.view(np.int64)), bits=pa.array(bits_of(read, a, b)), keys=lists_of(shared.sum(axis=1), keys[shared].view(np.int64)))
+            content = read.contents.of(low, low + WORDS - SHINGLE + 1).view(np.int64)
+            met_again = among(coded(seed, parts), again)
+            one = met_again & np.isin(low, a[b == a + WORDS])
+            yield rows_of(some, read, low[one], n=pa.array(np.zeros(one.sum()), pa.int32()), seed=pa.array(seed[one].view(np.int64)), contents=lists_of(np.ones(one.sum(), int), content[one]))
+            own = read.text_of(low)
+            for chosen, by in ((met_again & ~is_paragraph, at), (~met_again & ~is_paragraph & copied[own], own)):
+                x = low[chosen]
+                run = np.flatnonzero(np.append(True, (x[1:] != x[:-1] + 1) | (by[chosen][1:] != by[chosen][:-1]))[:len(x)])
+                n = np.diff(np.append(run, len(x)))
+                dealt = {"seed": pa.array(seed[chosen][run].view(np.int64)), "contents": lists_of(n, content[chosen])} if by is at else {}
+                yield rows_of(some, read, x[run], n=pa.array(n, pa.int32()), **dealt)
+
+    return found.mapInArrow(spell, "doc_id long, owner long, copied boolean, start int, stop int, content long, bits long, keys array<long>, n int, seed long, contents array<long>")
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the values are among the ``known``, which are in order."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(values.shape, bool)
+
+
+def equal_windows(pieces: DataFrame) -> DataFrame:
+    """(doc_id, owner, copied, start, n, from_doc, from_owner, from, content): n repeated windows, one from every word, and the place of the first window equal to each, one from every word, too.
+
+    A window that equals a paragraph is a row of its own with its content: paragraphs decide its class. Equal windows have equal seeds, by which they are dealt.
     """
-    met = stored(repeated_probes(docs, key, text), "probes")
-    names = ["doc_id", "owner", "start", "stop", "content", "keys"]
+    names = ["doc_id", "owner", "copied", "start", "n", "from_doc", "from_owner", "from", "content"]
+    size = pieces.where("seed is not null").agg(F.sum(F.size("contents"))).first()[0] or 0
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(3)
-            for k, body in enumerate(batch.column(2).to_pylist()):
-                read, some = Read(body or ""), lists[k].values.to_numpy().view(np.uint64)
-                a, b, c, keys = paragraphs(read, near=NEXT)
-                x, y, z = windows(read, some)
-                other = ~np.isin(x * (1 << 32) + y, a * (1 << 32) + b)
-                x, y, z = x[other], y[other], z[other]
-                shared = np.isin(keys, some)
-                few = shared.any(axis=0)
-                a, b, c, keys, shared = a[few], b[few], c[few], keys.T[few], shared.T[few]
-                offsets = np.append(0, np.cumsum(shared.sum(axis=1)))
-                kept = pa.concat_arrays([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[shared].view(np.int64))), pa.nulls(len(x), pa.list_(pa.int64()))])
-                own = pa.array(np.full(len(a) + len(x), k))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(np.append(a, x), pa.int32()), pa.array(np.append(b, y), pa.int32()),
-                                                  pa.array(np.append(c, z).view(np.int64)), kept], names=names)
-
-    return texts_with(docs, met, 8, key, text).mapInArrow(spell, "doc_id long, owner long, start int, stop int, content long, keys array<long>")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = [b for b in batches if len(b)]
+        if not whole:
+            return
+        met = pa.Table.from_batches(whole).combine_chunks()
+        doc, owner, copied, start, n = (met.column(c).to_numpy() if c != "doc_id" else pc.fill_null(met.column(c), 0).to_numpy() for c in names[:5])
+        given = pc.is_valid(met.column("doc_id")).to_numpy()
+        lists = met.column("contents").chunk(0)
+        sizes = lists.value_lengths().to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        content = lists.flatten().to_numpy()
+        at = start[row].astype(np.int64) + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        by = np.lexsort((at, owner[row], doc[row], given[row], content))
+        first = np.flatnonzero(np.append(True, content[by][1:] != content[by][:-1]))
+        often = np.diff(np.append(first, len(by)))
+        repeated = (often > 1) | np.logical_or.reduceat(copied[row][by], first)
+        beside = np.logical_or.reduceat(n[row][by] == 0, first)
+        origin, kept, near = np.empty(len(by), np.int64), np.empty(len(by), bool), np.empty(len(by), bool)
+        origin[by], kept[by], near[by] = np.repeat(by[first], often), np.repeat(repeated & ~beside, often), np.repeat(beside, often)
+        near &= n[row] > 0
+        x = np.flatnonzero(kept)
+        o = origin[x]
+        same = (x[1:] == x[:-1] + 1) & (row[x][1:] == row[x][:-1]) & (row[o][1:] == row[o][:-1]) & (at[o][1:] == at[o][:-1] + 1)
+        run = np.flatnonzero(np.append(True, ~same)[:len(x)])
+        alone = np.flatnonzero(near)
+        lengths = np.append(np.diff(np.append(run, len(x))), np.ones(len(alone), np.int64))
+        x, o = np.append(x[run], alone), np.append(o[run], origin[alone])
+        own, out = pa.array(row[x]), pa.array(row[o])
+        ids, owners = met.column("doc_id").chunk(0), met.column("owner").chunk(0)
+        contents = pa.array(content[x], mask=np.arange(len(x)) < len(run))
+        yield from pa.Table.from_arrays([ids.take(own), owners.take(own), pa.array(copied[row[x]]), pa.array(at[x], pa.int32()), pa.array(lengths, pa.int32()), ids.take(out), owners.take(out),
+                                         pa.array(at[o], pa.int32()), contents], names=names).to_batches(max_chunksize=1 << 16)
+
+    rows = pieces.where("seed is not null").select("doc_id", "owner", "copied", "start", "n", "contents", "seed").repartition(int(size // CHUNK) + 8, "seed").select(*names[:5], "contents")
+    return rows.mapInArrow(meet, "doc_id long, owner long, copied boolean, start int, n int, from_doc long, from_owner long, from int, content long")
 
 
 def texts_with(docs: DataFrame, places: DataFrame, row_bytes: int, key: str, text: str) -> DataFrame:
@@ -276,11 +455,16 @@ def texts_with(docs: DataFrame, places: DataFrame, row_bytes: int, key: str, tex
     return rows.join(here, rows["id"].eqNullSafe(here["doc_id"]) & (rows["owner"] == here["text_owner"])).select("doc_id", "owner", "body", "places")
 
 
-def meetings(rows: DataFrame) -> DataFrame:
-    """(id, key): the contents in the buckets of their keys; buckets of one content are left out first, so that only the others are joined."""
-    keys = rows.where("keys is not null").select(F.col("content").alias("id"), F.explode("keys").alias("key"))
-    shared = stored(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key"), "buckets")
-    return keys.join(broadcast_within(shared, shared.count(), 64), "key").select("id", "key").distinct()
+def shingles(place: str = "") -> Column:
+    return F.col(f"{place}stop") - F.col(f"{place}start") - (SHINGLE - 1)
+
+
+def meetings(contents: DataFrame) -> DataFrame:
+    """(id, key): the contents in the buckets of their keys; buckets whose contents all overlap in one document, which are no repeats of each other, are left out first."""
+    keys = contents.select(F.col("content").alias("id"), F.xxhash64("first.doc_id", "first.owner").alias("doc"), "first.start", "first.stop", F.explode(F.array_distinct("keys")).alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.max("start").alias("start"), F.min("stop").alias("stop"))
+    shared = stored(buckets.where("lo <> hi or start >= stop").select("key"), "buckets")
+    return keys.select("id", "key").join(broadcast_within(shared, shared.count(), 64), "key").select("id", "key")
 
 
 def shingle_sets(docs: DataFrame, contents: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -290,23 +474,30 @@ def shingle_sets(docs: DataFrame, contents: DataFrame, wanted: DataFrame, key: s
     found = texts_with(docs, places, 40, key, text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for body, list_ in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                h = Read(body or "").h.view(np.int64)
-                made = [np.unique(h[p["start"]:p["stop"] - SHINGLE + 1]) for p in list_]
-                yield pa.RecordBatch.from_arrays([pa.array([p["content"] for p in list_], pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["c", "s"])
+        for some in runs_of(batches):
+            read = Read(strings(some.column("body")))
+            lists = some.column("places").chunk(0)
+            of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            place = lists.flatten()
+            low, high = (read.first[of] + place.field(c).to_numpy() for c in ("start", "stop"))
+            h = read.h.view(np.int64)
+            made = [np.unique(h[x:y]) for x, y in zip(low.tolist(), (high - SHINGLE + 1).tolist())]
+            yield pa.RecordBatch.from_arrays([place.field("content"), lists_of([len(m) for m in made], np.concatenate([*made, h[:0]]))], names=["c", "s"])
 
-    return found.mapInArrow(cut, "c long, s array<long>").dropDuplicates(["c"])
+    return found.mapInArrow(cut, "c long, s array<long>")
 
 
 def similar(docs: DataFrame, contents: DataFrame, pairs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
     """The pairs whose paragraphs have at least ``similarity`` shingles in common, read from the whole texts.
 
-    Paragraphs that overlap in one document are no repeats of each other.
+    Paragraphs that overlap in one document are no repeats of each other. A pair whose ``bits`` show too many shingles of one alone is not read.
     """
-    x, y = [contents.select(F.col("content").alias(n), *[F.col(f"first.{v}").alias(f"{n}_{v}") for v in ("doc_id", "owner", "start", "stop")]) for n in "ab"]
+    x, y = [contents.select(F.col("content").alias(n), *[F.col(f"first.{v}").alias(f"{n}_{v}") for v in ("doc_id", "owner", "start", "stop")],
+                            F.col("bits").alias(f"{n}_bits"), shingles("first.").alias(f"{n}_size")) for n in "ab"]
     overlap = F.col("a_doc_id").eqNullSafe(F.col("b_doc_id")) & (F.col("a_owner") == F.col("b_owner")) & (F.col("a_start") < F.col("b_stop")) & (F.col("b_start") < F.col("a_stop"))
-    apart = stored(pairs.join(x, "a").join(y, "b").where(~overlap).select("a", "b"), "apart")
+    more, other = [F.bit_count(F.col(f"{p}_bits").bitwiseAND(F.bitwise_not(f"{q}_bits"))) for p, q in ("ab", "ba")]
+    possible = similarity * (more + other) <= (1 - similarity) * F.least(F.col("a_size") - more, F.col("b_size") - other) + 1e-9
+    apart = stored(pairs.join(x, "a").join(y, "b").where(~overlap & possible).select("a", "b"), "apart")
     sets = stored(shingle_sets(docs, contents, apart.select(F.explode(F.array("a", "b")).alias("c")).distinct(), key, text), "sets")
     x, y = [sets.select(F.col("c").alias(n), F.col("s").alias(f"{n}_s")) for n in "ab"]
     common = F.size(F.array_intersect("a_s", "b_s"))
@@ -318,18 +509,34 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
 
     ``component`` names the first paragraph of its component as doc_id:start:stop:owner; ``keep`` is true for that one alone (and its like in repeated rows).
     """
-    rows = stored(with_pieces(docs, key, text), "pieces")
-    met = stored(meetings(rows), "meetings")
-    contents = stored(rows.groupBy("content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "owner", "start", "stop")).alias("first")), "contents")
+    texts, copies = texts_of(docs, key, text)
+    if not texts.where("most > 1").isEmpty():  # rows that come again are read once
+        docs = docs.select(key_of(key).alias(key), F.col(f"`{text}`")).dropDuplicates()
+    pieces = stored(with_pieces(docs, texts, key, text), "pieces")
+    equal = stored(equal_windows(pieces), "equal")
+    place = ["doc_id", "owner", "copied", "start", "stop", "content"]
+    rows = pieces.where("content is not null").select(*place, "bits", "keys").unionByName(
+        equal.where("content is not null").withColumn("stop", F.col("start") + WORDS).select(*place, F.lit(None).cast("long").alias("bits"), F.lit(None).cast("array<long>").alias("keys")))
+    contents = stored(rows.groupBy("content").agg(F.sum(F.when(F.col("copied"), 2).otherwise(1)).alias("n"), F.max("keys").alias("keys"), F.max("bits").alias("bits"),
+                                                  F.min(F.struct("doc_id", "owner", "start", "stop")).alias("first")), "contents")
+    met = stored(meetings(contents), "meetings")
     spans = contents.select(F.col("content").alias("c"), F.xxhash64("first.doc_id", "first.owner").alias("doc"), "first.start", "first.stop")
+    hints = contents.select(F.col("content").alias("id"), F.xxhash64("first.doc_id", "first.owner").alias("doc"), "first.start", "first.stop", "bits", shingles("first.").alias("size"))
     alike = links_of_meetings(met, ["key"], lambda pairs: similar(docs, contents, pairs, key, text, similarity),
-                              lambda ids: shingle_sets(docs, contents, ids.select(F.col("id").alias("c")), key, text).join(spans, "c").withColumnRenamed("c", "id"), similarity)
+                              lambda ids: shingle_sets(docs, contents, ids.select(F.col("id").alias("c")), key, text).join(spans, "c").withColumnRenamed("c", "id"), similarity, hints)
     roots = stored(components(alike), "roots")
     linked = contents.join(broadcast_within(roots, roots.count(), 64), contents["content"] == roots["node"]).select("content", "first", "root")
     origins = linked.groupBy("root").agg(F.min("first").alias("origin"))
     shared = stored(linked.join(origins, "root").select(F.col("content").alias("of"), "origin"), "shared")
     classes = contents.join(broadcast_within(shared, shared.count(), 128), contents["content"] == shared["of"], "left").where("n > 1 or of is not null")
-    found = rows.join(classes.select(F.col("content").alias("c"), F.coalesce("origin", "first").alias("origin")), rows["content"] == F.col("c"))
+    near = rows.join(classes.select(F.col("content").alias("c"), F.coalesce("origin", "first").alias("origin")), rows["content"] == F.col("c"))
+    moved = [(F.col(c) + F.col("k")).alias(c) for c in ("start", "from")]
+    whole = equal.where("content is null").unionByName(
+        pieces.where("content is null and seed is null").select("doc_id", "owner", "copied", "start", "n", F.col("doc_id").alias("from_doc"), F.col("owner").alias("from_owner"), F.col("start").alias("from"), "content"))
+    each = of_all_copies(whole, copies).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).select("doc_id", "owner", "from_doc", "from_owner", *moved)
+    found = of_all_copies(near.select("doc_id", "owner", "copied", "start", "stop", "origin"), copies).select("doc_id", "owner", "start", "stop", "origin").unionByName(
+        each.select("doc_id", "owner", "start", (F.col("start") + WORDS).alias("stop"),
+                    F.struct(F.col("from_doc").alias("doc_id"), F.col("from_owner").alias("owner"), F.col("from").alias("start"), (F.col("from") + WORDS).alias("stop")).alias("origin")))
     same = F.col("origin.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("origin.owner") == F.col("owner"))
     inside = same & (F.col("origin.start") < F.col("stop")) & (F.col("start") < F.col("origin.stop"))
     first = (F.col("origin.start") == F.col("start")) & (F.col("origin.stop") == F.col("stop"))
