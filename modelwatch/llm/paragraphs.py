@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import broadcast_within, stored
+from ..session import BROADCAST_BYTES, broadcast_within, stored
 from .common import small_batches, strings, table, with_columns_by_batch
 from .components import components
 from .meetings import links as links_of_meetings
@@ -358,8 +358,13 @@ def with_pieces(docs: DataFrame, texts: DataFrame, key: str = "doc_id", text: st
     """
     parts = parts_of(docs, text)
     met = repeated_probes(docs, parts, text).groupBy("owner").agg(F.collect_set("probe").alias("places"))
-    here = texts.join(met, "owner", "left").where("n > 1 or places is not null").select("first", F.col("owner").alias("text_owner"), (F.col("n") > 1).alias("copied"), "places").hint("shuffle_hash")
+    here = texts.join(met, "owner", "left").where("n > 1 or places is not null").select("first", F.col("owner").alias("text_owner"), (F.col("n") > 1).alias("copied"), "places")
+    here = stored(here, "here")
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), owner_of(text), F.col(f"`{text}`").alias("body"))
+    wanted = here.select(F.col("first").alias("wanted"), F.col("text_owner").alias("wanted_owner"))
+    if wanted.count() * 64 <= BROADCAST_BYTES:  # other texts then need not travel
+        rows = rows.join(F.broadcast(wanted), rows["doc_id"].eqNullSafe(wanted["wanted"]) & (rows["owner"] == wanted["wanted_owner"]), "left_semi")
+    here = here.hint("shuffle_hash")
     found = rows.join(here, rows["doc_id"].eqNullSafe(here["first"]) & (rows["owner"] == here["text_owner"])).select("doc_id", "owner", "copied", "body", "places")
     names = ["doc_id", "owner", "copied", "start", "stop", "content", "bits", "keys", "n", "seed", "contents"]
 

@@ -706,3 +706,48 @@ def test_pipeline(work):
 def QUERIES_PIPELINE(spark, sf):
     import __spark_entry__
     return __spark_entry__.queries()["pipeline"](spark, sf)
+
+
+def test_bits_leave_out_no_similar_pair():
+    """Rows that have a similar set of another root in their bucket are kept, whatever is looked at together."""
+    rnd = random.Random(13)
+    sets, bucket = [], []
+    for b in range(30):
+        base = [rnd.getrandbits(64) for _ in range(40)]
+        for _ in range(rnd.randint(1, 6)):
+            cut = rnd.choice((0, 2, 4, 20))
+            sets.append({*base[cut:], *[rnd.getrandbits(64) for _ in range(rnd.choice((0, 1, 3)))]})
+            bucket.append(b)
+    n = len(sets)
+    bits = np.array([np.bitwise_or.reduce(np.array([1 << (h & 63) for h in s], np.uint64)) for s in sets]).view(np.int64)
+    places = np.stack([np.arange(n), np.zeros(n, np.int64), np.full(n, 44)])
+    kept = meetings.may_be_like(np.array(bucket), np.arange(n), bits, np.array([len(s) for s in sets]), .8, np.full(n, -1), places)
+    like = [any(j != i and bucket[i] == bucket[j] and len(s & t) >= .8 * len(s | t) for j, t in enumerate(sets)) for i, s in enumerate(sets)]
+    assert all(k for k, x in zip(kept, like) if x) and not all(kept)
+
+
+def test_texts_read_together_have_the_pieces_of_each():
+    """Batches of texts, with empty and short ones between, give each text's own windows, paragraphs and probes; only foreign texts make a probe met twice."""
+    rnd = random.Random(14)
+    texts = ["", *[" ".join(f"{rnd.choice('Ww')}{rnd.getrandbits(20):x}{rnd.choice(('', '.'))}" for _ in range(n)) for n in (80, 3, 23, 24, 200)], " \n", "a b " * 60]
+    whole = paragraphs.Read(texts)
+    text, probe = paragraphs.probes(whole)
+    low, _ = paragraphs.spots(whole)
+    start, stop, content, _ = paragraphs.paragraphs(whole, near=paragraphs.NEXT)
+    for i, t in enumerate(texts):
+        one = paragraphs.Read(t)
+        assert sorted(probe[text == i].tolist()) == sorted(paragraphs.probes(one)[1].tolist())
+        assert (low[whole.text_of(low) == i] - whole.first[i]).tolist() == paragraphs.windows(one)[0].tolist()
+        mine = whole.text_of(start) == i
+        a, b, c, _ = paragraphs.paragraphs(one, near=paragraphs.NEXT)
+        assert [(start[mine] - whole.first[i]).tolist(), (stop[mine] - whole.first[i]).tolist(), content[mine].tolist()] == [a.tolist(), b.tolist(), c.tolist()]
+
+
+def test_probes_of_copies_do_not_travel_back(work):
+    """Exact copies are one text: what only they share is met once, and each copy's places are still rows of the result."""
+    rnd = random.Random(15)
+    text = " ".join(f"w{rnd.getrandbits(40):x}" for _ in range(60))
+    frame = work.createDataFrame([(1, text), (2, text), (2, text)], "doc_id long, text string")
+    assert paragraphs.repeated_probes(frame, 8).count() == 0
+    found = Counter((r.doc_id, r.start) for r in paragraphs.repeats(frame).collect())
+    assert all((found[1, k], found[2, k]) == (1, 2) for k in range(1, 37))  # at word 0 a paragraph starts, too
