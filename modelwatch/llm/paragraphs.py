@@ -47,6 +47,7 @@ DEALT = 16 << 20
 #: Characters of texts that are read together, and probes or windows that travel or are compared together.
 SLICE, CHUNK = 1 << 18, 1 << 20
 _MARK, _CLOSING = [np.isin(np.arange(256), np.frombuffer(b, np.uint8)) for b in (b".!?", b"\"')]")]
+_PRIMES = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]  # of XXH64
 _SEEDS = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -55,17 +56,31 @@ def spread(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class _Known(dict):
-    """Hashes of words met so far."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 18:
-            self.clear()
-        made = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return made
-
-
-_known = _Known()
+def word_hashes(body: bytes, begin: np.ndarray, end: np.ndarray, seed: int = 42) -> np.ndarray:
+    """XXH64 of the words body[begin:end], spelled for all at once but for the few of 32 bytes and more."""
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+    p1, p2, p3, p4, p5 = _PRIMES
+    raw = np.frombuffer(body + bytes(8), np.uint8)
+    fours, eights = (np.ndarray(len(body) + 1, t, raw, strides=(1,)) for t in ("<u4", "<u8"))
+    size = end - begin
+    h = size.astype(np.uint64) + (np.uint64(seed) + p5)
+    for k in range(0, 24, 8):
+        some = np.flatnonzero(size >= k + 8)
+        h[some] = turned(h[some] ^ turned(eights[begin[some] + k] * p2, 31) * p1, 27) * p1 + p4
+    some = np.flatnonzero(size & 4)
+    h[some] = turned(h[some] ^ fours[(begin + (size & ~7))[some]] * p1, 23) * p2 + p3
+    rest, at = size & 3, begin + (size & ~3)
+    for k in range(3):
+        some = np.flatnonzero(rest > k)
+        h[some] = turned(h[some] ^ raw[at[some] + k] * p5, 11) * p1
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    h ^= h >> np.uint64(32)
+    for k in np.flatnonzero(size >= 32).tolist():
+        h[k] = xxhash.xxh64_intdigest(body[begin[k]:end[k]], seed)
+    return h
 
 
 class Read:
@@ -78,13 +93,12 @@ class Read:
     def __init__(self, texts: str | list[str]):
         bodies = [t.encode() for t in ([texts] if isinstance(texts, str) else texts)]
         body = b"\n".join(bodies)
-        words = body.lower().split()  # bytes lower A-Z only and split at the six ASCII spaces
-        self.n, self.h = len(words), np.zeros(0, np.uint64)
-        begin, self.starts = starts_of(body)
+        begin, end, self.starts = starts_of(body)
+        self.n, self.h = len(begin), np.zeros(0, np.uint64)
         self.first = np.searchsorted(begin, np.append(0, np.cumsum([len(b) + 1 for b in bodies])))
         self.till = np.repeat(self.first[1:], np.diff(self.first))
         if self.n >= WORDS:
-            w = np.fromiter(map(_known.__getitem__, words), np.uint64, self.n)
+            w = word_hashes(body.lower(), begin, end)  # bytes lower A-Z only
             for k in range(SHINGLE):
                 self.h = spread((self.h if k else np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15) + w[k:self.n - SHINGLE + 1 + k])
         self.contents = Contents(self.h)
@@ -93,14 +107,13 @@ class Read:
         return np.searchsorted(self.first, word, "right") - 1
 
 
-def starts_of(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """First byte of every word, and numbers of the words that start a sentence: the first, and those after a line break or an end mark (closing quotes
+def starts_of(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte of every word and the one after it, words being split at the six ASCII spaces, and numbers of the words that start a sentence: the first, and those after a line break or an end mark (closing quotes
     and brackets may follow it), or of a capital and a small letter after a character that is no capital."""
     raw = np.frombuffer(body + b" \0\0\0", np.uint8)
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
     turn = np.flatnonzero(np.diff(space, prepend=True))
     begin, end = turn[::2][:-1], turn[1::2]  # the zero bytes at the end are no word
-    lines = np.append(0, np.cumsum(raw == 10))[begin]
     first, second, third = raw[begin], raw[begin + 1], raw[begin + 2]
     latin = first == 0xC3  # letters of two bytes
     capital = np.where(latin, (second >= 0x80) & (second <= 0x9E), (first >= 65) & (first <= 90))
@@ -111,8 +124,10 @@ def starts_of(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     at, floor = last.copy(), begin[:-1]
     while len(more := np.flatnonzero(_CLOSING[raw[at]] & (at > floor))):
         at[more] -= 1
-    starts = (lines[1:] > lines[:-1]) | _MARK[raw[at]] | (capital & small)[1:] & ~open_
-    return begin, np.append(0, np.flatnonzero(starts) + 1)
+    starts = np.append(True, _MARK[raw[at]] | (capital & small)[1:] & ~open_)
+    after_line = np.searchsorted(begin, np.flatnonzero(raw == 10))
+    starts[after_line[after_line < len(begin)]] = True
+    return begin, end, np.flatnonzero(starts)
 
 
 class Contents:
@@ -128,16 +143,34 @@ class Contents:
     def real(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Whether shingles low .. high - 1 have DISTINCT ones that differ from the eight before them, as far as these belong to the run."""
         fresh = self.upto[high] - self.upto[low]
-        if self.upto[-1] < len(self.h):
-            for k in range(8):
-                at = np.minimum(low + k, len(self.h) - 1)
-                fresh = fresh + ((low + k < high) & (self.lag[at] > k))
-        return fresh >= DISTINCT
+        enough = fresh >= DISTINCT
+        some = np.flatnonzero(~enough & (fresh >= DISTINCT - 8))
+        low, high, fresh = low[some], high[some], fresh[some]
+        for k in range(8):
+            at = np.minimum(low + k, len(self.h) - 1)
+            fresh = fresh + ((low + k < high) & (self.lag[at] > k))
+        enough[some] = fresh >= DISTINCT
+        return enough
 
     def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return spread(self.sums[high] - self.sums[low] + (high - low).astype(np.uint64))
 
 
+    def of_all(self, size: int) -> np.ndarray:
+        """The contents of all runs of ``size`` shingles."""
+        return spread(self.sums[size:] - self.sums[:-size] + np.uint64(size))
+
+
+def first_lowest(order: np.ndarray, near: int) -> np.ndarray:
+    """Number of the first of the lowest of every ``near`` neighbours."""
+    at, reach = np.arange(len(order)), 1
+    while reach < near:
+        step = min(reach, near - reach)
+        left, right = order[:-step], order[step:]
+        at, order, reach = np.where(right < left, at[step:], at[:-step]), np.minimum(left, right), reach + step
+    return at
+
+
 def lowest_of(order: np.ndarray, near: int) -> np.ndarray:
     """Numbers of the values that are the lowest of some ``near`` neighbours."""
     neighbours = np.lib.stride_tricks.sliding_window_view(order, min(near, len(order)))
@@ -196,13 +229,7 @@ def spots(read: Read) -> tuple[np.ndarray, np.ndarray]:
         return none, none
     low = np.flatnonzero(read.till[:count] >= np.arange(WORDS, WORDS + count))
     low = low[read.contents.real(low, low + WORDS - SHINGLE + 1)]
-    order = seeds_at(read, np.arange(count + NEAR - 1))
-    lowest, least = order[low], np.zeros(len(low), np.int64)
-    for k in range(1, NEAR):
-        now = order[low + k]
-        less = now < lowest
-        lowest[less], least[less] = now[less], k
-    return low, low + least
+    return low, first_lowest(read.contents.of_all(SEED - SHINGLE + 1), NEAR)[low]
 
 
 def seeds_at(read: Read, at: np.ndarray) -> np.ndarray:
@@ -230,7 +257,8 @@ def probes(read: Read) -> tuple[np.ndarray, np.ndarray]:
     text = np.concatenate([read.text_of(seed), own[opening]])
     probe = np.concatenate([seeds_at(read, seed), keys[new]])
     upto, begin = np.concatenate([seed + 1, stop[opening]]), np.concatenate([seed, start[closing]])
-    by = np.lexsort((probe, text))
+    by = np.argsort(probe)
+    by = by[np.argsort(text[by].astype(np.uint16) if len(read.first) <= 1 << 16 else text[by], kind="stable")]
     text, probe, upto, begin = text[by], probe[by], upto[by], begin[by]
     first = np.flatnonzero(np.append(True, (probe[1:] != probe[:-1]) | (text[1:] != text[:-1]))[:len(probe)])
     if not len(first):

@@ -751,3 +751,35 @@ def test_probes_of_copies_do_not_travel_back(work):
     assert paragraphs.repeated_probes(frame, 8).count() == 0
     found = Counter((r.doc_id, r.start) for r in paragraphs.repeats(frame).collect())
     assert all((found[1, k], found[2, k]) == (1, 2) for k in range(1, 37))  # at word 0 a paragraph starts, too
+
+
+def test_words_are_hashed_together(monkeypatch):
+    """Words of a batch are hashed in whole arrays, those of 32 bytes and more one by one; each hash is the word's XXH64. Words of any length and bytes, between any spaces."""
+    rnd = random.Random(16)
+    made = [bytes(rnd.choice([c for c in range(256) if c not in b" \t\n\x0b\x0c\r"]) for _ in range(n)) for n in [*range(1, 80), 1000, *(rnd.randint(1, 31) for _ in range(300))]]
+    body = b"\n" + b"".join(w + rnd.choice((b" ", b"\n", b" \t", b"\x0b\x0c\r")) for w in made) + made[0]
+    begin, end, _ = paragraphs.starts_of(body)
+    want = [xxhash.xxh64_intdigest(w, 42) for w in [*made, made[0]]]
+    assert paragraphs.word_hashes(body, begin, end).tolist() == want
+    calls, own = [], xxhash.xxh64_intdigest
+    monkeypatch.setattr(paragraphs.xxhash, "xxh64_intdigest", lambda *a: calls.append(a) or own(*a))
+    read = paragraphs.Read([" ".join(f"W{rnd.getrandbits(40):x}" for _ in range(500)) + " " + "Long" * 10, "\n \n", ""])
+    assert read.n == 501 and [a[0] for a in calls] == [b"long" * 10]
+
+
+def test_first_lowest_of_neighbours():
+    rnd = random.Random(17)
+    for n, near in ((9, 9), (60, 9), (60, 1), (60, 2), (60, 7)):
+        order = np.array([rnd.randrange(12) for _ in range(n)], np.uint64)
+        assert paragraphs.first_lowest(order, near).tolist() == [k + order[k:k + near].tolist().index(order[k:k + near].min()) for k in range(n - near + 1)]
+    assert not len(paragraphs.first_lowest(np.zeros(0, np.uint64), 9))
+
+
+def test_runs_short_of_fresh_shingles_are_counted_again():
+    """Whether a run has enough shingles that differ from the eight before them, as far as these belong to it: by plain counting."""
+    rnd = random.Random(18)
+    h = np.array([rnd.randrange(9 if k // 60 % 2 else 1 << 60) for k in range(600)], np.uint64)
+    low = np.arange(560)
+    for size in (16, 20, 40):
+        want = [sum(h[x] not in h[max(a, x - 8):x] for x in range(a, a + size)) >= paragraphs.DISTINCT for a in low]
+        assert paragraphs.Contents(h).real(low, low + size).tolist() == want
