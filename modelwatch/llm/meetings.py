@@ -18,6 +18,8 @@ SMALL = 1024
 GROUP = 4096
 #: Candidates that a task looks at together, and those whose sets it compares together.
 PAIRS, CHECKED = 1 << 20, 50_000
+#: Members of a bucket whose bits are compared as a table, and its cells that are looked at together.
+WIDE, BLOCK = 48, 1 << 16
 
 
 def like_pairs(bucket: np.ndarray, roots: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, similarity: float,
@@ -87,20 +89,33 @@ def may_be_like(bucket: np.ndarray, roots: np.ndarray, bits: np.ndarray, sizes:
     """
     by = np.argsort(bucket, kind="stable")
     bucket, roots, bits, sizes, side, (doc, start, stop) = bucket[by], roots[by], bits[by].view(np.uint64), sizes[by], side[by], places[:, by]
-    end = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], True))
-    later = np.repeat(end, np.diff(np.append(-1, end))) - np.arange(len(bucket))
-    seen, at, found = np.cumsum(later), 0, np.zeros(len(bucket), bool)
+    ones, found = np.bitwise_count(bits).astype(np.int64), np.zeros(len(bucket), bool)
+    own, other = ones - (1 - similarity) * sizes, similarity * ones  # so many bits in common, (1 + similarity) times, are needed of both
+
+    def look(i: np.ndarray, j: np.ndarray) -> None:
+        open_ = (roots[i] != roots[j]) & ((side[i] < 0) | (side[i] != side[j])) & ~((doc[i] == doc[j]) & (start[i] < stop[j]) & (start[j] < stop[i]))
+        found[i[open_]] = found[j[open_]] = True
+
+    end = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], True)) + 1
+    members = np.diff(np.append(0, end))
+    for x, y in zip((end - members)[members >= WIDE].tolist(), end[members >= WIDE].tolist()):
+        step = max(1, BLOCK // (y - x))
+        for a in range(x, y, step):  # some rows with all that follow
+            b = min(a + step, y)
+            common = np.bitwise_count(bits[a:b, None] & bits[a:y]) * (1 + similarity)
+            i, j = np.nonzero(common >= np.maximum(own[a:b, None] + other[a:y], other[a:b, None] + own[a:y]) - 1e-9)
+            look(i + a, j + a)
+    later = np.where(np.repeat(members, members) < WIDE, np.repeat(end, members) - np.arange(len(bucket)) - 1, 0)
+    seen, at = np.cumsum(later), 0
     while at < len(bucket):
         upto = max(at + 1, int(np.searchsorted(seen, (seen[at - 1] if at else 0) + PAIRS, "right")))
         many = later[at:upto]
         i = np.repeat(np.arange(at, upto), many)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
         at = upto
-        more, other = (np.bitwise_count(bits[x] & ~bits[y]).astype(np.int64) for x, y in ((i, j), (j, i)))
-        open_ = similarity * (more + other) <= (1 - similarity) * np.minimum(sizes[i] - more, sizes[j] - other) + 1e-9
-        i, j = i[open_], j[open_]
-        open_ = (roots[i] != roots[j]) & ((side[i] < 0) | (side[i] != side[j])) & ~((doc[i] == doc[j]) & (start[i] < stop[j]) & (start[j] < stop[i]))
-        found[i[open_]] = found[j[open_]] = True
+        common = np.bitwise_count(bits[i] & bits[j]) * (1 + similarity)
+        open_ = common >= np.maximum(own[i] + other[j], other[i] + own[j]) - 1e-9
+        look(i[open_], j[open_])
     kept = np.empty(len(found), bool)
     kept[by] = found
     return kept

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -783,3 +784,33 @@ def test_runs_short_of_fresh_shingles_are_counted_again():
     for size in (16, 20, 40):
         want = [sum(h[x] not in h[max(a, x - 8):x] for x in range(a, a + size)) >= paragraphs.DISTINCT for a in low]
         assert paragraphs.Contents(h).real(low, low + size).tolist() == want
+
+
+def test_bits_of_large_buckets_are_compared_as_tables():
+    """Large and small buckets keep the rows of the plain enumeration over bits, and a large one's pairs are never spelled out as lists."""
+    rnd = random.Random(19)
+    bucket, bits = [], []
+    for b, n in enumerate((2000, meetings.WIDE, meetings.WIDE - 1, 7, 1, 300)):
+        near = [rnd.getrandbits(64) & rnd.getrandbits(64) for _ in range(max(1, n // 40))]
+        for _ in range(n):
+            bucket.append(b)
+            bits.append((rnd.choice(near) | 1 << rnd.randrange(64)) ^ (rnd.getrandbits(64) & rnd.getrandbits(64) if rnd.random() < .5 else 0))
+    by = np.array(rnd.sample(range(len(bits)), len(bits)))
+    bucket, bits = np.array(bucket)[by], np.array(bits, np.uint64)[by]
+    n = len(bits)
+    sizes = np.bitwise_count(bits).astype(np.int64) + np.array([rnd.randrange(9) for _ in range(n)])
+    roots, side = np.array([rnd.randrange(n // 2) for _ in range(n)]), np.array([rnd.choice((-1, -1, 0, 1)) if b == 5 else -1 for b in bucket])
+    places = np.array([(rnd.randrange(400), a := rnd.randrange(90), a + 44) for _ in range(n)]).T
+    tracemalloc.start()
+    got = meetings.may_be_like(bucket, roots, bits.view(np.int64), sizes, .8, side, places)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    want = np.zeros(n, bool)
+    for i in range(n):
+        more, other = (np.bitwise_count(x).astype(int) for x in (bits[i] & ~bits, bits & ~bits[i]))
+        like = .8 * (more + other) <= .2 * np.minimum(sizes[i] - more, sizes - other) + 1e-9
+        doc, start, stop = places
+        like &= (bucket == bucket[i]) & (roots != roots[i]) & ((side[i] < 0) | (side != side[i])) & ~((doc == doc[i]) & (start < stop[i]) & (start[i] < stop))
+        want[i] = like.any()
+    assert (got == want).all() and 0 < want.sum() < n
